@@ -152,7 +152,7 @@ def highlights(text: Column, query: Column) -> Column:
 
 def digest(*parts: Column) -> Column:
     """SHA-256 of the parts joined by a unit separator; a missing part is kept apart from ''."""
-    safe = [F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts]
+    safe = [F.coalesce(p.cast("string"), F.lit("\u0002")) for p in parts]
     return F.sha2(F.concat_ws("\u001f", *safe), 256)
 
 

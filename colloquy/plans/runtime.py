@@ -29,12 +29,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which survives the loss of executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
-    return df.checkpoint(eager=True)
+    """Cut the lineage through a table in the shared folder, which outlives lost executors.
+
+    Written once and read back with known size, so later joins can be planned from it.
+    """
+    path = fresh_path(df.sparkSession, "table")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def has_rows(df: DataFrame) -> bool:
