@@ -189,8 +189,8 @@ def _match_line(pdf):
 def newest_first(meetings: DataFrame, sort: str = "uploaded_at") -> DataFrame:
     """K1."""
     if sort == "filename":
-        return meetings.orderBy(F.asc("filename"), "meeting_id")
-    return meetings.orderBy(F.desc_nulls_last(sort), "meeting_id")
+        return meetings.orderBy(F.asc("filename"), "id")
+    return meetings.orderBy(F.desc_nulls_last(sort), "id")
 
 
 def report_order(items: DataFrame) -> DataFrame:

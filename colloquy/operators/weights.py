@@ -48,7 +48,7 @@ def keywords(docs: DataFrame, keys: list[str], doc: str, top: int = 20,
              max_features: int = 5000, skip: list[str] | None = None) -> DataFrame:
     """A14. Terms with the highest summed weight per group (ties by term)."""
     scores = (tfidf(docs, keys, doc, (1, 2), max_features).groupBy(*keys, "term")
-              .agg(F.round(F.sum("w"), 9).alias("score")))
+              .agg(F.round(F.sum("w"), 6).alias("score")))
     if skip:
         scores = scores.filter(~F.col("term").isin(skip) & (F.length("term") > 2))
     return top_k(scores, keys, [F.desc("score"), F.asc("term")], top, ["term"])

@@ -25,18 +25,18 @@ def block_of(pos: str | Column, block: int = BLOCK) -> Column:
 def running_sum(df: DataFrame, keys: list[str], pos: str, value: Column, out: str,
                 inclusive: bool = False, block: int = BLOCK) -> DataFrame:
     """Sum of ``value`` over earlier positions (and this one when ``inclusive``)."""
-    rows = df.withColumn("_blk", block_of(pos, block)).withColumn("_val", value)
-    totals = rows.groupBy(*keys, "_blk").agg(F.sum("_val").alias("_total"))
+    rows = df.withColumn("_blk", block_of(pos, block)).withColumn("_rs_val", value)
+    totals = rows.groupBy(*keys, "_blk").agg(F.sum("_rs_val").alias("_rs_total"))
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*keys, "_blk",
-                          F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+                          F.coalesce(F.sum("_rs_total").over(before), F.lit(0)).alias("_rs_base"))
     end = 0 if inclusive else -1
     inside = (Window.partitionBy(*keys, "_blk").orderBy(pos)
               .rowsBetween(Window.unboundedPreceding, end))
-    local = rows.withColumn("_local", F.coalesce(F.sum("_val").over(inside), F.lit(0)))
+    local = rows.withColumn("_rs_local", F.coalesce(F.sum("_rs_val").over(inside), F.lit(0)))
     return (local.join(bases, keys + ["_blk"])
-            .withColumn(out, F.col("_base") + F.col("_local"))
-            .drop("_blk", "_val", "_base", "_local"))
+            .withColumn(out, F.col("_rs_base") + F.col("_rs_local"))
+            .drop("_blk", "_rs_val", "_rs_base", "_rs_local"))
 
 
 def dense_position(df: DataFrame, keys: list[str], order: str, out: str,
