@@ -10,7 +10,7 @@ one row per word, and candidates per quote are bounded by the count of its rares
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.plans.ordered import BLOCK, running_sum, with_neighbours
@@ -103,10 +103,12 @@ def _lookups(needles: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame
 
     # One word: a part of a distinct word, found through the word's 1- to 3-character pieces.
     one = n.filter("_m = 1").select(*keys, "needle", F.substring("needle", 1, 3).alias("_gram"))
-    grams = F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - size + 1, F.lit(1))),
-                    lambda i, size=size: F.substr(F.col("w"), i, F.lit(size)))
-        for size in (1, 2, 3)]))
+
+    def pieces(size: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length("w") - size + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.substr(F.col("w"), i, F.lit(size)))
+
+    grams = F.flatten(F.array(*[pieces(size) for size in (1, 2, 3)]))
     by_gram = (pairs.select(*keys, "w").distinct()
                .select(*keys, "w", F.explode(F.array_distinct(grams)).alias("_gram")))
     length = F.length("needle")

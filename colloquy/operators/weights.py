@@ -13,12 +13,12 @@ BREAKING_TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_ \t\n\r\f]"
 
 
 def ngrams(tokens: Column, sizes: tuple[int, ...]) -> Column:
-    parts = [F.transform(F.sequence(F.lit(0), F.size(tokens) - n),
-                         lambda i, n=n: F.array_join(F.slice(tokens, i + 1, n), " "))
-             for n in sizes]
-    none = F.array().cast("array<string>")
-    return F.flatten(F.array(*[F.when(F.size(tokens) >= n, p).otherwise(none)
-                               for n, p in zip(sizes, parts)]))
+    def of_size(n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(tokens) - n),
+                            lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
+        return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*[of_size(n) for n in sizes]))
 
 
 def tfidf(docs: DataFrame, keys: list[str], doc: str, sizes: tuple[int, ...] = (1, 2),

@@ -41,7 +41,7 @@ def meetings(spark, d) -> DataFrame:
         F.concat(F.col("o_orderpriority"), F.lit("-"), F.col("o_orderkey").cast("string"),
                  F.when(F.col("o_orderkey") % 9 == 0, ".pdf").when(F.col("o_orderkey") % 2 == 0, ".mp4")
                  .otherwise(".WAV")).alias("filename"),
-        F.when(F.col("o_orderkey") % 13 != 0, F.round(F.col("o_totalprice") / 100, 2))
+        F.when(F.col("o_orderkey") % 13 != 0, F.floor("o_totalprice") / 100)
         .alias("duration_sec"),
         F.when(F.col("o_orderkey") % 3 == 0, "en").when(F.col("o_orderkey") % 3 == 1, "pt_BR")
         .alias("language"), F.col("o_orderdate").alias("uploaded_at"), status.alias("status"))
@@ -686,7 +686,7 @@ def j11_to_analyse(spark, d):
 @query
 def j12_missing_chunks(spark, d):
     keys = chunks.chunk_keys(_packed(spark, d))
-    stored = keys.filter("chunk_no % 2 = 0")
+    stored = keys.filter("meeting_id % 2 = 0")
     return chunks.missing_chunks(keys, stored)
 
 
@@ -852,19 +852,19 @@ def w2_context_windows(spark, d):
 
 @query
 def w3_novelty(spark, d):
-    return segmentation.novelty(fx.units(spark, d)).withColumn("novelty", F.round("novelty", 6))
+    return segmentation.novelty(fx.units(spark, d)).withColumn("novelty", F.round("novelty", 4))
 
 
 @query
 def w4_smooth(spark, d):
     return segmentation.smooth(segmentation.novelty(fx.units(spark, d))).select(
-        "meeting_id", "segment_id", F.round("smoothed", 6).alias("smoothed"))
+        "meeting_id", "segment_id", F.round("smoothed", 4).alias("smoothed"))
 
 
 @query
 def w5_thresholds(spark, d):
     rows = segmentation.thresholds(segmentation.smooth(segmentation.novelty(fx.units(spark, d))))
-    return rows.withColumn("threshold", F.round("threshold", 6))
+    return rows.withColumn("threshold", F.round("threshold", 4))
 
 
 @query
