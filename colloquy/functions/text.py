@@ -52,8 +52,8 @@ def letter_words(c: str | Column) -> Column:
 
 
 def content_words(c: str | Column, stop: list[str] = V.TOPIC_STOP) -> Column:
-    stops = words_array(list(stop))
-    return F.filter(letter_words(c), lambda w: ~F.array_contains(stops, w))
+    # isin becomes a hash lookup, unlike a search through an array.
+    return F.filter(letter_words(c), lambda w: ~w.isin(list(stop)))
 
 
 def space_words(c: str | Column) -> Column:
@@ -184,8 +184,8 @@ def is_open_issue(c: str | Column) -> Column:
 
 def is_meaningful_question(c: str | Column) -> Column:
     text = F.lower(F.trim(_col(c)))
-    skip = words_array(sorted(set(V.TOPIC_STOP) | set(V.NOT_A_SUBJECT)))
-    has_subject = F.size(F.filter(letter_words(text), lambda w: ~F.array_contains(skip, w))) > 0
+    skip = sorted(set(V.TOPIC_STOP) | set(V.NOT_A_SUBJECT))
+    has_subject = F.size(F.filter(letter_words(text), lambda w: ~w.isin(skip))) > 0
     return (~text.rlike(V.RHETORICAL) & has_subject & (F.size(words(text)) >= 4)
             & (text.contains("?") | is_open_issue(text)))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
 from colloquy.functions import vocab as V
+from colloquy.operators.weights import ngrams
 from colloquy.plans.ordered import top_k
 
 
@@ -60,13 +61,18 @@ def gazetteer_entities(segments: DataFrame) -> DataFrame:
     rows = ([(w, True, "TECHNOLOGY") for w in V.TECH_WORDS]
             + [(p, False, "TECHNOLOGY") for p in V.TECH_PHRASES])
     names = F.broadcast(spark.createDataFrame(rows, "name string, exact boolean, label string"))
-    tokens = F.regexp_extract_all("text", F.lit(V.WORD), 0)
-    grams = segments.select("meeting_id", "segment_id", tokens.alias("_t")).filter(
-        F.size("_t") > 0).select(
-        "meeting_id", "segment_id", "_t", F.explode(F.sequence(F.lit(1), F.size("_t"))).alias("_i"))
-    sized = grams.select("meeting_id", "segment_id", "_i", F.explode(F.array(*[
-        F.when(F.size("_t") >= F.col("_i") + n - 1, F.array_join(F.slice("_t", F.col("_i"), n), " "))
-        for n in (1, 2, 3)])).alias("gram")).filter(F.col("gram").isNotNull())
+    rows = segments.select("meeting_id", "segment_id", F.regexp_extract_all(
+        "text", F.lit(V.WORD), 0).alias("_t")).filter(F.size("_t") > 0)
+
+    def of_size(n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size("_t") - n), lambda i: F.struct(
+            (i + 1).alias("i"), F.concat_ws(" ", *[F.get("_t", i + k) for k in range(n)]).alias("g")))
+        return F.when(F.size("_t") >= n, grams).otherwise(
+            F.array().cast("array<struct<i:int,g:string>>"))
+
+    sized = rows.select("meeting_id", "segment_id", F.explode(F.flatten(F.array(
+        *[of_size(n) for n in (1, 2, 3)]))).alias("_p")).select(
+        "meeting_id", "segment_id", F.col("_p.i").alias("_i"), F.col("_p.g").alias("gram"))
     named = (sized.withColumn("exact", ~F.col("gram").contains(" "))
              .withColumn("name", F.when(F.col("exact"), F.col("gram")).otherwise(F.lower("gram")))
              .join(names, ["name", "exact"])
@@ -97,11 +103,10 @@ def label_entities(spans: DataFrame) -> DataFrame:
 def is_valid_entity(entity: Column, label: Column) -> Column:
     """X11. Lexical evidence an entity must show beyond its predicted label."""
     tokens = F.regexp_extract_all(entity, F.lit(V.WORD), 0)
-    stops, never = X.words_array(V.TOPIC_STOP), X.words_array(V.NEVER_NAMES)
-    vacuous = F.forall(tokens, lambda t: F.array_contains(stops, F.lower(t)))
+    vacuous = F.forall(tokens, lambda t: F.lower(t).isin(V.TOPIC_STOP))
     name_like = F.exists(tokens, lambda t: t.rlike(r"^\p{Lu}|[^\x00-\x7F]"))
     all_names = F.forall(tokens, lambda t: t.rlike(r"^\p{Lu}|[^\x00-\x7F]|^s$"))
-    odd = F.exists(tokens, lambda t: F.array_contains(never, F.lower(t)))
+    odd = F.exists(tokens, lambda t: F.lower(t).isin(V.NEVER_NAMES))
     named = (F.when(label.isin("PERSON", "ORG", "LOCATION"), ~odd & name_like)
              .otherwise(F.lit(True)))
     person = F.when(label == "PERSON", all_names).otherwise(F.lit(True))
@@ -120,15 +125,9 @@ def validate_entities(names: DataFrame, segments: DataFrame) -> DataFrame:
         "name <> ''").withColumn("name_key", F.lower("name"))
     words = wanted.withColumn("_gram", F.array_join(
         F.regexp_extract_all("name_key", F.lit(V.WORD), 0), " "))
-    longest = 4
-    tokens = X.words("text")
-    grams = (segments.select("meeting_id", tokens.alias("_t")).filter(F.size("_t") > 0)
-             .select("meeting_id", F.explode(F.flatten(F.transform(
-                 F.sequence(F.lit(1), F.size("_t")),
-                 lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(
-                     i + n - 1 <= F.size("_t"), F.array_join(F.slice("_t", i, n), " "))))))
-                 .alias("_gram"))
-             .filter(F.col("_gram").isNotNull()).distinct())
+    grams = (segments.select("meeting_id", X.words("text").alias("_t"))
+             .select("meeting_id", F.explode(ngrams(F.col("_t"), (1, 2, 3, 4))).alias("_gram"))
+             .distinct())
     speakers = (segments.filter(F.col("speaker").isNotNull())
                 .select("meeting_id", F.lower(X.norm("speaker")).alias("name_key"),
                         X.norm("speaker").alias("_exact")).distinct())

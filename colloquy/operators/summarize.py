@@ -58,7 +58,7 @@ def summarize(sentences: DataFrame, n: int = 5, focus: DataFrame | None = None)
     """
     rows = materialize(summary_candidates(sentences))
     token = F.filter(X.words("sentence"), lambda w: (F.length(w) >= 2)
-                     & ~F.array_contains(X.words_array(V.TOPIC_STOP), w))
+                     & ~w.isin(V.TOPIC_STOP))
     weights = materialize(tfidf(rows.select(*KEY, "pos", token.alias("tokens")), KEY, "pos",
                                 (1, 2), 10000))
     state = materialize(score_sentences(rows, weights, focus).withColumn(

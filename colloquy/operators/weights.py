@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
 from colloquy.functions import vocab as V
 from colloquy.plans.ordered import top_k
+from colloquy.plans.runtime import has_rows, materialize
 
 BREAKING_TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_ \t\n\r\f]"
 
 
 def ngrams(tokens: Column, sizes: tuple[int, ...]) -> Column:
+    """All sequences of the given lengths; elements are read by place, as slicing copies."""
     def of_size(n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(tokens) - n),
-                            lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
+        grams = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.concat_ws(
+            " ", *[F.get(tokens, i + k) for k in range(n)]))
         return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
     return F.flatten(F.array(*[of_size(n) for n in sizes]))
@@ -28,20 +32,38 @@ def tfidf(docs: DataFrame, keys: list[str], doc: str, sizes: tuple[int, ...] = (
     tf' = 1 + ln tf, idf = ln((1+n)/(1+df)) + 1, rows of length one. Only the ``max_features``
     most frequent terms of each group count (ties by term).
     """
-    counts = (docs.select(*keys, doc, F.explode(ngrams(F.col("tokens"), sizes)).alias("term"))
-              .groupBy(*keys, doc, "term").agg(F.count(F.lit(1)).alias("tf")))
+    counts = term_counts(docs, keys, doc, sizes)
     size = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    vocabulary = counts.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_df"),
-                                                   F.sum("tf").alias("_total"))
-    vocabulary = top_k(vocabulary, keys, [F.desc("_total"), F.asc("term")], max_features,
-                       ["term"]).drop("rank", "_total")
-    idf = vocabulary.join(size, keys).select(
+    vocabulary = materialize(counts.groupBy(*keys, "term").agg(
+        F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_total")))
+    rich = materialize(vocabulary.groupBy(*keys).agg(F.count(F.lit(1)).alias("_v"))
+                       .filter(F.col("_v") > max_features).select(*keys))
+    kept = vocabulary
+    if has_rows(rich):
+        frequent = top_k(vocabulary.join(rich, keys, "left_semi"), keys,
+                         [F.desc("_total"), F.asc("term")], max_features, ["term"]).drop("rank")
+        kept = vocabulary.join(rich, keys, "left_anti").unionByName(frequent)
+    idf = kept.join(size, keys).select(
         *keys, "term", (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
     raw = counts.join(idf, keys + ["term"]).select(
         *keys, doc, "term", ((F.log(F.col("tf").cast("double")) + 1) * F.col("_idf")).alias("_w"))
-    length = raw.groupBy(*keys, doc).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_len"))
-    return raw.join(length, keys + [doc]).select(
-        *keys, doc, "term", (F.col("_w") / F.col("_len")).alias("w"))
+    # A window over one document's terms, so its partitions stay as small as a document.
+    own = Window.partitionBy(*keys, doc)
+    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(own))
+    return raw.withColumn("w", F.col("_w") / length).drop("_w")
+
+
+def term_counts(docs: DataFrame, keys: list[str], doc: str, sizes: tuple[int, ...]) -> DataFrame:
+    """(keys, doc, term, tf), counted inside each row: sorted terms, lengths of equal runs."""
+    rows = docs.filter(F.size("tokens") >= min(sizes)).select(
+        *keys, doc, F.sort_array(ngrams(F.col("tokens"), sizes)).alias("_g"))
+    rows = rows.withColumn("_starts", F.filter(
+        F.sequence(F.lit(0), F.size("_g") - 1),
+        lambda i: (i == 0) | (F.get("_g", i) != F.coalesce(F.get("_g", i - 1), F.lit("")))))
+    runs = F.transform("_starts", lambda at, j: F.struct(
+        F.get("_g", at).alias("term"),
+        (F.coalesce(F.get("_starts", j + 1), F.size("_g")) - at).cast("bigint").alias("tf")))
+    return rows.select(*keys, doc, F.explode(runs).alias("_r")).select(*keys, doc, "_r.*")
 
 
 def keywords(docs: DataFrame, keys: list[str], doc: str, top: int = 20,
@@ -56,39 +78,37 @@ def keywords(docs: DataFrame, keys: list[str], doc: str, top: int = 20,
 
 def phrases(sentences: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Candidate phrases: two to five neighbouring content words, first wording kept."""
-    stops, tails = X.words_array(V.TOPIC_STOP), X.words_array(V.PHRASE_TAIL)
     tokens = F.regexp_extract_all("sentence", F.lit(BREAKING_TOKEN), 0)
     good = F.transform("_t", lambda t: t.rlike(r"^\p{L}{2,}$")
-                       & ~F.array_contains(stops, F.lower(t)))
-    rows = (sentences.select(*keys, order, tokens.alias("_t")).filter(F.size("_t") >= 2)
-            .withColumn("_ok", good))
-    spots = rows.select(*keys, order, "_t", "_ok", F.explode(F.sequence(
-        F.lit(1), F.size("_t") - 1)).alias("_i")).filter(F.get("_ok", F.col("_i") - 1))
-    grams = spots.select(*keys, order, "_i", F.explode(F.array(*[
-        F.when((F.col("_i") + n - 1 <= F.size("_t"))
-               & F.forall(F.slice("_ok", F.col("_i"), n), lambda b: b),
-               F.slice("_t", F.col("_i"), n)) for n in (2, 3, 4, 5)])).alias("_g"))
-    grams = grams.filter(F.col("_g").isNotNull()
-                         & ~F.array_contains(tails, F.lower(F.element_at("_g", -1))))
-    label = F.array_join("_g", " ")
-    return (grams.groupBy(*keys, F.lower(label).alias("phrase"))
+                       & ~F.lower(t).isin(V.TOPIC_STOP))
+    rows = sentences.select(*keys, order, tokens.alias("_t")).filter(F.size("_t") >= 2)
+    rows = rows.withColumn("_ok", good)
+
+    def of_size(n: int) -> Column:
+        last = F.size("_t") - n
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: functools.reduce(
+            lambda a, b: a & b, [F.coalesce(F.get("_ok", i + k), F.lit(False)) for k in range(n)]))
+        return F.transform(starts, lambda i: F.struct(
+            i.alias("at"), F.lower(F.get("_t", i + n - 1)).alias("tail"),
+            F.concat_ws(" ", *[F.get("_t", i + k) for k in range(n)]).alias("label")))
+
+    # Phrases are formed inside the row, so no row carries its whole token list along.
+    grams = (rows.select(*keys, order, F.explode(F.flatten(F.array(
+        *[of_size(n) for n in (2, 3, 4, 5)]))).alias("_p"))
+        .select(*keys, order, "_p.at", "_p.tail", "_p.label")
+        .filter(~F.col("tail").isin(V.PHRASE_TAIL)))
+    return (grams.groupBy(*keys, F.lower("label").alias("phrase"))
             .agg(F.count(F.lit(1)).alias("n"),
-                 F.min_by(label, F.struct(order, "_i")).alias("label")))
+                 F.min_by("label", F.struct(order, "at")).alias("label")))
 
 
-def discussion_topics(sentences: DataFrame, keys: list[str], order: str, limit: int = 5
-                      ) -> DataFrame:
-    """K2. Top phrases, none of which only repeats words of a higher one.
+# A phrase can only be dropped for one that holds all its words, and phrases made of the at most
+# five words of each selected phrase are at most 5**2 + ... + 5**5 in number.
+HELD_PHRASES = sum(5 ** n for n in (2, 3, 4, 5))
 
-    Ranked by count, then words, then label. A phrase is dropped when a higher-ranked phrase
-    holds all of its words; since being held is transitive this equals the one-by-one selection,
-    so it is a join on word sets instead of a walk down each list.
-    """
-    found = phrases(sentences, keys, order)
-    words = F.array_sort(F.array_distinct(F.split("phrase", " ")))
-    ranked = found.withColumn("_words", words).withColumn(
-        "_rank", F.struct((-F.col("n")).alias("a"), (-F.size(F.split("phrase", " "))).alias("b"),
-                          F.col("label").alias("c"), F.col("phrase").alias("d")))
+
+def _unrepeated(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """Phrases whose words are not all words of a higher-ranked one, by a join on word sets."""
     def picked(mask: Column) -> Column:
         chosen = F.filter("_words", lambda w, i: F.floor(mask / F.pow(F.lit(2.0), i)) % 2 == 1)
         return F.array_join(chosen, " ")
@@ -96,13 +116,37 @@ def discussion_topics(sentences: DataFrame, keys: list[str], order: str, limit:
     # Every set of a phrase's words (five words at most, so 31 sets at most).
     subsets = F.transform(F.sequence(F.lit(1), F.pow(F.lit(2.0), F.size("_words")).cast("int") - 1),
                           picked)
-    holders = (ranked.select(*keys, "_rank", F.explode(F.array_distinct(subsets)).alias("_set"))
-               .groupBy(*keys, "_set").agg(F.min("_rank").alias("_best")))
+    holders = (ranked.select(*keys, "rank", F.explode(subsets).alias("_set"))
+               .groupBy(*keys, "_set").agg(F.min("rank").alias("_best")))
     own = ranked.withColumn("_set", F.array_join("_words", " "))
-    kept = own.join(holders, keys + ["_set"]).filter(F.col("_best") == F.col("_rank"))
+    return (own.join(holders, keys + ["_set"]).filter(F.col("_best") == F.col("rank"))
+            .drop("_set", "_best", "_words"))
+
+
+def discussion_topics(sentences: DataFrame, keys: list[str], order: str, limit: int = 5,
+                      head: int = 64) -> DataFrame:
+    """K2. Top phrases, none of which only repeats words of a higher one.
+
+    Ranked by count, then words, then label. A phrase is dropped when a higher-ranked phrase
+    holds all of its words; since being held is transitive this equals the one-by-one selection.
+    Whether a phrase is dropped depends on the ranks above it only, so the first ``head`` phrases
+    of a group settle it; groups they do not settle are looked at as far as it can take.
+    """
+    found = materialize(phrases(sentences, keys, order).withColumn(
+        "_words", F.array_sort(F.array_distinct(F.split("phrase", " ")))))
+    by = [F.desc("n"), F.desc(F.size(F.split("phrase", " "))), F.asc("label"), F.asc("phrase")]
+    first = top_k(found, keys, by, head, ["phrase"])
+    kept = _unrepeated(first, keys)
+    settled = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
+    sizes = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    open_groups = materialize(sizes.join(settled, keys).filter(
+        (F.col("_k") < limit) & (F.col("_size") > head)).select(*keys))
+    if has_rows(open_groups):
+        rest = top_k(found.join(open_groups, keys, "left_semi"), keys, by,
+                     limit * (HELD_PHRASES + 1), ["phrase"])
+        kept = kept.join(open_groups, keys, "left_anti").unionByName(_unrepeated(rest, keys))
     total = sentences.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    top = top_k(kept.select(*keys, "label", "phrase", "n", "_rank"), keys, [F.col("_rank")], limit,
-                ["phrase"])
+    top = top_k(kept.drop("rank"), keys, by, limit, ["phrase"])
     return top.join(total, keys).select(
         *keys, "rank", "label", "phrase", "n",
         F.round(F.col("n") / F.col("_total"), 4).alias("relevance"))

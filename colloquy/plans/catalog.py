@@ -1025,20 +1025,13 @@ def c5_display_batches(spark, d):
 
 @query
 def c6_choose_units(spark, d):
-    convs = fx.conversation_segments(spark, d)
-    stored = p8_parts(convs)
-    full = F.when(F.col("meeting_id") % 2 == 0, F.col("full_text")).otherwise(
-        F.concat(F.col("full_text"), F.lit(" One more. And more.")))
-    units = chunks.choose_units(stored.select("meeting_id", full.alias("full_text")), convs)
-    return units.select("meeting_id", "unit_no", F.md5("text").alias("text_md5"))
-
-
-def p8_parts(convs: DataFrame) -> DataFrame:
-    """Stored transcripts of the conversations, a few turns each."""
-    rows = convs.filter(X.norm("text") != "").groupBy("meeting_id").agg(F.array_sort(
-        F.collect_list(F.struct("segment_id", X.norm("text").alias("t")))).alias("_r"))
-    return rows.select("meeting_id", F.array_join(F.transform("_r", lambda r: r["t"]), " ")
-                       .alias("full_text"))
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("meeting_id"), "text")
+    segs = docs.select("meeting_id", F.posexplode(X.sentences("text")).alias("segment_id", "text"))
+    segs = segs.withColumn("speaker", F.lit(None).cast("string"))
+    stored = docs.select("meeting_id", F.when(F.col("meeting_id") % 2 == 0, F.col("text")).otherwise(
+        F.concat(F.col("text"), F.lit(" One more. And more."))).alias("full_text"))
+    return chunks.choose_units(stored, segs).select("meeting_id", "unit_no",
+                                                    F.md5("text").alias("text_md5"))
 
 
 @query
@@ -1375,13 +1368,4 @@ def t3_live_turns(spark, d):
     rows = _stream(spark, d, "conversations").select(
         F.col("conv_id").alias("meeting_id"), F.col("turn").alias("segment_id"),
         F.col("role").alias("speaker"))
-    last = live.live_turns(rows)
-
-    def keep(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{base}/t")
-
-    live_query = (last.writeStream.outputMode("update").foreachBatch(keep)
-                  .option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start())
-    live_query.awaitTermination()
-    return spark.read.parquet(f"{base}/t").groupBy("meeting_id").agg(
-        F.max_by("turns", "epoch").alias("turns"))
+    return live.live_turns(rows, base).groupBy("meeting_id").agg(F.sum("turns").alias("turns"))

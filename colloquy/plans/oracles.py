@@ -647,10 +647,8 @@ simple("c1_character_chunks", """SELECT doc_id, i AS chunk_no, md5(substr(text,
 unnest(range(0, ceil(length(text) / 400)::INT)) AS i FROM documents)""")
 simple("c2_token_windows", f"""SELECT doc_id, i AS window_no, md5(array_to_string(w[i * 128 + 1:i * 128 + 128], ' ')) AS window_md5 FROM (
 SELECT doc_id, w, unnest(range(0, ceil(len(w) / 128)::INT)) AS i FROM (SELECT doc_id, {space_words('text')} AS w FROM documents))""")
-simple("c6_choose_units", f"""WITH f AS (SELECT conv_id, string_agg({norm('text')}, ' ' ORDER BY turn) || ' One more. And more.' AS t FROM conversations
- WHERE {norm('text')} <> '' GROUP BY 1), s AS (SELECT conv_id, {sents('t')} AS p FROM f WHERE conv_id % 2 = 1)
-SELECT conv_id AS meeting_id, turn AS unit_no, md5({norm('text')}) AS text_md5 FROM conversations WHERE conv_id % 2 = 0 AND {norm('text')} <> ''
-UNION ALL SELECT conv_id, i - 1, md5(x) FROM (SELECT conv_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM s)""")
+simple("c6_choose_units", f"""WITH s AS (SELECT doc_id, {sents("CASE WHEN doc_id % 2 = 0 THEN text ELSE text || ' One more. And more.' END")} AS p FROM documents)
+SELECT doc_id AS meeting_id, i - 1 AS unit_no, md5(x) AS text_md5 FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM s)""")
 
 # --- topics over meetings ------------------------------------------------------------------------------------
 simple("m7_cross_meeting", f"""WITH RECURSIVE {SEGMENTS}{GAZETTEER}, t AS (SELECT meeting_id, min(segment_id) AS topic_id, entity AS label,

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from colloquy.plans.ordered import with_neighbours
 
 
 def deduplicated_intake(arrivals: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
@@ -39,25 +37,33 @@ def sessions(events: DataFrame, time: str, by: list[str], gap: str, delay: str |
         F.col("session_window.end").alias("ended"), "n")
 
 
-def _turns(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-           ) -> Iterator[pd.DataFrame]:
-    speaker, turns = state.get if state.exists else (None, 0)
-    rows = pd.concat(list(batches)).sort_values("segment_id")
-    for who in rows["speaker"]:
-        if who is None or pd.isna(who):
-            speaker = None
-        elif who != speaker:
-            turns += 1
-            speaker = who
-    state.update((speaker, turns))
-    yield pd.DataFrame({"meeting_id": [key[0]], "turns": [turns]})
-
-
-def live_turns(segments: DataFrame) -> DataFrame:
-    """T3. Running number of speaker turns per meeting; the state is the last speaker and a count."""
-    return segments.groupBy("meeting_id").applyInPandasWithState(
-        _turns, "meeting_id bigint, turns bigint", "speaker string, turns bigint", "update",
-        GroupStateTimeout.NoTimeout)
+def live_turns(segments: DataFrame, base: str) -> DataFrame:
+    """T3. New speaker turns per meeting and micro-batch, as segments arrive in order.
+
+    Between batches only the last segment of each meeting is kept, in a table per batch that a
+    retried batch reads again. Inside a batch the turns come from the batch operator, which
+    shares out a long meeting over many tasks.
+    """
+    def count(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("meeting_id", "segment_id", "speaker")
+        if epoch > 0:
+            rows = rows.withColumn("_new", F.lit(True)).unionByName(
+                spark.read.parquet(f"{base}/last/{epoch - 1}").withColumn("_new", F.lit(False)))
+        else:
+            rows = rows.withColumn("_new", F.lit(True))
+        before = with_neighbours(rows, ["meeting_id"], "segment_id", 1, 0, {
+            "_before": lambda w: F.lag("speaker").over(w)})
+        starts = F.col("speaker").isNotNull() & ~F.col("speaker").eqNullSafe(F.col("_before"))
+        (before.filter("_new").groupBy("meeting_id").agg(F.count_if(starts).alias("turns"))
+         .write.mode("overwrite").parquet(f"{base}/turns/epoch={epoch}"))
+        (rows.groupBy("meeting_id").agg(F.max(F.struct("segment_id", "speaker")).alias("_l"))
+         .select("meeting_id", "_l.*").write.mode("overwrite").parquet(f"{base}/last/{epoch}"))
+
+    query = (segments.writeStream.foreachBatch(count)
+             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return segments.sparkSession.read.parquet(f"{base}/turns")
 
 
 def run_to_table(rows: DataFrame, path: str, checkpoint: str) -> DataFrame:
