@@ -73,7 +73,7 @@ def run_of(spark, d, run: int) -> DataFrame:
 
 
 def doc_sentences(spark, d) -> DataFrame:
-    return fx.table(spark, d, "documents").select(
+    return fx.texts(spark, d).select(
         "doc_id", F.posexplode(X.sentences("text")).alias("sentence_no", "sentence"))
 
 
@@ -111,7 +111,7 @@ def labelled_segments(spark, d) -> DataFrame:
 
 @query
 def s1_scan_meetings(spark, d):
-    docs = fx.table(spark, d, "documents")
+    docs = fx.texts(spark, d)
     empty = F.lit(None).cast("double")
     nothing = F.lit(None).cast("string")
     as_json = docs.select(
@@ -270,7 +270,7 @@ def _texts(spark, d):
 
 @query
 def p1_norm(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", F.md5(X.norm("text")).alias("norm_md5"))
+    return fx.texts(spark, d).select("doc_id", F.md5(X.norm("text")).alias("norm_md5"))
 
 
 @query
@@ -286,7 +286,7 @@ def p3_sentences(spark, d):
 
 @query
 def p4_tokens(spark, d):
-    return fx.table(spark, d, "documents").select(
+    return fx.texts(spark, d).select(
         "doc_id", F.size(X.words("text")).alias("words"),
         F.size(X.letter_words("text")).alias("letter_words"),
         F.md5(F.array_join(X.letter_words("text"), " ")).alias("md5"))
@@ -984,21 +984,21 @@ def u5_legacy_view(spark, d):
 
 @query
 def c1_character_chunks(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", F.posexplode(
+    return fx.texts(spark, d).select("doc_id", F.posexplode(
         chunks.character_chunks(F.col("text"), 400)).alias("chunk_no", "chunk")).select(
         "doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"))
 
 
 @query
 def c2_token_windows(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", F.posexplode(
+    return fx.texts(spark, d).select("doc_id", F.posexplode(
         chunks.token_windows(F.col("text"), 128)).alias("window_no", "window")).select(
         "doc_id", "window_no", F.md5("window").alias("window_md5"))
 
 
 @query
 def c3_sentence_chunks(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", F.posexplode(
+    return fx.texts(spark, d).select("doc_id", F.posexplode(
         chunks.sentence_chunks(F.col("text"))).alias("chunk_no", "chunk"))
 
 
@@ -1013,7 +1013,7 @@ def c4_pack_units(spark, d):
 
 @query
 def c5_display_batches(spark, d):
-    texts = fx.table(spark, d, "documents").select("doc_id", "text")
+    texts = fx.texts(spark, d).select("doc_id", "text")
     pieces = chunks.display_pieces(texts)
     # Order by document and piece, made dense in two steps.
     numbered = dense_position(pieces.withColumn("_o", F.col("doc_id") * 100000 + F.col("piece_no"))
@@ -1025,7 +1025,7 @@ def c5_display_batches(spark, d):
 
 @query
 def c6_choose_units(spark, d):
-    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("meeting_id"), "text")
+    docs = fx.texts(spark, d).select(F.col("doc_id").alias("meeting_id"), "text")
     segs = docs.select("meeting_id", F.posexplode(X.sentences("text")).alias("segment_id", "text"))
     segs = segs.withColumn("speaker", F.lit(None).cast("string"))
     stored = docs.select("meeting_id", F.when(F.col("meeting_id") % 2 == 0, F.col("text")).otherwise(
@@ -1086,7 +1086,7 @@ def m4_nmf(spark, d):
 
 @query
 def m5_text_vectors(spark, d):
-    rows = vectors.hashed_vectors(fx.table(spark, d, "documents").select("doc_id", "text"))
+    rows = vectors.hashed_vectors(fx.texts(spark, d).select("doc_id", "text"))
     return rows.select("doc_id", F.round(F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding"))),
                                          4).alias("length"), F.size("embedding").alias("size"))
 

@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, spread over the cores where it comes in fewer pieces than there are.
+
+    A small file is one row group and so one task, however heavy its texts are. Inputs with more
+    splits than cores are read as they lie, without a shuffle.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templated transcripts: one segment per order, positions dense per meeting."""
     orders = table(spark, sf_dir, "orders").select(
