@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.plans.ordered import BLOCK, running_sum, with_neighbours
+from colloquy.plans.runtime import materialize
 
 PIECE = 64
 CHAR_BLOCK = 4096
@@ -58,7 +59,8 @@ def _starts(c: Column, n: int) -> Column:
 
 def _lookups(needles: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, needle, w, nxt, delta): word pairs to look for; a match starts ``delta`` from w."""
-    pairs = index.groupBy(*keys, "w", "nxt").agg(F.count(F.lit(1)).alias("cnt"))
+    # Distinct pairs grow far slower than the text and are read for every quote length.
+    pairs = materialize(index.groupBy(*keys, "w", "nxt").agg(F.count(F.lit(1)).alias("cnt")))
     n = needles.withColumn("_q", F.split("needle", " ")).withColumn("_m", F.size("_q"))
     first, second = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
     three = F.lit(3)
@@ -137,7 +139,7 @@ def occurrences(needles: DataFrame, rows: DataFrame, keys: list[str],
     (normalised, not blank) + payload columns. The running text is the rows in order, joined by
     single spaces. Returns keys, needle, start and ``cover``, the ordered rows it touches.
     """
-    needles = needles.select(*keys, "needle").distinct()
+    needles = materialize(needles.select(*keys, "needle").distinct())
     rows = rows.select(*keys, "row_id", "text", *payload)
     placed = running_sum(rows, keys, "row_id", F.length("text") + 1, "at", block=block)
     placed = with_neighbours(
@@ -170,7 +172,7 @@ def occurrences(needles: DataFrame, rows: DataFrame, keys: list[str],
 
 def rows_containing(needles: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct (keys, needle, row_id) where the needle occurs within one row's text."""
-    needles = needles.select(*keys, "needle").distinct()
+    needles = materialize(needles.select(*keys, "needle").distinct())
     placed = rows.select(*keys, "row_id", "text").withColumn("at", F.lit(0))
     index = _word_index(placed, keys, None)
     wanted = _lookups(needles, index, keys)

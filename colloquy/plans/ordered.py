@@ -92,13 +92,22 @@ def carry_last(df: DataFrame, keys: list[str], order: str, tie: str, value: Colu
             .drop("_blk", "_val", "_here", "_carry"))
 
 
+GROUP_LIMIT = 1000  # up to here Spark itself drops lower ranks before the shuffle
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, spread: list[str],
           shards: int = 64) -> DataFrame:
-    """First ``k`` rows per key, cut down inside hash shards of ``spread`` before the final rank."""
-    shard = F.pmod(F.xxhash64(*spread), F.lit(shards))
-    local = Window.partitionBy(*keys, "_shard").orderBy(*order)
+    """First ``k`` rows per key with their ``rank``.
+
+    For small ``k`` the rank filter is applied in every input partition before rows are shuffled.
+    For larger ``k`` rows are first cut down inside hash shards of ``spread``, so that a large key
+    is spread over many tasks.
+    """
     final = Window.partitionBy(*keys).orderBy(*order)
-    return (df.withColumn("_shard", shard)
-            .withColumn("_rank", F.row_number().over(local)).filter(F.col("_rank") <= k)
-            .withColumn("_rank", F.row_number().over(final)).filter(F.col("_rank") <= k)
-            .drop("_shard").withColumnRenamed("_rank", "rank"))
+    rows = df
+    if k > GROUP_LIMIT:
+        local = Window.partitionBy(*keys, "_shard").orderBy(*order)
+        rows = (df.withColumn("_shard", F.pmod(F.xxhash64(*spread), F.lit(shards)))
+                .withColumn("_rank", F.row_number().over(local)).filter(F.col("_rank") <= k)
+                .drop("_shard", "_rank"))
+    return rows.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
