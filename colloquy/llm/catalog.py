@@ -52,7 +52,7 @@ WITH units AS (
   FROM weighed
 ), targets AS (
   SELECT skey, source_size, least(lim::DOUBLE,
-         (SELECT min(level) FROM levels WHERE lim / weight >= level) * weight) AS target
+         (SELECT max(level) FROM levels WHERE lim / weight >= level) * weight) AS target
   FROM levels
 ), passes AS (
   SELECT u.*, t.source_size, t.target, unnest(range(0, CAST(least(

@@ -42,6 +42,7 @@ def source_targets(units: DataFrame, weights: Sequence[float] = WEIGHTS, cap: in
     Sources in order of code points, null last, take ``weights`` in turn. With the sources
     sorted by limit / weight, the water level over the k-th is (budget - limits before it) /
     (weights from it on); the first source whose limit is not below its level fixes the level.
+    Levels fall from there on, so it is the highest of the levels that hold.
     """
     sources = units.groupBy("skey").agg(F.sum("size").alias("source_size"))
     ordinal = F.row_number().over(Window.orderBy(F.col("skey") == "", "skey")) - 1
@@ -55,7 +56,7 @@ def source_targets(units: DataFrame, weights: Sequence[float] = WEIGHTS, cap: in
     levels = weighed.withColumn(
         "level", (F.sum("source_size").over(everywhere) - F.coalesce(F.sum("limit").over(earlier), F.lit(0)))
         / F.sum("weight").over(onwards))
-    fixed = F.min(F.when(F.col("limit") / F.col("weight") >= F.col("level"), F.col("level")))
+    fixed = F.max(F.when(F.col("limit") / F.col("weight") >= F.col("level"), F.col("level")))
     return levels.withColumn("water", fixed.over(everywhere)).select(
         "skey", "source_size",
         F.least(F.col("limit").cast("double"), F.col("water") * F.col("weight")).alias("target"))
