@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import exact_dedup, mixing, sharding
+import corpus_pipeline
+from colloquy.llm import (
+    bpe,
+    exact_dedup,
+    html_extract,
+    language_id,
+    mixing,
+    ngram_join,
+    quality,
+    secret_scan,
+    sharding,
+    vector_search,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,19 +31,66 @@ def op1_mixing(spark, d) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size")).alias("taken"))
 
 
+def _joined_spans(findings: Column) -> Column:
+    text = lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))
+    return F.array_join(F.transform(findings, text), ",")
+
+
+def op2_secret_scan(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents")
+    findings = F.col("findings")
+    base = F.filter(findings, lambda f: f["kind"] != "model")
+    count = lambda kind: F.size(F.filter(findings, lambda f: f["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return secret_scan.find_secrets(docs, secret_scan.train(docs)).select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(_joined_spans(base), 256).alias("base_sha256"), _joined_spans(findings).alias("spans"))
+
+
+def op3_vector_search(spark, d) -> DataFrame:
+    return vector_search.nearest(table(spark, d, "embeddings"))
+
+
 def op4_exact_dedup(spark, d) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, d, "documents"))
 
 
+def op5_byte_bpe(spark, d) -> DataFrame:
+    return bpe.encoded_digests(table(spark, d, "documents"), public_tokenizers.path(corpus_pipeline.RANKS),
+                               public_tokenizers.PATTERN)
+
+
+def op6_ngram_jaccard(spark, d) -> DataFrame:
+    return ngram_join.components(table(spark, d, "documents"))
+
+
 def op7_sharding(spark, d) -> DataFrame:
     return sharding.shard_rows(table(spark, d, "documents"))
 
 
-QUERIES = {
-    "op1_mixing": op1_mixing,
-    "op4_exact_dedup": op4_exact_dedup,
-    "op7_sharding": op7_sharding,
-}
+def op8_quality(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents")
+    scored = quality.score_documents(docs, quality.train(docs, table(spark, d, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return language_id.predict(docs, language_id.train(docs), ["doc_id"]).select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_html_extract(spark, d) -> DataFrame:
+    return html_extract.extract_pages(table(spark, d, "pages"))
+
+
+def pipeline(spark, d) -> DataFrame:
+    return corpus_pipeline.run(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mixing, op2_secret_scan, op3_vector_search, op4_exact_dedup, op5_byte_bpe, op6_ngram_jaccard, op7_sharding,
+    op8_quality, op9_language_id, op10_html_extract, pipeline)}
 
 ORACLES = {
     "op1_mixing": r"""
@@ -78,3 +138,5 @@ SELECT doc_id, keep_id, count(*) OVER (PARTITION BY t) AS group_size,
 FROM (SELECT doc_id, coalesce(text, '') AS t, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id
       FROM documents) d""",
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -98,11 +98,10 @@ def fair_mix(units: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CA
     sums = totals.select("slab", F.coalesce(
         F.sum("total").over(Window.orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("base"))
-    budget = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("budget"))
-    cut = sums.join(F.broadcast(budget))  # one row
+    budget = sources.agg(F.sum("source_size").alias("budget")).first().budget or 0  # one number
     within = Window.partitionBy("slab").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    reached = ranged.withColumn("run", F.sum("size").over(within)).join(cut, "slab")
-    chosen = F.when(F.col("base") + F.col("run") <= F.col("budget"), 1).otherwise(0)
+    reached = ranged.withColumn("run", F.sum("size").over(within)).join(sums, "slab")
+    chosen = F.when(F.col("base") + F.col("run") <= F.lit(budget), 1).otherwise(0)
     return reached.groupBy("uid", "doc_id", "skey", "size", "source_size", "target").agg(
         F.sum(chosen).alias("passes"))
 
