@@ -28,7 +28,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import whole_text
+from colloquy.llm.common import whole_text, with_fields
 
 CHUNK, OVERLAP, MARGIN = 1 << 15, 1 << 10, 4
 CACHE = 200_000  # distinct matches remembered in a task
@@ -141,7 +141,7 @@ def stitched_pieces(long: DataFrame, pattern: str) -> DataFrame:
 
 def encode_pieces(pieces: DataFrame, keep: list[str], ranks_file: bytes, pattern: str) -> DataFrame:
     """``keep``, ``ids`` and ``decoded`` (the bytes that the ids stand for) of each ``text``."""
-    schema = pieces.select(*keep).schema.add("ids", "array<int>").add("decoded", "binary")
+    schema = with_fields(pieces.select(*keep), "ids array<int>, decoded binary")
 
     def encode(batches):
         import numpy as np

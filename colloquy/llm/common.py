@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,3 +26,8 @@ def whole_text(text: Column) -> Column:
 def unsigned_share(h: Column) -> Column:
     """A number strictly between 0 and 1 from a 64-bit hash."""
     return (F.shiftrightunsigned(h, 11) + F.lit(0.5)) / F.lit(float(2 ** 53))
+
+
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` and the fields that ``ddl`` names."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -26,7 +26,7 @@ from math import log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import whole_text
+from colloquy.llm.common import whole_text, with_fields
 
 # Fixed values of the language HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -208,7 +208,7 @@ def main_text(html: str) -> str:
 def extract_pages(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns ``keep``, ``text`` and its length ``n_chars`` for every page."""
     keep = list(keep)
-    schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "bigint")
+    schema = with_fields(pages.select(*keep), "text string, n_chars bigint")
 
     def extract(batches):
         import pyarrow as pa

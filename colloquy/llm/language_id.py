@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import cnn
-from colloquy.llm.common import fresh, unsigned_share, whole_text
+from colloquy.llm.common import fresh, unsigned_share, whole_text, with_fields
 
 WIDTH = 256
 PER_LANGUAGE = 500
@@ -75,7 +75,7 @@ def predict(docs: DataFrame, model, keep: list[str], text: str = "text", lang_co
     if model is None:
         return marked.select(*keep, F.lit("und").alias(lang_col), F.lit(0.0).alias(score_col))
     network, languages = model
-    schema = docs.select(*keep).schema.add(lang_col, "string").add(score_col, "double")
+    schema = with_fields(docs.select(*keep), f"{lang_col} string, {score_col} double")
 
     def score(batches):
         import pyarrow as pa

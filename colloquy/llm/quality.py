@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import cnn
-from colloquy.llm.common import unsigned_share, whole_text
+from colloquy.llm.common import unsigned_share, whole_text, with_fields
 
 PASSAGE = 512
 PER_CLASS = 3000
@@ -207,7 +207,7 @@ def score_documents(docs: DataFrame, model, id_col: str = "doc_id", text: str =
     """The id and the score of every row."""
     if isinstance(model, float):
         return docs.select(id_col, F.lit(model).alias("score"))
-    schema = docs.select(id_col).schema.add("score", "double")
+    schema = with_fields(docs.select(id_col), "score double")
 
     def score(batches):
         import pyarrow as pa

@@ -220,7 +220,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
         null.alias("query_id"), null.alias("query_key"), "embedding", "members")
     asked = rows.filter(F.col("vec_id") % every == 0).distinct()
     queries = asked.withColumn("length", F.size("embedding")).join(plan, "length").select(
-        F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shards") - 1)).cast("int").alias("shard"),
+        F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shards") - 1)).alias("shard"),
         F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("query_key"), "embedding",
         F.lit(None).cast("array<bigint>").alias("members"))
     streams = (dealt.unionByName(queries).repartitionByRange(int(total), "shard")
