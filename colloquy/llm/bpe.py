@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from array import array
 from itertools import chain
 from pathlib import Path
@@ -77,10 +78,35 @@ class MatchIds(dict):
         return ids
 
 
-def exact_spaces(pattern: str) -> str:
-    """The pattern with white space spelled out as the Unicode property, the tokenizer's meaning of it."""
-    return (pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")
-            .replace(r"\S", r"\P{White_Space}"))
+# Letters and numbers that came after Unicode 16.0, the tokenizer library's version;
+# for it they are neither. (first, last) code points.
+NEWER = """558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2
+a7f1-a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11de0-11de9 11df1-11df1
+1246f-1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2
+18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de
+1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"""
+
+
+class Matches:
+    """The matches of a pattern, by the tokenizer library's Unicode version."""
+
+    def __init__(self, pattern: str):
+        import regex
+
+        ranges = [r.split("-") for r in NEWER.split()]
+        self.newer = re.compile("[" + "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in ranges) + "]")
+        spelled = (pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")
+                   .replace(r"\S", r"\P{White_Space}"))  # other libraries' \s has more or fewer characters
+        self.pattern = regex.compile(spelled)
+
+    def spans(self, text: str):
+        shadow = self.newer.sub("\uffff", text) if self.newer.search(text) else text
+        return [m.span() for m in self.pattern.finditer(shadow)]
+
+    def texts(self, text: str) -> list[str]:
+        if self.newer.search(text):
+            return [text[a:b] for a, b in self.spans(text)]
+        return self.pattern.findall(text)
 
 
 def split_chunks(batches):
@@ -100,14 +126,12 @@ def split_chunks(batches):
 def scan_chunks(pattern: str):
     """Boundaries of a chunk's scan in its first and in its last OVERLAP characters, from its start."""
     def scan(batches):
-        import regex
-
-        find = regex.compile(exact_spaces(pattern)).finditer
+        matches = Matches(pattern)
         for batch in batches:
             heads, tails = [], []
             for text, last in zip(batch["text"], batch["last"], strict=True):
                 trusted = len(text) if last else len(text) - MARGIN
-                ends = [m.end() for m in find(text)]
+                ends = [end for _, end in matches.spans(text)]
                 heads.append([0] + [e for e in ends if e <= OVERLAP and e <= trusted])
                 tails.append([e - CHUNK for e in ends if CHUNK <= e <= trusted])
             yield batch.assign(head=heads, tail=tails)
@@ -146,10 +170,9 @@ def encode_pieces(pieces: DataFrame, keep: list[str], ranks_file: bytes, pattern
     def encode(batches):
         import numpy as np
         import pyarrow as pa
-        import regex
 
         ranks = load_ranks(ranks_file)
-        known, find = MatchIds(ranks), regex.compile(exact_spaces(pattern)).findall
+        known, find = MatchIds(ranks), Matches(pattern).texts
         spell = {rank: token for token, rank in ranks.items()}.__getitem__
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):

@@ -47,6 +47,7 @@ navigation newsletter notice notification notifications overlay pager pagination
 sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar widget widgets""".split())
 COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
 WORDS = re.compile(r"[a-z]+")
+CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
 
 class Element:
@@ -200,7 +201,7 @@ def block_texts(element: Element) -> str:
 
 def main_text(html: str) -> str:
     builder = TreeBuilder()
-    builder.feed(html)
+    builder.feed(CUT_TAG.sub("", html))
     builder.close()
     return block_texts(main_element(without_furniture(builder.root)))
 

@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,23 +41,34 @@ def test_chunks_meet(spark, monkeypatch):
     agree(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4))
 
 
-def test_white_space_is_that_of_the_library():
-    import regex
+MATCHES = bpe.Matches(public_tokenizers.PATTERN)
 
-    find = regex.compile(bpe.exact_spaces(public_tokenizers.PATTERN)).findall
+
+def encode(text):
+    return [i for m in MATCHES.texts(text) for i in bpe.merge_bytes(m.encode(), RANKS)]
+
+
+def test_every_character_is_of_the_library_class():
+    by_class = {name: tiktoken.Encoding("one", pat_str=name, mergeable_ranks=RANKS, special_tokens={})
+                for name in (r"\p{L}", r"\p{N}", r"\s")}
+    for code in range(0x110000):
+        c = chr(code)
+        if not 0xD800 <= code < 0xE000:
+            own = bool(MATCHES.newer.match(c))
+            got = [not own and bool(regex.match(p, c)) for p in (r"\p{L}", r"\p{N}", r"\p{White_Space}")]
+            assert got == [bool(e.encode_ordinary(c)) for e in by_class.values()], hex(code)
+
+
+def test_white_space():
     for c in [*range(0x300), *range(0x2000, 0x2070), 0x3000, 0xFEFF, 0x1680]:
         text = f"a{chr(c)}{chr(c)}b {chr(c)}1"
-        ids = [i for m in find(text) for i in bpe.merge_bytes(m.encode(), RANKS)]
-        assert ids == ENCODING.encode_ordinary(text), hex(c)
+        assert encode(text) == ENCODING.encode_ordinary(text), hex(c)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=500, deadline=None)
 @given(st.text(max_size=60))
 def test_round_trip(text):
-    import regex
-
-    ids = [i for m in regex.findall(bpe.exact_spaces(public_tokenizers.PATTERN), text)
-           for i in bpe.merge_bytes(m.encode(), RANKS)]
+    ids = encode(text)
     assert ids == ENCODING.encode_ordinary(text)
     spell = {v: k for k, v in RANKS.items()}
     assert b"".join(spell[i] for i in ids) == text.encode()
