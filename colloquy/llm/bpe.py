@@ -23,7 +23,6 @@ import base64
 import heapq
 import re
 from array import array
-from itertools import chain
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,7 +31,8 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import whole_text, with_fields
 
 CHUNK, OVERLAP, MARGIN = 1 << 15, 1 << 10, 4
-CACHE = 200_000  # distinct matches remembered in a task
+CACHE = 500_000  # distinct matches remembered in a task, some 100 MB
+SHORT = 64  # bytes of a match
 ROWS = 256  # rows of an output batch
 
 
@@ -45,6 +45,27 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one match: the neighbouring pair of lowest rank merges first, the leftmost of equals."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
+    return (merge_short if len(piece) <= SHORT else merge_long)(piece, ranks)
+
+
+def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ranks of all neighbouring pairs in a list, looked through for each merge."""
+    rank, none = ranks.get, len(ranks)
+    parts = [piece[i:i + 1] for i in range(len(piece))]
+    pairs = [rank(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
+    while pairs and (low := min(pairs)) < none:
+        i = pairs.index(low)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+        if i < len(pairs):
+            pairs[i] = rank(parts[i] + parts[i + 1], none)
+    return [ranks[p] for p in parts]
+
+
+def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """A heap of pairs, for matches of any length."""
     n = len(piece)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # starts of the neighbouring parts
     end = list(range(1, n + 1))  # end of the part that starts here, 0 once it is merged away
@@ -66,15 +87,15 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class MatchIds(dict):
-    """Ids of a match of the pattern, remembered up to a bound."""
+    """Ids of a match of the pattern, as four bytes each, remembered up to a bound."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
 
-    def __missing__(self, match: str) -> array:
+    def __missing__(self, match: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        self[match] = ids = array("i", merge_bytes(match.encode(), self.ranks))
+        self[match] = ids = array("i", merge_bytes(match.encode(), self.ranks)).tobytes()
         return ids
 
 
@@ -95,16 +116,20 @@ class Matches:
 
         ranges = [r.split("-") for r in NEWER.split()]
         self.newer = re.compile("[" + "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in ranges) + "]")
+        self.high = re.compile(f"[{chr(int(ranges[0][0], 16))}-\U0010ffff]")  # none of these: nothing newer either
         spelled = (pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")
                    .replace(r"\S", r"\P{White_Space}"))  # other libraries' \s has more or fewer characters
         self.pattern = regex.compile(spelled)
 
+    def has_newer(self, text: str) -> bool:
+        return bool(self.high.search(text) and self.newer.search(text))
+
     def spans(self, text: str):
-        shadow = self.newer.sub("\uffff", text) if self.newer.search(text) else text
+        shadow = self.newer.sub("\uffff", text) if self.has_newer(text) else text
         return [m.span() for m in self.pattern.finditer(shadow)]
 
     def texts(self, text: str) -> list[str]:
-        if self.newer.search(text):
+        if self.has_newer(text):
             return [text[a:b] for a, b in self.spans(text)]
         return self.pattern.findall(text)
 
@@ -177,11 +202,10 @@ def encode_pieces(pieces: DataFrame, keep: list[str], ranks_file: bytes, pattern
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                ids = [array("i", chain.from_iterable(map(known.__getitem__, find(t))))
-                       for t in batch.column("text").to_pylist()]
-                decoded = [b"".join(map(spell, x)) for x in ids]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                values = np.concatenate([np.frombuffer(x, np.int32) for x in ids if x] or [np.zeros(0, np.int32)])
+                ids = [b"".join(map(known.__getitem__, find(t))) for t in batch.column("text").to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                values = np.frombuffer(b"".join(ids), np.int32)
+                decoded = [b"".join(map(spell, np.frombuffer(x, np.int32).tolist())) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                      pa.array(decoded, pa.binary())], [*keep, "ids", "decoded"])

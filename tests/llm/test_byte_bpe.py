@@ -77,3 +77,9 @@ def test_round_trip(text):
 def test_long_match():
     text = "ab" * 3000 + "é" * 2000
     assert bpe.merge_bytes(text.encode(), RANKS) == ENCODING.encode_ordinary(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(min_size=2, max_size=40))
+def test_both_ways_to_merge_agree(text):
+    assert bpe.merge_short(text.encode(), RANKS) == bpe.merge_long(text.encode(), RANKS)
