@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach.
+    """A folder of this session that all executors can reach, deleted when the session's JVM ends.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) is a folder of our own made, once per session.
+    It lies in the folder that ``spark.checkpoint.dir`` names, else in the warehouse.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
     context = spark.sparkContext
     if not hasattr(context, "_colloquy_shared_dir"):
-        context._colloquy_shared_dir = tempfile.mkdtemp(prefix="colloquy-")
+        parent = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{parent.rstrip('/')}/colloquy-{uuid.uuid4().hex}"
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        system = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+        context._colloquy_shared_dir = path
     return context._colloquy_shared_dir
 
 
