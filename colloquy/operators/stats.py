@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.plans.ordered import BLOCK, with_neighbours
+from colloquy.functions import text as X
+from colloquy.plans.ordered import BLOCK, walk, with_neighbours
 
 
 def class_counts(classified: DataFrame, by: list[str]) -> DataFrame:
@@ -144,46 +145,62 @@ def window_diff(truth: DataFrame, k: int = 3, block: int = BLOCK) -> DataFrame:
         F.round(F.avg((F.col("_rs") != F.col("_hs")).cast("double")), 6).alias("window_diff"))
 
 
-def boundary_scores(reference: DataFrame, found: DataFrame, tolerance: int = 2) -> DataFrame:
+def boundary_scores(reference: DataFrame, found: DataFrame, tolerance: int = 2,
+                    block: int = BLOCK) -> DataFrame:
     """A17. Precision, recall and F1 of boundaries, each matched at most once within tolerance.
 
-    Both: meeting_id, pos. Boundaries further apart than twice the tolerance cannot compete, so
-    the one-to-one matching runs on short stretches of neighbouring boundaries.
+    Both: meeting_id, pos. Boundary 0 is always there and does not count; a side without boundaries
+    scores 1. Boundaries are met in order of position, each taking the earliest open one of the
+    other side that is near enough, which matches as many as can be matched.
     """
-    both = reference.select("meeting_id", "pos", F.lit(1).alias("is_ref")).unionByName(
-        found.select("meeting_id", "pos", F.lit(0).alias("is_ref"))).distinct()
-    near = found.select("meeting_id", F.col("pos").alias("f")).distinct().withColumn(
-        "pos", F.explode(F.sequence(F.col("f") - tolerance, F.col("f") + tolerance)))
-    pairs = near.join(reference.select("meeting_id", "pos").distinct(), ["meeting_id", "pos"])
-    # Greedy in order of found boundaries, smallest reference first: with equal tolerances this
-    # is a matching on a line, resolved per block of positions linked by pairs.
-    linked = pairs.select("meeting_id", "f", F.col("pos").alias("r"))
-    stretch = linked.withColumn("_blk", F.floor(F.col("f") / BLOCK))
-    schema = "meeting_id bigint, matched bigint"
-    hits = (stretch.groupBy("meeting_id", "_blk").applyInPandas(_match_line, schema)
-            .groupBy("meeting_id").agg(F.sum("matched").alias("matched")))
-    counts = both.groupBy("meeting_id").agg(F.sum("is_ref").alias("_ref"),
-                                            F.sum(1 - F.col("is_ref")).alias("_hyp"))
-    p = F.try_divide(F.coalesce("matched", F.lit(0)), F.col("_hyp"))
-    r = F.try_divide(F.coalesce("matched", F.lit(0)), F.col("_ref"))
-    scored = counts.join(hits, "meeting_id", "left").select(
-        "meeting_id", F.coalesce(p, F.lit(0.0)).alias("precision"),
-        F.coalesce(r, F.lit(0.0)).alias("recall"))
+    def side(df: DataFrame, flag: str) -> DataFrame:
+        return df.filter("pos > 0").select("meeting_id", "pos").distinct().withColumn(flag, F.lit(1))
+
+    every = reference.select("meeting_id").union(found.select("meeting_id")).distinct()
+    both = side(reference, "is_ref").join(side(found, "is_found"), ["meeting_id", "pos"], "full_outer").fillna(0)
+    hits = walk(both, ["meeting_id"], "pos", _match_line(tolerance), "matched bigint", block)
+    counts = both.groupBy("meeting_id").agg(F.sum("is_ref").alias("_ref"), F.sum("is_found").alias("_found"))
+    total = hits.groupBy("meeting_id").agg(F.sum("matched").alias("_hits"))
+    rows = every.join(counts, "meeting_id", "left").join(total, "meeting_id", "left").fillna(0)
+    share = lambda of: F.when(F.col(of) > 0, F.col("_hits") / F.col(of)).otherwise(1.0)
+    scored = rows.select("meeting_id", share("_found").alias("precision"), share("_ref").alias("recall"))
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"),
                                  F.col("precision") + F.col("recall")), F.lit(0.0))
     return scored.withColumn("f1", f1)
 
 
-def _match_line(pdf):
+def _match_line(tolerance: int):
+    import json
+
     import pandas as pd
 
-    used = set()
-    for f, options in pdf.sort_values(["f", "r"]).groupby("f", sort=True):
-        for r in options["r"]:
-            if r not in used:
-                used.add(r)
-                break
-    return pd.DataFrame({"meeting_id": [pdf["meeting_id"].iloc[0]], "matched": [len(used)]})
+    def step(pdf: pd.DataFrame, state: str | None):
+        open_sides, matched = json.loads(state) if state else [[], []], 0
+        for row in pdf.itertuples(index=False):
+            near = [[p for p in side if p >= row.pos - tolerance] for side in open_sides]
+            for own, other, here in ((0, 1, row.is_ref), (1, 0, row.is_found)):
+                if here and near[other]:
+                    near[other].pop(0)
+                    matched += 1
+                elif here:
+                    near[own].append(int(row.pos))
+            open_sides = near
+        return pd.DataFrame({"matched": [matched]}), json.dumps(open_sides)
+
+    return step
+
+
+def full_texts(segments: DataFrame, block: int = 1024) -> DataFrame:
+    """P8. The whole text of each meeting, put together from blocks of segments.
+
+    A meeting's text is one value of the result; only the blocks' texts are gathered for it.
+    """
+    rows = segments.select("meeting_id", "segment_id", X.norm("text").alias("_t")).filter("_t <> ''")
+    parts = rows.groupBy("meeting_id", F.floor(F.col("segment_id") / block).alias("_blk")).agg(
+        F.array_sort(F.collect_list(F.struct("segment_id", "_t"))).alias("_rows"))
+    texts = parts.select("meeting_id", "_blk", F.array_join(F.col("_rows._t"), " ").alias("_part"))
+    return texts.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("_blk", "_part"))).alias("_p")).select(
+        "meeting_id", F.array_join(F.col("_p._part"), " ").alias("full_text"))
 
 
 def newest_first(meetings: DataFrame, sort: str = "uploaded_at") -> DataFrame:
@@ -213,7 +230,7 @@ def merge_entities(chunks: DataFrame) -> DataFrame:
 
 
 def merge_summaries(points: DataFrame) -> DataFrame:
-    """U2. Summary points over all chunks in order, each wording once."""
+    """U2. Summary points over all chunks in order, each wording once, with the evidence it came with."""
     return points.groupBy("meeting_id", "point").agg(
-        F.min(F.struct("chunk_no", "point_no")).alias("_at")).select(
-        "meeting_id", "point", "_at.chunk_no", "_at.point_no")
+        F.min(F.struct("chunk_no", "point_no", "evidence")).alias("_at")).select(
+        "meeting_id", "point", "_at.chunk_no", "_at.point_no", "_at.evidence")

@@ -92,6 +92,56 @@ def carry_last(df: DataFrame, keys: list[str], order: str, tie: str, value: Colu
             .drop("_blk", "_val", "_here", "_carry"))
 
 
+def walk(rows: DataFrame, keys: list[str], order: str, step: Callable, schema: str,
+         block: int = BLOCK) -> DataFrame:
+    """A sequential walk along ``order`` within ``keys``, exact for transcripts of any length.
+
+    ``step(pdf, state)`` walks one stretch of ``block`` positions, in order, from the state (text, or
+    None at the beginning) that the stretch before it ends in, and returns (rows, end state). All
+    stretches walk at once, first as if each were the beginning; those whose incoming state turns
+    out to differ walk again, until none does. Walks that forget (chunks, peaks) settle at
+    once; the first stretch not yet settled settles in every round, so the rounds always end.
+    """
+    from colloquy.plans.runtime import has_rows, materialize
+
+    names = [field.split()[0] for field in schema.split(", ")]
+    types = dict(rows.dtypes)
+    shape = ", ".join([*[f"{k} {types[k]}" for k in keys], "_blk bigint", "_end string", schema])
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(order)
+        first = pdf.iloc[0]
+        found, end = step(pdf, first["_state"] if isinstance(first["_state"], str) else None)
+        # The last row tells the end state; its other columns are empty.
+        out = pd.concat([found, pd.DataFrame({"_end": [end]})], ignore_index=True)
+        for k in (*keys, "_blk"):
+            out[k] = first[k]
+        return out[[*keys, "_blk", "_end", *names]]
+
+    cut = rows.withColumn("_blk", block_of(order, block))
+    along = Window.partitionBy(*keys).orderBy("_blk")
+    chain = materialize(cut.select(*keys, "_blk").distinct().withColumn("_before", F.lag("_blk").over(along)))
+    found = materialize(cut.withColumn("_state", F.lit(None).cast("string"))
+                        .groupBy(*keys, "_blk").applyInPandas(run, shape))
+    used = chain.withColumn("_state", F.lit(None).cast("string"))
+    later = chain.filter("_before is not null")
+    while has_rows(later):
+        ends = found.filter("_end is not null").select(*keys, F.col("_blk").alias("_before"),
+                                                      F.col("_end").alias("_now"))
+        now = used.join(ends, [*keys, "_before"], "left").withColumn(
+            "_same", F.col("_now").eqNullSafe(F.col("_state")))
+        now = materialize(now)
+        again = now.filter("not _same").select(*keys, "_blk", F.col("_now").alias("_state"))
+        if not has_rows(again):
+            break
+        redone = cut.join(again, [*keys, "_blk"]).groupBy(*keys, "_blk").applyInPandas(run, shape)
+        found = materialize(found.join(again.drop("_state"), [*keys, "_blk"], "left_anti").unionByName(redone))
+        used = now.select(*keys, "_blk", "_before", F.col("_now").alias("_state"))
+    return found.filter("_end is null").drop("_end")
+
+
 GROUP_LIMIT = 1000  # up to here Spark itself drops lower ranks before the shuffle
 
 
