@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
 from colloquy.functions import vocab as V
-from colloquy.operators.evidence import valid_evidence
+from colloquy.operators.evidence import locate_quotes, valid_evidence
 from colloquy.operators.records import PIPELINE, _conflict, _prefix, record_id
 from colloquy.plans.graph import connected_components
 from colloquy.plans.runtime import has_rows, materialize
@@ -144,17 +144,25 @@ def reconcile(previous: DataFrame, candidate: DataFrame, segments: DataFrame,
     Stable: matched, keeps the old id. Retained: omitted by the new run but still supported and
     made the same way. Removed: the rest of the old (``review`` marks those people had edited).
     New: the rest of the new, with a new id when the old one is taken. Topics stay out.
-    ``previous`` and ``candidate`` carry id, pos, status, answer and (previous) edited_owner.
+    ``previous`` and ``candidate`` carry id, pos, status, answer, answer_evidence; ``previous`` also
+    ``edits``, the map of fields that people set (R8), which win over either version's values.
     """
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    edits = F.coalesce("edits", empty)
     old = previous.filter(F.col("category") != "topics")
     new = candidate.filter(F.col("category") != "topics")
     grounded = valid_evidence(old, segments).select(*GROUP, "pos").withColumn("_ok", F.lit(True))
     usable = old.join(grounded, GROUP + ["pos"], "left_semi")
     matches = match_records(usable, new)
     fields = ["id", "text", "evidence", "seg_from", "seg_to", "owner", "deadline", "status",
-              "answer"]
+              "answer", "answer_evidence"]
+    # An answer stays only while the transcript still holds what it was taken from.
+    quoted = old.filter("answer is not null").select("meeting_id", F.col("answer_evidence").alias("quote"))
+    proven = locate_quotes(quoted, segments).select("meeting_id", F.col("quote").alias("_proof")).withColumn(
+        "_proven", F.lit(True))
+    old = old.withColumn("_proof", X.norm("answer_evidence")).join(proven, ["meeting_id", "_proof"], "left")
     o = old.join(grounded, GROUP + ["pos"], "left").join(compatible, "meeting_id", "left").select(
-        *GROUP, F.col("pos").alias("o_pos"), "_ok", "compatible", "edited_owner",
+        *GROUP, F.col("pos").alias("o_pos"), "_ok", "compatible", edits.alias("edits"), "_proven",
         *[F.col(c).alias(f"o_{c}") for c in fields])
     n = new.select(*GROUP, F.col("pos").alias("n_pos"),
                    *[F.col(c).alias(f"n_{c}") for c in fields])
@@ -166,18 +174,21 @@ def reconcile(previous: DataFrame, candidate: DataFrame, segments: DataFrame,
             .when(kept, "retained").otherwise("removed"))
     # A resolved question does not become open again.
     regressed = (matched & (F.col("category") == "questions") & (F.col("o_status") == "Resolved")
-                 & (F.col("n_status") != "Resolved") & F.col("o_answer").isNotNull())
+                 & (F.col("n_status") != "Resolved") & F.col("o_answer").isNotNull()
+                 & F.coalesce("_proven", F.lit(False)))
+    def own(field: str, value: Column) -> Column:
+        return F.coalesce(F.try_element_at("edits", F.lit(field)), value).alias(field)
+
     rows = both.withColumn("reconciliation", fate).select(
         *GROUP, "reconciliation", F.coalesce("o_id", "n_id").alias("id"),
-        *[F.coalesce(f"n_{c}", f"o_{c}").alias(c) for c in ("text", "evidence", "seg_from",
-                                                             "seg_to", "deadline")],
-        F.coalesce(F.col("edited_owner"), F.when(F.col("n_pos").isNotNull(), F.col("n_owner"))
-                   .otherwise(F.col("o_owner"))).alias("owner"),
-        F.when(regressed, F.col("o_status")).otherwise(F.coalesce("n_status", "o_status"))
-        .alias("status"),
-        F.when(regressed, F.col("o_answer")).otherwise(F.coalesce("n_answer", "o_answer"))
-        .alias("answer"),
-        F.col("edited_owner").isNotNull().alias("edited"))
+        *[F.coalesce(f"n_{c}", f"o_{c}").alias(c) for c in ("evidence", "seg_from", "seg_to")],
+        own("text", F.coalesce("n_text", "o_text")),
+        own("deadline", F.coalesce("n_deadline", "o_deadline")),
+        own("owner", F.when(F.col("n_pos").isNotNull(), F.col("n_owner")).otherwise(F.col("o_owner"))),
+        own("status", F.when(regressed, F.col("o_status")).otherwise(F.coalesce("n_status", "o_status"))),
+        own("answer", F.when(regressed, F.col("o_answer")).otherwise(F.coalesce("n_answer", "o_answer"))),
+        F.coalesce("edits", empty).alias("edits"),
+        (F.size(F.map_keys(F.coalesce("edits", empty))) > 0).alias("edited"))
     taken = (rows.filter(F.col("reconciliation").isin("stable", "retained"))
              .select(*GROUP, "id").distinct().withColumn("_taken", F.lit(True)))
     settled = rows.join(taken, GROUP + ["id"], "left")
@@ -224,11 +235,10 @@ def keep_takeaway(previous: DataFrame, current: DataFrame, compatible: DataFrame
                        .alias("evidence"), keep.alias("kept"))
 
 
-def apply_edits(items: DataFrame, edits: DataFrame) -> DataFrame:
-    """R17. Edits take effect only on the analysis and task they were made for.
+def edit_outcomes(items: DataFrame, edits: DataFrame) -> DataFrame:
+    """R17. What becomes of each edit: accepted, not_found, or conflict with a newer analysis.
 
-    ``items``: meeting_id, item_index, task, analyzed_at, owner, deadline. ``edits``: meeting_id,
-    item_index, task, analyzed_at, owner, deadline. ``outcome``: accepted, not_found, conflict.
+    ``items`` and ``edits``: meeting_id, item_index, task, analyzed_at, owner, deadline.
     """
     found = items.select("meeting_id", "item_index", F.col("task").alias("_task"),
                          F.col("analyzed_at").alias("_at"))
@@ -241,6 +251,18 @@ def apply_edits(items: DataFrame, edits: DataFrame) -> DataFrame:
                        outcome.alias("outcome"))
 
 
+def apply_edits(items: DataFrame, edits: DataFrame) -> DataFrame:
+    """R17. The items after the accepted edits (one an item); edited ones are marked for R18."""
+    done = edit_outcomes(items, edits).filter("outcome = 'accepted'").select(
+        "meeting_id", "item_index", F.col("owner").alias("_owner"), F.col("deadline").alias("_deadline"),
+        F.lit(True).alias("_done"))
+    rows = items.join(done, ["meeting_id", "item_index"], "left")
+    hit = F.coalesce("_done", F.lit(False))
+    return (rows.withColumn("owner", F.when(hit, F.col("_owner")).otherwise(F.col("owner")))
+            .withColumn("deadline", F.when(hit, F.col("_deadline")).otherwise(F.col("deadline")))
+            .withColumn("manually_edited", hit).drop("_owner", "_deadline", "_done"))
+
+
 def carry_edits(items: DataFrame, old: DataFrame) -> DataFrame:
     """R18. Manual owner/deadline move on where exactly one old edited row has task and quote."""
     edited = (old.filter("manually_edited").groupBy("meeting_id", "text", "evidence")

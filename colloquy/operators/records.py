@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
@@ -113,6 +113,25 @@ def issues(validated: DataFrame, by: list[str]) -> DataFrame:
         .otherwise("empty").alias("state"))
 
 
+SOURCES = 4096  # segments whose records are numbered in one window
+
+
+def number(items: DataFrame, group: list[str], order: tuple[str, ...] = ("seg_from", "seg_to", "text", "evidence")
+           ) -> DataFrame:
+    """``items`` with ``pos``: their dense place in the group, unique also where sources tie or are unknown.
+
+    Records without segment ids come last. Places are counted in blocks of cited segments.
+    """
+    rows = items.withColumn("_blk", F.coalesce(F.floor(F.col("seg_from") / SOURCES), F.lit(1 << 40)))
+    sizes = rows.groupBy(*group, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(*group, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*group, "_blk").orderBy(*[F.asc_nulls_last(c) for c in order])
+    return (rows.withColumn("_place", F.row_number().over(inside)).join(bases, [*group, "_blk"])
+            .withColumn("pos", (F.col("_base") + F.col("_place") - 1).cast("bigint"))
+            .drop("_blk", "_place", "_base"))
+
+
 def _prefix(terms: Column, threshold: float) -> Column:
     """Terms of which two sets with the given Jaccard must share one (longest words first)."""
     ordered = F.array_sort(F.transform(terms, lambda w: F.struct((-F.length(w)).alias("l"),
@@ -257,9 +276,8 @@ def deduplicate(items: DataFrame, group: list[str]) -> DataFrame:
 
 
 def merge_chunks(items: DataFrame, group: list[str]) -> DataFrame:
-    """R5. Records of several chunks as one report: ordered by source, then R4."""
-    ordered = items.withColumn("pos", F.col("seg_from") * 1024 + F.col("chunk_no"))
-    return deduplicate(ordered, group)
+    """R5. Records of several chunks as one report: ordered by source and wording, then R4."""
+    return deduplicate(number(items, group, ("seg_from", "seg_to", "text", "chunk_no", "evidence")), group)
 
 
 def assign_ids(items: DataFrame) -> DataFrame:

@@ -10,11 +10,11 @@ from colloquy.operators import reconcile, records
 
 ITEM = ("meeting_id bigint, category string, pos bigint, text string, evidence string, seg_from bigint, "
         "seg_to bigint, timestamp double, speaker string, owner string, deadline string, priority string, "
-        "status string, answer string")
+        "status string, answer string, answer_evidence string")
 
 
 def item(pos, text, quote, owner=None, deadline=None, seg=0, category="action_items"):
-    return (1, category, pos, text, quote, seg, seg, 0.0, None, owner, deadline, None, "Pending", None)
+    return (1, category, pos, text, quote, seg, seg, 0.0, None, owner, deadline, None, "Pending", None, None)
 
 
 def word_set(text):
@@ -85,7 +85,8 @@ def reconciled(spark, old, new, texts, same=True, edited=None):
                                  "meeting_id bigint, segment_id bigint, start_sec double, end_sec double, "
                                  "speaker string, text string")
     prev = records.assign_ids(spark.createDataFrame(old, ITEM)).withColumn(
-        "edited_owner", F.lit(edited).cast("string"))
+        "edits", F.create_map(*[F.lit(x) for pair in (edited or {}).items() for x in pair])
+        if edited else F.lit(None).cast("map<string,string>"))
     cand = records.assign_ids(spark.createDataFrame(new, ITEM))
     flags = spark.createDataFrame([(1, same)], "meeting_id bigint, compatible boolean")
     ids = {r["pos"]: r["id"] for r in prev.collect()}
@@ -97,10 +98,40 @@ TURN = "Alice will prepare the wireframes by Friday."
 
 def test_reworded_item_keeps_its_id_and_edit(spark):
     ids, rows = reconciled(spark, [item(0, "Prepare the wireframes", TURN)],
-                           [item(0, "Create revised wireframes", TURN)], [TURN], edited="User owner")
+                           [item(0, "Create revised wireframes", TURN)], [TURN], edited={"owner": "User owner"})
     assert [(r["id"], r["reconciliation"], r["owner"]) for r in rows] == [(ids[0], "stable", "User owner")]
 
 
+def test_every_edited_field_stays(spark):
+    edits = {"deadline": "Sunday", "status": "Completed", "text": "Own words"}
+    _, rows = reconciled(spark, [item(0, "Prepare the wireframes", TURN)], [item(0, "Prepare wireframes", TURN)],
+                         [TURN], edited=edits)
+    assert [(r["reconciliation"], r["deadline"], r["status"], r["text"], r["edited"]) for r in rows] == [
+        ("stable", "Sunday", "Completed", "Own words", True)]
+
+
+def test_several_records_of_a_turn_and_records_without_source(spark):
+    turn = "Alice will send the report and delete the backup."
+    items = [item(9, "Send report", turn), item(9, "Delete backup", turn), item(9, "Delete the backup", turn)]
+    loose = [(*x[:5], None, None, *x[7:]) for x in (item(9, "Hire a designer", turn), item(9, "Hire a cook", turn))]
+    rows = spark.createDataFrame([x[:2] + x[3:] for x in items + loose], ", ".join(
+        f for f in ITEM.split(", ") if not f.startswith("pos ")))
+    numbered = records.number(rows, ["meeting_id", "category"])
+    assert sorted(r["pos"] for r in numbered.collect()) == [0, 1, 2, 3, 4]
+    kept = records.deduplicate(numbered, ["meeting_id", "category"]).collect()
+    assert sorted((r["text"], r["merged"]) for r in kept) == [
+        ("Delete backup", 2), ("Hire a cook", 1), ("Hire a designer", 1), ("Send report", 1)]
+
+
+def test_a_citation_beyond_the_transcript_is_no_support(spark):
+    segs = spark.createDataFrame([(1, 0, 0.0, 1.0, None, TURN)], "meeting_id bigint, segment_id bigint, "
+                                 "start_sec double, end_sec double, speaker string, text string")
+    rows = spark.createDataFrame([(1, "decisions", "Something", "Not said", 0, 10 ** 15)],
+                                 "meeting_id bigint, category string, item_text string, evidence string, "
+                                 "seg_from bigint, seg_to bigint")
+    assert [r["reason"] for r in records.validate(rows, segs).collect()] == ["unmatched_evidence"]
+
+
 def test_distinct_tasks_of_one_turn_do_not_match(spark):
     turn = "Alice will send the report and delete the backup."
     ids, rows = reconciled(spark, [item(0, "Send report", turn, owner="Alice")],
@@ -114,7 +145,7 @@ def test_unsupported_or_changed_source_is_removed_and_reviewed(spark):
                          [item(0, "Other", TURN, seg=0)], [TURN])
     assert sorted(r["reconciliation"] for r in rows) == ["new", "removed"]
     _, rows = reconciled(spark, [item(0, "Prepare the wireframes", TURN)], [item(0, "Unlike", TURN)],
-                         [TURN], same=False, edited="User assignment")
+                         [TURN], same=False, edited={"deadline": "Never"})
     gone = [r for r in rows if r["reconciliation"] == "removed"]
     assert len(gone) == 1 and gone[0]["edited"]
 
