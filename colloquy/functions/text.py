@@ -159,9 +159,10 @@ def digest(*parts: Column) -> Column:
 # --- rules -----------------------------------------------------------------------------------
 
 def is_action(c: str | Column) -> Column:
-    text = F.replace(_col(c), F.lit("?"), F.lit("'"))
+    text = F.replace(_col(c), F.lit("\u2019"), F.lit("'"))
     asked = text.rlike(V.ACTION_REQUEST) | text.rlike(V.ACTION_PREFIX)
-    committed = text.rlike(V.ACTION_MATCH) & text.rlike(V.SUBJECT_GATE)
+    # A question is no commitment, whatever it asks about; only a request may be one.
+    committed = text.rlike(V.ACTION_MATCH) & text.rlike(V.SUBJECT_GATE) & ~text.contains("?")
     return ~text.rlike(V.ACTION_HEDGE) & (asked | committed)
 
 

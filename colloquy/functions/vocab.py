@@ -144,9 +144,11 @@ MEDIA_TYPES = {
     "video/quicktime": ".mov", "video/x-msvideo": ".avi", "application/octet-stream": ""}
 MAX_UPLOAD_BYTES = 500 * 1024 * 1024
 
-# --- fixed values: versions ---------------------------------------------------------------------
-ANALYSIS_VERSION = "meeting-intelligence-v3"
-PROMPT_VERSION = "exhaustive-evidence-v1"
+# --- versions of this engine's analysis, part of a manifest -----------------------------------------
+ANALYSIS_VERSION = "colloquy-analysis-2"
+PROMPT_VERSION = "colloquy-prompt-1"
+
+# --- fixed values: records ----------------------------------------------------------------------
 CATEGORIES = {"action_items": "task", "decisions": "decision", "questions": "question",
               "follow_ups": "task", "topics": "label"}
 NOT_FOUND = "I couldn't find this in the meeting."

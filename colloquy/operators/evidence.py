@@ -46,11 +46,14 @@ def id_spans(spans: DataFrame, segments: DataFrame) -> DataFrame:
     Ranges with an id outside the transcript get no row. The text of a range is one value of
     the result, so its length is that of the range itself.
     """
+    rows = transcript_rows(segments).withColumn("_blk", F.floor(F.col("row_id") / ID_BLOCK))
+    # What a model cites may be any number: a range is opened only where its end is in the transcript.
+    last = rows.groupBy("meeting_id").agg(F.max("row_id").alias("_last"))
     wanted = (spans.select("meeting_id", "seg_from", "seg_to").distinct()
               .filter((F.col("seg_from") >= 0) & (F.col("seg_to") >= F.col("seg_from")))
+              .join(last, "meeting_id").filter(F.col("seg_to") <= F.col("_last")).drop("_last")
               .withColumn("_blk", F.explode(F.sequence(
                   F.floor(F.col("seg_from") / ID_BLOCK), F.floor(F.col("seg_to") / ID_BLOCK)))))
-    rows = transcript_rows(segments).withColumn("_blk", F.floor(F.col("row_id") / ID_BLOCK))
     inside = (wanted.join(rows, ["meeting_id", "_blk"])
               .filter(F.col("row_id").between(F.col("seg_from"), F.col("seg_to"))))
     grouped = inside.groupBy("meeting_id", "seg_from", "seg_to").agg(

@@ -55,33 +55,31 @@ def questions(sentences: DataFrame) -> DataFrame:
 def gazetteer_entities(segments: DataFrame) -> DataFrame:
     """X9. Known technologies by name and numbered projects, wherever they occur.
 
-    The gazetteer is a constant of 34 rows, so broadcasting it is safe at any scale.
+    Sequences of words are looked up inside the row; only hits leave it.
     """
-    spark = segments.sparkSession
-    rows = ([(w, True, "TECHNOLOGY") for w in V.TECH_WORDS]
-            + [(p, False, "TECHNOLOGY") for p in V.TECH_PHRASES])
-    names = F.broadcast(spark.createDataFrame(rows, "name string, exact boolean, label string"))
     rows = segments.select("meeting_id", "segment_id", F.regexp_extract_all(
         "text", F.lit(V.WORD), 0).alias("_t")).filter(F.size("_t") > 0)
 
-    def of_size(n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size("_t") - n), lambda i: F.struct(
-            (i + 1).alias("i"), F.concat_ws(" ", *[F.get("_t", i + k) for k in range(n)]).alias("g")))
-        return F.when(F.size("_t") >= n, grams).otherwise(
-            F.array().cast("array<struct<i:int,g:string>>"))
-
-    sized = rows.select("meeting_id", "segment_id", F.explode(F.flatten(F.array(
-        *[of_size(n) for n in (1, 2, 3)]))).alias("_p")).select(
-        "meeting_id", "segment_id", F.col("_p.i").alias("_i"), F.col("_p.g").alias("gram"))
-    named = (sized.withColumn("exact", ~F.col("gram").contains(" "))
-             .withColumn("name", F.when(F.col("exact"), F.col("gram")).otherwise(F.lower("gram")))
-             .join(names, ["name", "exact"])
-             .select("meeting_id", "segment_id", "_i", F.col("gram").alias("entity"), "label"))
-    numbered = sized.filter(F.lower("gram").rlike(
-        "^(" + "|".join(V.PROJECT_WORDS) + r") [0-9]+$")).select(
-        "meeting_id", "segment_id", "_i", F.col("gram").alias("entity"),
-        F.lit("PROJECT").alias("label"))
-    return named.unionByName(numbered).withColumnRenamed("_i", "word_no")
+    project = "^(" + "|".join(V.PROJECT_WORDS) + r") [0-9]+$"
+
+    def label(gram: Column, n: int) -> Column:
+        if n == 1:
+            return F.when(gram.isin(V.TECH_WORDS), "TECHNOLOGY")
+        known = F.when(F.lower(gram).isin(V.TECH_PHRASES), "TECHNOLOGY")
+        return known.when(F.lower(gram).rlike(project), "PROJECT") if n == 2 else known
+
+    def hits(n: int) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size("_t") - n, F.lit(0)))
+        grams = F.transform(places, lambda i: F.struct((i + 1).alias("i"), F.concat_ws(
+            " ", *[F.get("_t", i + k) for k in range(n)]).alias("g")))
+        named = F.transform(grams, lambda p: F.struct(p["i"].alias("i"), p["g"].alias("g"), label(p["g"], n).alias("l")))
+        return F.when(F.size("_t") >= n, F.filter(named, lambda p: p["l"].isNotNull()))
+
+    none = F.array().cast("array<struct<i:int,g:string,l:string>>")
+    found = F.concat(*[F.coalesce(hits(n), none) for n in (1, 2, 3)])
+    return rows.select("meeting_id", "segment_id", F.explode(found).alias("_p")).select(
+        "meeting_id", "segment_id", F.col("_p.i").alias("word_no"), F.col("_p.g").alias("entity"),
+        F.col("_p.l").alias("label"))
 
 
 def label_entities(spans: DataFrame) -> DataFrame:

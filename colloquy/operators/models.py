@@ -6,17 +6,20 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import (CountVectorizer, IDF, IndexToString, Normalizer, StringIndexer)
+from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, IndexToString, Normalizer,
+                                StringIndexer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
 from colloquy.functions import vocab as V
+from colloquy.operators.vectors import plus_one
 from colloquy.operators.weights import ngrams, tfidf
 from colloquy.plans.runtime import fresh_path, materialize
 
-TERMS = 3000
+TERMS = 3000  # default sizes of vocabularies: topics, and the classifier's sequences
+GRAMS = 20000
 
 
 def _grams(rows: DataFrame) -> DataFrame:
@@ -25,7 +28,7 @@ def _grams(rows: DataFrame) -> DataFrame:
                                                                          (1, 2, 3)))
 
 
-def train_classifier(labelled: DataFrame, iterations: int = 100) -> PipelineModel:
+def train_classifier(labelled: DataFrame, iterations: int = 1000, terms: int = GRAMS) -> PipelineModel:
     """M1. Sentence classifier: tf-idf of one- to three-word sequences, balanced classes.
 
     ``labelled``: sentence, label. C = 1 on summed loss is regParam = 1/n on the mean loss.
@@ -35,10 +38,11 @@ def train_classifier(labelled: DataFrame, iterations: int = 100) -> PipelineMode
     totals = sizes.agg(F.sum("_k").alias("n"), F.count(F.lit(1)).alias("classes")).first()
     weighted = _grams(rows.join(sizes, "label").withColumn(
         "_weight", F.lit(float(totals["n"])) / (F.lit(totals["classes"]) * F.col("_k"))))
+    counter = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=terms).fit(weighted)
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(weighted)).idf
     stages = [StringIndexer(inputCol="label", outputCol="_label", handleInvalid="keep",
                             stringOrderType="alphabetAsc"),
-              CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=20000),
-              IDF(inputCol="_tf", outputCol="_idf"),
+              counter, ElementwiseProduct(inputCol="_tf", outputCol="_idf", scalingVec=plus_one(idf)),
               Normalizer(inputCol="_idf", outputCol="_features", p=2.0),
               LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight",
                                  maxIter=iterations, regParam=1.0 / max(1, totals["n"]),
@@ -70,10 +74,10 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def lda_topics(sentences: DataFrame, topics: int = 5, iterations: int = 20) -> DataFrame:
+def lda_topics(sentences: DataFrame, topics: int = 5, iterations: int = 20, terms: int = TERMS) -> DataFrame:
     """M3. Topics with their eight strongest terms and mean share, strongest first."""
     rows = sentences.withColumn("_tokens", X.content_words("sentence"))
-    counter = CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=TERMS).fit(rows)
+    counter = CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=terms).fit(rows)
     counted = materialize(counter.transform(rows).select("_tf"))
     model = LDA(k=topics, maxIter=iterations, optimizer="online", seed=42, featuresCol="_tf",
                 topicDistributionCol="_share").fit(counted)
@@ -81,24 +85,26 @@ def lda_topics(sentences: DataFrame, topics: int = 5, iterations: int = 20) -> D
                                              .alias("topic", "_s"))
     weights = shares.groupBy("topic").agg(F.round(F.avg("_s"), 4).alias("weight"))
     vocabulary = X.words_array(counter.vocabulary)
-    terms = model.describeTopics(8).select("topic", F.transform(
+    strongest = model.describeTopics(8).select("topic", F.transform(
         "termIndices", lambda i: F.element_at(vocabulary, i + 1)).alias("terms"))
-    return (terms.join(weights, "topic").select("topic", F.array_join("terms", ", ").alias("terms"),
+    return (strongest.join(weights, "topic").select("topic", F.array_join("terms", ", ").alias("terms"),
                                                 "weight").orderBy(F.desc("weight"), "topic"))
 
 
-def nmf_topics(sentences: DataFrame, topics: int = 5, iterations: int = 10) -> DataFrame:
+def nmf_topics(sentences: DataFrame, topics: int = 5, iterations: int = 300, terms: int = TERMS,
+               tolerance: float = 1e-4) -> DataFrame:
     """M4. Non-negative factors of the tf-idf table by multiplicative updates.
 
     ``sentences``: doc, sentence. Documents stay distributed, a row each with its terms; the
     term factors (``topics`` x at most 3000 numbers) are the model and travel with each round,
     which updates all document factors and sums what the term factors need, in one aggregation.
+    Rounds end when the factors change by less than ``tolerance`` of their length, or after ``iterations``.
     """
     import numpy as np
 
     docs = sentences.select(F.lit(0).alias("g"), "doc", X.content_words("sentence")
                             .alias("tokens"))
-    weights = materialize(tfidf(docs, ["g"], "doc", (1,), TERMS))
+    weights = materialize(tfidf(docs, ["g"], "doc", (1,), terms))
     vocabulary = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]
     if not vocabulary:
         return sentences.sparkSession.createDataFrame([], "topic int, terms string, weight double")
@@ -148,8 +154,11 @@ def nmf_topics(sentences: DataFrame, topics: int = 5, iterations: int = 10) -> D
     shares = np.zeros(topics)
     for _ in range(iterations):
         up, down, shares = one_round(factors)
-        for _ in range(5):
+        before = factors
+        for _ in range(20):
             factors = factors * (up / (down @ factors + 1e-12))
+        if np.linalg.norm(factors - before) <= tolerance * np.linalg.norm(before):
+            break
     result = [(int(k), ", ".join(vocabulary[i] for i in np.argsort(-factors[k])[:8]),
                round(float(shares[k]), 4)) for k in np.argsort(-shares)]
     return sentences.sparkSession.createDataFrame(result, "topic int, terms string, weight double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
 from colloquy.plans.graph import connected_components
+from colloquy.plans.runtime import materialize
 
 CELL = 1024
 
@@ -84,17 +85,22 @@ def similar_vectors(rows: DataFrame, keys: list[str], threshold: float) -> DataF
     return cells.groupBy(*keys, "_i", "_j").applyInPandas(compare, schema)
 
 
+def plus_one(vector):
+    from pyspark.ml.linalg import Vectors
+
+    return Vectors.dense([x + 1 for x in vector])
+
+
 def hashed_vectors(texts: DataFrame, size: int = 256) -> DataFrame:
     """M5. A vector per text: hashed term counts weighted by idf, length one."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-
-    rows = texts.withColumn("_tokens", X.content_words("text"))
-    stages = [HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=size),
-              IDF(inputCol="_tf", outputCol="_idf"),
-              Normalizer(inputCol="_idf", outputCol="_unit", p=2.0)]
-    model = Pipeline(stages=stages).fit(rows)
-    return (model.transform(rows)
+    from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer
+
+    counter = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=size)
+    rows = counter.transform(texts.withColumn("_tokens", X.content_words("text")))
+    weights = IDF(inputCol="_tf", outputCol="_idf").fit(rows).idf
+    # The weight of a term is its idf plus one, so that a term in every text still counts.
+    weighted = ElementwiseProduct(inputCol="_tf", outputCol="_idf", scalingVec=plus_one(weights)).transform(rows)
+    return (Normalizer(inputCol="_idf", outputCol="_unit", p=2.0).transform(weighted)
             .withColumn("embedding", vector_to_array("_unit", "float32"))
             .drop("_tokens", "_tf", "_idf", "_unit"))
 
@@ -120,7 +126,7 @@ def similar_term_sets(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def cross_meeting_topics(topics: DataFrame, threshold: float = 0.68) -> DataFrame:
-    """M7. Topics of many meetings grouped by likeness of label and keywords.
+    """M7. Occurrences of topics in many meetings with the group that their label and keywords put them in.
 
     ``topics``: meeting_id, topic_id, label, keywords (text). Groups are the connected components
     of the similarity graph, so the outcome does not depend on the order of meetings. Equal
@@ -128,14 +134,19 @@ def cross_meeting_topics(topics: DataFrame, threshold: float = 0.68) -> DataFram
     """
     wording = F.concat_ws(" ", "label", "keywords")
     rows = topics.withColumn("terms", F.array_sort(F.array_distinct(X.words(wording))))
-    rows = rows.withColumn("node", F.array_join("terms", " "))
+    rows = materialize(rows.withColumn("node", F.array_join("terms", " ")))
     nodes = rows.select(F.col("node").alias("id"), "terms").distinct()
     edges = similar_term_sets(nodes, threshold).select(F.col("left_id").alias("src"),
                                                        F.col("right_id").alias("dst"))
     groups = connected_components(edges)
-    named = rows.join(groups, "node", "left").withColumn("topic_group",
-                                                         F.coalesce("component", "node"))
-    return named.groupBy("topic_group").agg(
+    return rows.join(groups, "node", "left").withColumn(
+        "topic_group", F.coalesce("component", "node")).select(*topics.columns, "topic_group")
+
+
+def topic_groups(occurrences: DataFrame) -> DataFrame:
+    """M7, a row per group: label and keywords of its first occurrence, most recurring first."""
+    first = F.struct("meeting_id", "topic_id")
+    return occurrences.groupBy("topic_group").agg(
         F.count_distinct("meeting_id").alias("meeting_count"),
-        F.count(F.lit(1)).alias("occurrences"),
-        F.min_by("label", F.struct("meeting_id", "topic_id")).alias("label"))
+        F.count(F.lit(1)).alias("occurrences"), F.min_by("label", first).alias("label"),
+        F.min_by("keywords", first).alias("keywords")).orderBy(F.desc("meeting_count"), "topic_group")

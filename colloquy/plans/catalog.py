@@ -12,7 +12,6 @@ from colloquy.functions import vocab as V
 from colloquy.operators import (chunks, evidence, extract, models, reconcile, records, retrieval,
                                 segmentation, stats, summarize, translation, vectors, weights)
 from colloquy.plans import fixtures as fx
-from colloquy.plans.ordered import dense_position
 from colloquy.plans.runtime import fresh_path, materialize
 from colloquy.sources import meetings as sources
 from colloquy.sources import responses
@@ -51,25 +50,35 @@ def sentences(spark, d) -> DataFrame:
     return extract.sentence_table(fx.segments(spark, d))
 
 
-_BUILT: dict[tuple[str, str], DataFrame] = {}
-
-
 def validated(spark, d) -> DataFrame:
-    """R1 over both runs, the table all record queries start from; written once per session."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _BUILT:
-        segs = fx.segments(spark, d)
-        _BUILT[key] = materialize(records.validate(fx.candidates(segs), segs))
-    return _BUILT[key]
+    """R1 over both runs, the table all record queries start from."""
+    segs = fx.segments(spark, d)
+    return materialize(records.validate(fx.candidates(segs), segs))
 
 
 def accepted(spark, d) -> DataFrame:
-    return validated(spark, d).filter("reason is null").withColumn("pos", F.col("seg_from"))
+    return records.number(validated(spark, d).filter("reason is null"), GROUP)
+
+
+def crowded(spark, d) -> DataFrame:
+    """Accepted records with a second one for each source, and some that cite no source."""
+    base = validated(spark, d).filter("reason is null")
+    second = base.withColumn("text", F.concat(F.lit("Second point on violet harbour lanterns near quiet mills: "), F.col("text")))
+    none = F.lit(None).cast("bigint")
+    loose = base.filter("seg_from % 5 = 1").withColumn(
+        "text", F.concat(F.lit("Loose remark about seven amber kites over tall dunes: "), F.col("text"))).withColumns(
+        {"seg_from": none, "seg_to": none, "timestamp": F.lit(None).cast("double")})
+    return base.unionByName(second).unionByName(loose)
+
+
+def runs(spark, d, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The records of both runs with their ids, from one validation."""
+    rows = materialize(accepted(spark, d) if items is None else items)
+    return records.assign_ids(rows.filter("run_id = 1")), records.assign_ids(rows.filter("run_id = 2"))
 
 
 def run_of(spark, d, run: int) -> DataFrame:
-    items = accepted(spark, d).filter(F.col("run_id") == run)
-    return records.assign_ids(items)
+    return runs(spark, d)[run - 1]
 
 
 def doc_sentences(spark, d) -> DataFrame:
@@ -112,18 +121,17 @@ def labelled_segments(spark, d) -> DataFrame:
 @query
 def s1_scan_meetings(spark, d):
     docs = fx.texts(spark, d)
-    empty = F.lit(None).cast("double")
     nothing = F.lit(None).cast("string")
     as_json = docs.select(
         F.col("doc_id").cast("string").alias("id"), F.col("source").alias("filename"),
         F.col("lang").alias("language"), F.col("text").alias("full_text"),
-        F.transform(X.sentences("text"), lambda s: F.struct(
-            empty.alias("start"), empty.alias("end"), nothing.alias("speaker"),
-            nothing.alias("speaker_id"), s.alias("text"))).alias("segments"))
+        F.transform(X.sentences("text"), lambda s, i: F.struct(
+            (i * 2.0).alias("start"), (i * 2.0 + 1).alias("end"), nothing.alias("speaker"),
+            F.concat(F.lit("S"), (i % 3).cast("string")).alias("speaker_id"), s.alias("text"))).alias("segments"))
     path = sources.write_snapshot(as_json, fresh_path(spark, "meetings"), form="json")
     read = sources.explode_segments(sources.read_meetings(spark, path, multi_line=False))
     return read.select(F.col("meeting_id").cast("bigint").alias("meeting_id"), "segment_id",
-                       F.md5("text").alias("text_md5"))
+                       "start_sec", "end_sec", "speaker", F.md5("text").alias("text_md5"))
 
 
 @query
@@ -208,28 +216,38 @@ def s9_normalise_types(spark, d):
 
 
 def _responses(spark, d):
-    c = fx.candidates(fx.segments(spark, d)).filter("category = 'decisions'")
-    body = F.to_json(F.struct(F.array().cast("array<string>").alias("summary"), F.array(F.struct(
-        F.col("item_text").alias("decision"), "evidence", F.array("seg_from").alias("segment_ids")))
-        .alias("decisions")))
+    """Responses with one record each, of all categories, sound and broken in four ways."""
+    c = fx.candidates(fx.segments(spark, d))
+    ids, is_task = F.array("seg_from"), F.col("category") == "action_items"
+    task = F.struct(F.col("item_text").alias("task"), F.lit("Pending").alias("status"), "owner", "deadline",
+                    "evidence", ids.alias("segment_ids"))
+    follow = is_task & (F.col("seg_from") % 3 == 0)
+    body = F.to_json(F.struct(
+        F.array().cast("array<string>").alias("summary"),
+        F.when(is_task & ~follow, F.array(task)).alias("action_items"), F.when(follow, F.array(task)).alias("follow_ups"),
+        F.when(F.col("category") == "questions", F.array(F.struct(
+            F.col("item_text").alias("question"), "evidence", ids.alias("segment_ids")))).alias("questions"),
+        F.when(F.col("category") == "decisions", F.array(F.struct(
+            F.col("item_text").alias("decision"), "evidence", ids.alias("segment_ids")))).alias("decisions")))
     kind = F.col("seg_from") % 4
     content = (F.when(kind == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
                .when(kind == 1, F.concat(F.regexp_replace(body, r"\]\}$", "],}")))
                .when(kind == 2, F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(',"topics":[')))
                .otherwise(F.lit("not json")))
-    return c.select("run_id", "meeting_id", "seg_from", content.alias("content"))
+    return c.select("run_id", "meeting_id", "category", "seg_from", content.alias("content"))
 
 
 @query
 def s10_parse_responses(spark, d):
     parsed = responses.parse_responses(_responses(spark, d))
-    return parsed.select("run_id", "meeting_id", "seg_from", "salvaged", "rejected",
-                         F.col("parsed.decisions")[0]["decision"].alias("decision"))
+    first = F.coalesce(F.get("parsed.action_items", F.lit(0))["task"], F.get("parsed.follow_ups", F.lit(0))["task"],
+                       F.get("parsed.decisions", F.lit(0))["decision"], F.get("parsed.questions", F.lit(0))["question"])
+    return parsed.select("run_id", "meeting_id", "category", "seg_from", "salvaged", "rejected", first.alias("item_text"))
 
 
 @query
 def s11_response_schema(spark, d):
-    parsed = responses.parse_responses(_responses(spark, d).drop("seg_from"))
+    parsed = responses.parse_responses(_responses(spark, d).drop("seg_from", "category"))
     rows = responses.candidate_rows(parsed, ["run_id", "meeting_id"])
     return rows.groupBy("run_id", "category").agg(
         F.count(F.lit(1)).alias("n"), F.sum("seg_from").alias("seg_sum"))
@@ -317,11 +335,8 @@ def p7_terms(spark, d):
 
 @query
 def p8_full_text(spark, d):
-    block = F.floor(F.col("segment_id") / 64).cast("bigint")
-    rows = _texts(spark, d).withColumn("part", block)
-    return rows.groupBy("meeting_id", "part").agg(F.array_sort(F.collect_list(F.struct(
-        "segment_id", X.norm("text").alias("t")))).alias("_r")).select(
-        "meeting_id", "part", F.array_join(F.transform("_r", lambda r: r["t"]), " ").alias("text"))
+    return stats.full_texts(_texts(spark, d)).select("meeting_id", F.md5("full_text").alias("text_md5"),
+                                                     F.length("full_text").alias("characters"))
 
 
 @query
@@ -386,17 +401,21 @@ def p16_compact_evidence(spark, d):
 def p17_display_text(spark, d):
     rows = _displayed(spark, d)
     memory = _memory(spark, d)
-    return translation.apply_translations(rows, ["run_id", "meeting_id", "seg_from"], memory)
+    return translation.apply_translations(rows, DISPLAY_KEYS, memory)
+
+
+DISPLAY_KEYS = ["run_id", "meeting_id", "category", "seg_from"]
 
 
 def _displayed(spark, d):
-    return fx.candidates(fx.segments(spark, d)).filter("category = 'questions'").select(
-        "run_id", "meeting_id", "seg_from", F.col("item_text").alias("question"), "evidence",
-        F.lit("SEG_1").alias("label"))
+    shown = lambda c: F.when(F.col("category") == c, F.col("item_text"))
+    return fx.candidates(fx.segments(spark, d)).select(
+        *DISPLAY_KEYS, shown("action_items").alias("task"), shown("decisions").alias("decision"),
+        shown("questions").alias("question"), "evidence", "owner", "deadline", F.lit("SEG_1").alias("label"))
 
 
 def _memory(spark, d):
-    known = translation.display_texts(_displayed(spark, d), ["run_id", "meeting_id", "seg_from"])
+    known = translation.display_texts(_displayed(spark, d), DISPLAY_KEYS)
     return known.select("source").distinct().filter(F.length("source") % 2 == 0).select(
         translation.text_key().alias("text_key"), F.upper("source").alias("translation"))
 
@@ -470,7 +489,7 @@ def f11_summary_points(spark, d):
                          F.when(F.col("segment_id") % 5 == 4, "Never said.").otherwise(F.col("text"))
                          .alias("quote"))
     # Quotes are matched against the transcript of their own meeting.
-    grounded = evidence.locate_quotes(points.filter("point_no < 6"), segs)
+    grounded = evidence.locate_quotes(points, segs)
     return extract.summary_points(points, grounded).select("meeting_id", "point_no", "point")
 
 
@@ -610,7 +629,7 @@ def j3_valid_evidence(spark, d):
 @query
 def j4_fuzzy_evidence(spark, d):
     segs = fx.segments(spark, d)
-    quotes = segs.filter("segment_id % 4 = 1").select("meeting_id", F.concat(
+    quotes = segs.select("meeting_id", F.concat(
         F.lit("So then "), F.col("text"), F.lit(" indeed")).alias("quote"))
     return evidence.fuzzy_evidence(quotes, segs).select(
         "meeting_id", "quote", "drop_left", "drop_right", "matched")
@@ -669,7 +688,7 @@ def j9_citations(spark, d):
 
 @query
 def j10_translation_work(spark, d):
-    texts = translation.display_texts(_displayed(spark, d), ["run_id", "meeting_id", "seg_from"])
+    texts = translation.display_texts(_displayed(spark, d), DISPLAY_KEYS)
     return translation.translation_work(texts, _memory(spark, d))
 
 
@@ -699,9 +718,19 @@ def j13_similar_vectors(spark, d):
 
 @query
 def j14_conflicts(spark, d):
-    prev, new = run_of(spark, d, 1), run_of(spark, d, 2)
+    prev, new = runs(spark, d)
     new = new.withColumn("owner", F.when(F.col("seg_from") % 2 == 0, "Zed").otherwise(F.col("owner")))
-    return reconcile.match_pairs(prev, new).select("meeting_id", "category", "o_pos", "n_pos")
+    return _sources(reconcile.match_pairs(prev, new), prev, new)
+
+
+def _sources(pairs: DataFrame, prev: DataFrame, new: DataFrame) -> DataFrame:
+    """Matched records by what they cite and say instead of their places."""
+    side = lambda df, p: df.select(
+        "meeting_id", "category", F.col("pos").alias(f"{p}_pos"), F.col("seg_from").alias(f"{p}_from"),
+        F.col("text").alias(f"{p}_text"))
+    return pairs.join(side(prev, "o"), ["meeting_id", "category", "o_pos"]).join(
+        side(new, "n"), ["meeting_id", "category", "n_pos"]).select(
+        "meeting_id", "category", "o_from", "o_text", "n_from", "n_text")
 
 
 # --- aggregations -------------------------------------------------------------------------------------
@@ -766,7 +795,7 @@ def a9_topic_evolution(spark, d):
 @query
 def a10_funnel(spark, d):
     rows = validated(spark, d)
-    merged = records.deduplicate(accepted(spark, d), GROUP)
+    merged = records.deduplicate(records.number(rows.filter("reason is null"), GROUP), GROUP)
     return records.funnel(rows, merged, ["run_id", "category"])
 
 
@@ -784,8 +813,8 @@ def a12_overview(spark, d):
 def a13_mean_vectors(spark, d):
     rows = vectors.mean_vectors(fixed_units(spark, d), ["meeting_id", "segment_index"])
     return rows.select("meeting_id", "segment_index", "units", F.array_join(F.transform(
-        F.slice("embedding", 1, 8), lambda x: F.round(x * 10000).cast("bigint").cast("string")),
-        ",").alias("head"))
+        "embedding", lambda x: F.round(x * 10000).cast("bigint").cast("string")),
+        ",").alias("vector"))
 
 
 @query
@@ -797,7 +826,8 @@ def a14_keywords(spark, d):
 
 @query
 def a15_stability(spark, d):
-    ids = run_of(spark, d, 1).unionByName(run_of(spark, d, 2)).withColumn(
+    one, two = runs(spark, d)
+    ids = one.unionByName(two).withColumn(
         "id", F.concat_ws("-", "meeting_id", "id"))
     return stats.stability(ids.select("run_id", "category", "id"), 1)
 
@@ -918,7 +948,7 @@ def k3_retrieve(spark, d):
     segs = fx.segments(spark, d)
     asked = segs.select("meeting_id").distinct().withColumn(
         "question", F.lit("Who will prepare the invoice and when is the release?"))
-    return retrieval.retrieve(segs, asked, 3000)
+    return retrieval.retrieve(segs, asked, 10000)
 
 
 @query
@@ -954,14 +984,14 @@ def u2_merge_entities(spark, d):
 def u2_merge_summaries(spark, d):
     rows = sentences(spark, d).select("meeting_id", F.col("sentence").alias("point"), F.floor(
         F.col("segment_id") / 16).cast("bigint").alias("chunk_no"),
-        F.col("segment_id").alias("point_no"))
+        F.col("segment_id").alias("point_no"), F.concat(F.lit("turn "), F.col("segment_id").cast("string"))
+        .alias("evidence"))
     return stats.merge_summaries(rows)
 
 
 @query
 def u3_id_overlap(spark, d):
-    one = run_of(spark, d, 1).select("meeting_id", "id")
-    two = run_of(spark, d, 2).select("meeting_id", "id")
+    one, two = (r.select("meeting_id", "id") for r in runs(spark, d))
     return one.intersect(two).withColumn("part", F.lit("both")).unionByName(
         one.union(two).distinct().withColumn("part", F.lit("either"))).groupBy(
         "meeting_id", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -1013,14 +1043,8 @@ def c4_pack_units(spark, d):
 
 @query
 def c5_display_batches(spark, d):
-    texts = fx.texts(spark, d).select("doc_id", "text")
-    pieces = chunks.display_pieces(texts)
-    # Order by document and piece, made dense in two steps.
-    numbered = dense_position(pieces.withColumn("_o", F.col("doc_id") * 100000 + F.col("piece_no"))
-                              .withColumn("all", F.lit(0)), ["all"], "_o", "pos", 100000 * 4096)
-    return chunks.batch_texts(numbered).join(numbered.select("pos", "doc_id", "piece_no", F.length(
-        "piece").alias("characters")), "pos").select("doc_id", "piece_no", "stretch", "batch",
-                                                     "characters")
+    rows = chunks.display_batches(fx.texts(spark, d).select("doc_id", "text"))
+    return rows.select("doc_id", "piece_no", "batch", F.length("piece").alias("characters"), F.md5("piece").alias("md5"))
 
 
 @query
@@ -1052,7 +1076,7 @@ def _trained(spark, d):
     s = sentences(spark, d)
     label = X.rule_label("sentence", F.when(F.length("sentence") % 2 == 0, "INFORMATION")
                          .otherwise("DISCUSSION"), F.lit(0.9))
-    return models.train_classifier(s.select("sentence", label.alias("label")), 30)
+    return models.train_classifier(s.select("sentence", label.alias("label")))
 
 
 @query
@@ -1079,16 +1103,14 @@ def m3_lda(spark, d):
 
 @query
 def m4_nmf(spark, d):
-    rows = sentences(spark, d).select((F.col("meeting_id") * 10000000 + F.col("segment_id") * 100
-                                       + F.col("sentence_no")).alias("doc"), "sentence")
-    return models.nmf_topics(rows, 5, 5)
+    rows = sentences(spark, d).select(F.concat_ws("/", "meeting_id", "segment_id", "sentence_no").alias("doc"),
+                                      "sentence")
+    return models.nmf_topics(rows, 5)
 
 
 @query
 def m5_text_vectors(spark, d):
-    rows = vectors.hashed_vectors(fx.texts(spark, d).select("doc_id", "text"))
-    return rows.select("doc_id", F.round(F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding"))),
-                                         4).alias("length"), F.size("embedding").alias("size"))
+    return vectors.hashed_vectors(fx.texts(spark, d).select("doc_id", "text")).select("doc_id", "embedding")
 
 
 @query
@@ -1097,14 +1119,22 @@ def m6_canonical_topics(spark, d):
     return segmentation.canonical_topics(segs)
 
 
-@query
-def m7_cross_meeting(spark, d):
+def _meeting_topics(spark, d):
     found = extract.gazetteer_entities(fx.segments(spark, d)).groupBy("meeting_id", "entity").agg(
         F.min("segment_id").alias("topic_id"))
-    topics = found.select("meeting_id", "topic_id", F.col("entity").alias("label"),
-                          F.when(F.col("entity").contains(" "), F.lit("plan release date"))
-                          .otherwise(F.lit("")).alias("keywords"))
-    return vectors.cross_meeting_topics(topics)
+    return found.select("meeting_id", "topic_id", F.col("entity").alias("label"),
+                        F.when(F.col("entity").contains(" "), F.lit("plan release date"))
+                        .otherwise(F.lit("")).alias("keywords"))
+
+
+@query
+def m7_cross_meeting(spark, d):
+    return vectors.topic_groups(vectors.cross_meeting_topics(_meeting_topics(spark, d)))
+
+
+@query
+def m7_occurrences(spark, d):
+    return vectors.cross_meeting_topics(_meeting_topics(spark, d))
 
 
 @query
@@ -1161,13 +1191,13 @@ def r3_issues(spark, d):
 
 @query
 def r4_deduplicate(spark, d):
-    return records.deduplicate(accepted(spark, d), GROUP).select(
+    return records.deduplicate(records.number(crowded(spark, d), GROUP), GROUP).select(
         *GROUP, "pos", "text", "evidence", "owner", "deadline", "priority", "status", "merged")
 
 
 @query
 def r5_merge_chunks(spark, d):
-    both = accepted(spark, d).drop("pos").withColumn("chunk_no", F.col("run_id"))
+    both = crowded(spark, d).withColumn("chunk_no", F.col("run_id"))
     return records.merge_chunks(both, ["meeting_id", "category"]).select(
         "meeting_id", "category", "pos", "text", "evidence", "owner", "deadline", "merged")
 
@@ -1176,7 +1206,7 @@ def r5_merge_chunks(spark, d):
 def r6_stable_ids(spark, d):
     tied = accepted(spark, d).filter("run_id = 1").withColumn(
         "seg_to", F.col("seg_from") - F.col("seg_from") % 3).withColumn("seg_from", F.col("seg_to"))
-    return records.assign_ids(tied).select("meeting_id", "category", "pos", "id")
+    return records.assign_ids(tied).select("meeting_id", "category", "seg_from", "text", "id")
 
 
 @query
@@ -1204,30 +1234,34 @@ def r8_user_edits(spark, d):
 
 @query
 def r9_matches(spark, d):
-    return reconcile.match_records(run_of(spark, d, 1), run_of(spark, d, 2)).select(
-        "meeting_id", "category", "o_pos", "n_pos")
+    prev, new = runs(spark, d, records.number(crowded(spark, d), GROUP))
+    return _sources(reconcile.match_records(prev, new), prev, new)
 
 
-def _reconciled(spark, d):
+def _reconciled(spark, d, items: DataFrame | None = None):
     segs = fx.segments(spark, d)
-    previous = run_of(spark, d, 1)
+    previous, candidate = runs(spark, d, items)
+    seg = F.col("seg_from")
+    previous = previous.withColumn("edits", F.map_filter(F.create_map(
+        F.lit("owner"), F.col("edited_owner"), F.lit("deadline"), F.when((seg % 11 == 3) | (seg % 10 == 4), F.lit("Edited day")),
+        F.lit("status"), F.when(seg % 13 == 5, F.lit("Done"))), lambda k, v: v.isNotNull()))
     current = records.manifest(segs, CONFIG)
     stored = current.withColumn("config_hash", F.when(F.col("meeting_id") % 4 == 0, "old").otherwise(
         F.col("config_hash")))
-    return reconcile.reconcile(previous, run_of(spark, d, 2), segs,
-                               reconcile.same_pipeline(stored, current))
+    return reconcile.reconcile(previous, candidate, segs, reconcile.same_pipeline(stored, current))
 
 
 @query
 def r10_reconcile(spark, d):
-    return _reconciled(spark, d).select("meeting_id", "category", "id", "seg_from", "text", "owner",
-                                        "reconciliation")
+    rows = _reconciled(spark, d, records.number(crowded(spark, d), GROUP))
+    return rows.select("meeting_id", "category", "id", "seg_from", "text", "owner", "deadline", "status",
+                       "edited", "reconciliation")
 
 
 @query
 def r11_review_queue(spark, d):
     return reconcile.review_queue(_reconciled(spark, d)).select(
-        "meeting_id", "category", "id", "owner", "reason")
+        "meeting_id", "category", "id", "owner", "deadline", "status", "reason")
 
 
 @query
@@ -1240,21 +1274,24 @@ def r12_kept_answers(spark, d):
 
 
 def _answered(spark, d):
-    def asked(run):
-        return run_of(spark, d, run).filter("category = 'questions'")
-    old = asked(1).withColumn("status", F.lit("Resolved")).withColumn("answer", F.lit("Soon."))
-    return old, asked(2).withColumn("status", F.lit("Unresolved"))
+    one, two = (r.filter("category = 'questions'") for r in runs(spark, d))
+    quote = F.when(F.col("seg_from") % 4 == 1, "Nobody said this").otherwise(F.col("evidence"))
+    old = one.withColumns({"status": F.lit("Resolved"), "answer": F.lit("Soon."), "answer_evidence": quote,
+                           "edits": F.lit(None).cast("map<string,string>")})
+    return old, two.withColumn("status", F.lit("Unresolved"))
 
 
 @query
 def r13_renamed_ids(spark, d):
     segs = fx.segments(spark, d)
     # Half of the new wordings are unrelated to the old ones, so their ids collide with kept ids.
-    new = run_of(spark, d, 2).withColumn("text", F.when(
+    old, new = runs(spark, d)
+    old = old.withColumn("edits", F.lit(None).cast("map<string,string>"))
+    new = new.withColumn("text", F.when(
         F.col("seg_from") % 2 == 0, F.concat(F.lit("Unrelated topic "), F.col("seg_from").cast(
             "string"))).otherwise(F.col("text")))
     same = segs.select("meeting_id").distinct().withColumn("compatible", F.lit(True))
-    return reconcile.reconcile(run_of(spark, d, 1), new, segs, same).filter(
+    return reconcile.reconcile(old, new, segs, same).filter(
         "reconciliation = 'new'").select("meeting_id", "category", "seg_from", "id")
 
 
@@ -1287,11 +1324,10 @@ def r16_takeaway(spark, d):
     return reconcile.keep_takeaway(first, new, same, segs)
 
 
-@query
-def r17_apply_edits(spark, d):
+def _edited_tasks(spark, d):
     c = fx.candidates(fx.segments(spark, d)).filter("run_id = 1 and category = 'action_items'")
     items = c.select("meeting_id", F.col("seg_from").alias("item_index"), F.col("item_text")
-                     .alias("task"), F.lit("t1").alias("analyzed_at"))
+                     .alias("task"), F.lit("t1").alias("analyzed_at"), "owner", "deadline")
     kind = F.col("item_index") % 4
     edits = items.select(
         "meeting_id", F.when(kind == 0, F.col("item_index") + 100000000).otherwise(
@@ -1299,15 +1335,25 @@ def r17_apply_edits(spark, d):
         F.when(kind == 1, "Other").otherwise(F.col("task")).alias("task"),
         F.when(kind == 2, "t0").otherwise(F.lit("t1")).alias("analyzed_at"),
         F.lit(" Eve ").alias("owner"), F.lit(" ").alias("deadline"))
-    return reconcile.apply_edits(items, edits)
+    return items, edits
+
+
+@query
+def r17_apply_edits(spark, d):
+    return reconcile.apply_edits(*_edited_tasks(spark, d))
+
+
+@query
+def r17_edit_outcomes(spark, d):
+    return reconcile.edit_outcomes(*_edited_tasks(spark, d))
 
 
 @query
 def r18_carry_edits(spark, d):
-    old = run_of(spark, d, 1).filter("category = 'action_items'").withColumn(
+    one, two = (r.filter("category = 'action_items'") for r in runs(spark, d))
+    old = one.withColumn(
         "manually_edited", F.col("seg_from") % 7 == 0).withColumn("owner", F.lit("User owner"))
-    new = run_of(spark, d, 2).filter("category = 'action_items'")
-    return reconcile.carry_edits(new, old).select("meeting_id", "seg_from", "owner", "deadline",
+    return reconcile.carry_edits(two, old).select("meeting_id", "seg_from", "owner", "deadline",
                                                   "manually_edited")
 
 

@@ -72,9 +72,9 @@ def jaccard(a: str, b: str) -> str:
 
 
 def is_action(c: str) -> str:
-    t = f"replace({c}, '?', '''')"
+    t = f"replace({c}, chr(8217), '''')"
     return (f"(NOT {rx(t, V.ACTION_HEDGE)} AND ({rx(t, V.ACTION_REQUEST)} OR "
-            f"{rx(t, V.ACTION_PREFIX)} OR ({rx(t, V.ACTION_MATCH)} AND {rx(t, V.SUBJECT_GATE)})))")
+            f"{rx(t, V.ACTION_PREFIX)} OR ({rx(t, V.ACTION_MATCH)} AND {rx(t, V.SUBJECT_GATE)} AND NOT contains({t}, '?'))))")
 
 
 def is_decision(c: str) -> str:
@@ -254,7 +254,8 @@ def simple(name: str, sql: str) -> None:
 
 
 # --- sources ------------------------------------------------------------------------------------
-simple("s1_scan_meetings", f"""SELECT doc_id AS meeting_id, i - 1 AS segment_id, md5(s) AS text_md5 FROM (
+simple("s1_scan_meetings", f"""SELECT doc_id AS meeting_id, i - 1 AS segment_id, (i - 1) * 2.0::DOUBLE AS start_sec,
+(i - 1) * 2.0::DOUBLE + 1 AS end_sec, 'S' || ((i - 1) % 3) AS speaker, md5(s) AS text_md5 FROM (
 SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, {sents('text')} AS p FROM documents))""")
 simple("s2_snapshot", "SELECT doc_id, lang, n_chars FROM documents")
 simple("s3_meeting_list", f"WITH {MEETINGS} SELECT id, filename, duration_sec AS duration, language, uploaded_at, status FROM meetings")
@@ -275,11 +276,12 @@ CASE WHEN segment_id % 5 = 2 THEN '' ELSE text END AS text,
 CASE WHEN segment_id % 5 <> 3 THEN start_sec END AS start_sec,
 CASE WHEN segment_id % 5 <> 4 THEN end_sec END AS end_sec,
 CASE WHEN segment_id % 5 <> 0 THEN coalesce(speaker, 'S9') ELSE 'S9' END AS speaker FROM segments""")
-simple("s10_parse_responses", f"""WITH {CANDIDATES} SELECT run_id, meeting_id, seg_from,
-seg_from % 4 = 2 OR seg_from % 4 = 3 AND FALSE AS salvaged, seg_from % 4 = 3 AS rejected,
-CASE WHEN seg_from % 4 <> 3 THEN item_text END AS decision FROM candidates WHERE category = 'decisions'""")
-simple("s11_response_schema", f"""WITH {CANDIDATES} SELECT run_id, 'decisions' AS category, count(*) AS n,
-sum(seg_from)::BIGINT AS seg_sum FROM candidates WHERE category = 'decisions' AND seg_from % 4 <> 3 GROUP BY 1""")
+simple("s10_parse_responses", f"""WITH {CANDIDATES} SELECT run_id, meeting_id, category, seg_from,
+seg_from % 4 = 2 AS salvaged, seg_from % 4 = 3 AS rejected,
+CASE WHEN seg_from % 4 <> 3 THEN item_text END AS item_text FROM candidates""")
+simple("s11_response_schema", f"""WITH {CANDIDATES} SELECT run_id, CASE WHEN category = 'action_items' AND seg_from % 3 = 0
+THEN 'follow_ups' ELSE category END AS category, count(*) AS n, sum(seg_from)::BIGINT AS seg_sum FROM candidates
+WHERE seg_from % 4 <> 3 GROUP BY 1, 2""")
 _h, _m, _s = clock_parts("d")
 simple("s12_report_dataset", f"""WITH {VALIDATED}, heads AS (SELECT meeting_id, max(end_sec) AS d FROM segments GROUP BY 1),
 c AS (SELECT meeting_id, count(*) FILTER (category = 'action_items') AS action_items,
@@ -308,8 +310,8 @@ simple("p6_lemmas", f"""WITH {SEGMENTS}, t AS (SELECT meeting_id, segment_id, un
 generate_subscripts(w, 1) - 1 AS pos FROM (SELECT *, {content_words('text')} AS w FROM segments))
 SELECT meeting_id, segment_id, pos, token, {cases('token', V.LEMMAS, 'token')} AS lemma FROM t""")
 simple("p7_terms", f"WITH {SEGMENTS} SELECT meeting_id, segment_id, array_to_string({terms('text')}, ' ') AS terms FROM segments")
-simple("p8_full_text", f"""WITH {SEGMENTS} SELECT meeting_id, segment_id // 64 AS part,
-string_agg({norm('text')}, ' ' ORDER BY segment_id) AS text FROM segments GROUP BY 1, 2""")
+simple("p8_full_text", f"""WITH {SEGMENTS}, f AS (SELECT meeting_id, string_agg({norm('text')}, ' ' ORDER BY segment_id) AS t
+FROM segments WHERE {norm('text')} <> '' GROUP BY 1) SELECT meeting_id, md5(t) AS text_md5, length(t) AS characters FROM f""")
 _h, _m, _s = clock_parts("duration_sec")
 simple("p9_clock", f"""WITH {MEETINGS} SELECT id, CASE WHEN duration_sec IS NULL THEN 'Time unavailable' ELSE
 CASE WHEN {_h} > 0 THEN lpad({_h}::VARCHAR, 2, '0') || ':' ELSE '' END || lpad({_m}::VARCHAR, 2, '0') || ':' ||
@@ -336,10 +338,12 @@ simple("p15_digest", f"WITH {SEGMENTS}, {HASHES} SELECT * FROM hashes")
 simple("p16_compact_evidence", f"""WITH {SEGMENTS} SELECT meeting_id, segment_id, '' AS evidence,
 CASE segment_id % 3 WHEN 0 THEN segment_id::VARCHAR WHEN 1 THEN segment_id || ',' || (segment_id + 4)
 ELSE segment_id || ',' || (segment_id + 2) || ',' || (segment_id + 3) END AS ids FROM segments""")
-simple("p17_display_text", f"""WITH {CANDIDATES} SELECT run_id, meeting_id, seg_from,
-CASE WHEN length(item_text) % 2 = 0 THEN upper(item_text) ELSE item_text END AS question,
-CASE WHEN length(evidence) % 2 = 0 THEN upper(evidence) ELSE evidence END AS evidence, 'SEG_1' AS label
-FROM candidates WHERE category = 'questions'""")
+_shown = lambda c: f"CASE WHEN length({c}) % 2 = 0 THEN upper({c}) ELSE {c} END"
+_item = _shown("item_text")
+simple("p17_display_text", f"""WITH {CANDIDATES} SELECT run_id, meeting_id, category, seg_from,
+CASE WHEN category = 'action_items' THEN {_item} END AS task, CASE WHEN category = 'decisions' THEN {_item} END AS decision,
+CASE WHEN category = 'questions' THEN {_item} END AS question, {_shown('evidence')} AS evidence, owner,
+{_shown('deadline')} AS deadline, 'SEG_1' AS label FROM candidates""")
 
 # --- predicates ------------------------------------------------------------------------------------
 for _name, _rule in (("f1_actions", is_action), ("f2_decisions", is_decision),
@@ -442,7 +446,7 @@ simple("j3_valid_evidence", f"""WITH {CANDIDATES} SELECT run_id, meeting_id, cat
 FROM candidates WHERE seg_from % 17 <> 0""")
 simple("j4_fuzzy_evidence", f"""WITH {SEGMENTS}, f AS (SELECT meeting_id, string_agg({norm('text')}, ' ' ORDER BY segment_id) AS t
  FROM segments GROUP BY 1), qs AS (SELECT DISTINCT meeting_id, {norm("'So then ' || text || ' indeed'")} AS quote
- FROM segments WHERE segment_id % 4 = 1), w AS (SELECT *, string_split(quote, ' ') AS ws FROM qs),
+ FROM segments), w AS (SELECT *, string_split(quote, ' ') AS ws FROM qs),
  d AS (SELECT w.*, l.x AS drop_left, r.x AS drop_right, array_to_string(ws[l.x + 1:len(ws) - r.x], ' ') AS matched
  FROM w CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS x) l CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS x) r
  WHERE len(ws) - l.x - r.x >= 1 AND len(ws) - l.x - r.x >= len(ws) * 0.6),
@@ -470,8 +474,8 @@ simple("j9_citations", f"""WITH a AS (SELECT conv_id AS answer_id, min(turn) AS
 SELECT answer_id, CASE WHEN answer_id % 3 = 0 AND answer_id % 6 <> 0 THEN 'Yes.' ELSE {q(V.NOT_FOUND)} END AS answer,
 CASE WHEN answer_id % 3 = 0 AND answer_id % 6 <> 0 THEN CASE WHEN lo = hi THEN lo::VARCHAR ELSE lo || ',' || hi END ELSE '' END AS cited,
 answer_id % 3 = 0 AND answer_id % 6 <> 0 AS grounded FROM a""")
-simple("j10_translation_work", f"""WITH {CANDIDATES}, t AS (SELECT item_text AS source FROM candidates WHERE category = 'questions'
- UNION SELECT evidence FROM candidates WHERE category = 'questions')
+simple("j10_translation_work", f"""WITH {CANDIDATES}, t AS (SELECT item_text AS source FROM candidates
+ UNION SELECT evidence FROM candidates UNION SELECT deadline FROM candidates)
 SELECT source, sha256('english-v1' || chr(31) || source) AS text_key FROM t WHERE length(source) % 2 = 1""")
 simple("j11_to_analyse", f"WITH {SEGMENTS} SELECT DISTINCT meeting_id, sha256({q(CONFIG_TEXT)}) AS config_hash FROM segments WHERE meeting_id % 5 < 3")
 simple("j13_similar_vectors", f"""WITH {UNITS}, d AS (SELECT meeting_id, v, min(segment_id) AS id FROM units GROUP BY 1, 2)
@@ -480,7 +484,7 @@ ON a.meeting_id = b.meeting_id AND a.id < b.id AND list_cosine_similarity(a.v, b
 _pair = f"""o.meeting_id = n.meeting_id AND o.category = n.category AND o.seg_from = n.seg_from AND o.seg_to = n.seg_to
  AND o.run_id = 1 AND n.run_id = 2 AND (contains(o.evidence, n.evidence) OR contains(n.evidence, o.evidence))
  AND {jaccard(terms('o.text'), terms('n.text'))} >= 0.5"""
-simple("j14_conflicts", f"""WITH {VALIDATED} SELECT o.meeting_id, o.category, o.seg_from AS o_pos, n.seg_from AS n_pos FROM validated o
+simple("j14_conflicts", f"""WITH {VALIDATED} SELECT o.meeting_id, o.category, o.seg_from AS o_from, o.text AS o_text, n.seg_from AS n_from, n.text AS n_text FROM validated o
 JOIN validated n ON {_pair} AND NOT (o.category = 'action_items' AND (coalesce(o.owner <> CASE WHEN n.seg_from % 2 = 0
  THEN 'Zed' ELSE n.owner END, FALSE) OR coalesce(o.deadline <> n.deadline, FALSE)))""")
 
@@ -532,7 +536,8 @@ def merged(group: str, pos: str, source: str = "validated") -> str:
  FROM keepers GROUP BY {group}, keeper)"""
 
 
-simple("a10_funnel", f"""WITH {VALIDATED}{merged('run_id, meeting_id, category', 'seg_from')},
+_place = "row_number() OVER (PARTITION BY run_id, meeting_id, category ORDER BY seg_from NULLS LAST, seg_to NULLS LAST, text, evidence) - 1"
+simple("a10_funnel", f"""WITH {VALIDATED}{merged('run_id, meeting_id, category', _place)},
  v AS (SELECT run_id, category, count(*) AS n FROM validated GROUP BY 1, 2),
  k AS (SELECT run_id, category, count(*) AS n FROM merged GROUP BY 1, 2)
 SELECT run_id, category, v.n AS generated, v.n AS parsed, v.n AS evidence_matched, v.n AS validated, k.n AS deduplicated
@@ -547,7 +552,7 @@ FROM s GROUP BY 1""")
 simple("a13_mean_vectors", f"""WITH {UNITS}, e AS (SELECT meeting_id, segment_id // 7 AS segment_index, segment_id, unnest(v) AS x,
  generate_subscripts(v, 1) AS d FROM units), m AS (SELECT meeting_id, segment_index, d, avg(x) AS x, count(*) AS units FROM e GROUP BY 1, 2, 3)
 SELECT meeting_id, segment_index, max(units) AS units, string_agg((round(x / l * 10000))::BIGINT::VARCHAR, ',' ORDER BY d)
- FILTER (d <= 8) AS head FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY meeting_id, segment_index)) + 1e-9 AS l FROM m) GROUP BY 1, 2""")
+ AS vector FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY meeting_id, segment_index)) + 1e-9 AS l FROM m) GROUP BY 1, 2""")
 
 
 def tfidf_sql(key: str, doc: str, source: str, limit: int) -> str:
@@ -632,7 +637,7 @@ simple("u1_open_questions", f"""WITH {VALIDATED} SELECT meeting_id, seg_from, te
 THEN 'question' ELSE 'follow_up' END AS kind FROM validated WHERE run_id = 1 AND (category = 'questions' AND status <> 'Resolved'
 OR category = 'action_items' AND seg_from % 2 = 0)""")
 simple("u2_merge_entities", f"WITH {SEGMENTS}{GAZETTEER} SELECT DISTINCT meeting_id, label AS group_name, entity AS name FROM entities WHERE label IS NOT NULL")
-simple("u2_merge_summaries", f"""WITH {SENTENCES} SELECT meeting_id, sentence AS point, min(segment_id) // 16 AS chunk_no, min(segment_id) AS point_no
+simple("u2_merge_summaries", f"""WITH {SENTENCES} SELECT meeting_id, sentence AS point, min(segment_id) // 16 AS chunk_no, min(segment_id) AS point_no, 'turn ' || min(segment_id) AS evidence
 FROM sentences GROUP BY 1, 2""")
 simple("u3_id_overlap", f"""WITH {VALIDATED}, i AS (SELECT run_id, meeting_id, {_id} AS id FROM validated)
 SELECT meeting_id, 'both' AS part, count(*) AS n FROM (SELECT meeting_id, id FROM i WHERE run_id = 1 INTERSECT SELECT meeting_id, id FROM i
@@ -651,15 +656,17 @@ simple("c6_choose_units", f"""WITH s AS (SELECT doc_id, {sents("CASE WHEN doc_id
 SELECT doc_id AS meeting_id, i - 1 AS unit_no, md5(x) AS text_md5 FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM s)""")
 
 # --- topics over meetings ------------------------------------------------------------------------------------
-simple("m7_cross_meeting", f"""WITH RECURSIVE {SEGMENTS}{GAZETTEER}, t AS (SELECT meeting_id, min(segment_id) AS topic_id, entity AS label,
+GROUPS = f"""RECURSIVE {SEGMENTS}{GAZETTEER}, t AS (SELECT meeting_id, min(segment_id) AS topic_id, entity AS label,
  CASE WHEN contains(entity, ' ') THEN 'plan release date' ELSE '' END AS kw FROM entities WHERE label IS NOT NULL GROUP BY meeting_id, entity),
  n AS (SELECT *, list_sort(list_distinct({words("label || ' ' || kw")})) AS w FROM t),
  d AS (SELECT DISTINCT w, array_to_string(w, ' ') AS node FROM n),
  e AS (SELECT a.node AS x, b.node AS y FROM d a JOIN d b ON len(list_intersect(a.w, b.w)) >= 0.68 * sqrt(len(a.w) * len(b.w)) - 1e-9),
  reach AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x),
- g AS (SELECT x AS node, min(y) AS topic_group FROM reach GROUP BY 1)
-SELECT topic_group, count(DISTINCT meeting_id) AS meeting_count, count(*) AS occurrences, arg_min(label, (meeting_id, topic_id)) AS label
-FROM n JOIN g ON g.node = array_to_string(n.w, ' ') GROUP BY 1""")
+ g AS (SELECT x AS node, min(y) AS topic_group FROM reach GROUP BY 1),
+ o AS (SELECT n.*, topic_group FROM n JOIN g ON g.node = array_to_string(n.w, ' '))"""
+simple("m7_cross_meeting", f"""WITH {GROUPS} SELECT topic_group, count(DISTINCT meeting_id) AS meeting_count, count(*) AS occurrences,
+arg_min(label, (meeting_id, topic_id)) AS label, arg_min(kw, (meeting_id, topic_id)) AS keywords FROM o GROUP BY 1""")
+simple("m7_occurrences", f"WITH {GROUPS} SELECT meeting_id, topic_id, label, kw AS keywords, topic_group FROM o")
 
 # --- records ---------------------------------------------------------------------------------------------------
 simple("r1_validate", f"""WITH {VALIDATED} SELECT run_id, meeting_id, category, text, seg_from, seg_to, evidence, timestamp, speaker, owner, deadline,
@@ -672,13 +679,17 @@ simple("r3_issues", f"""WITH {CANDIDATES}, b AS (SELECT run_id, meeting_id, CASE
  OR (meeting_id % 3 = 0 AND seg_from % 17 = 0) THEN category END AS issue FROM candidates)
 SELECT run_id, meeting_id, coalesce(string_agg(DISTINCT issue, ',' ORDER BY issue), '') AS issues,
 CASE WHEN count(issue) > 0 THEN 'partial' ELSE 'complete' END AS state FROM b GROUP BY 1, 2""")
-simple("r4_deduplicate", f"""WITH {VALIDATED}{merged('run_id, meeting_id, category', 'seg_from')}
+CROWDED = VALIDATED + """, crowd AS (SELECT * FROM validated UNION ALL BY NAME SELECT * REPLACE ('Second point on violet harbour lanterns near quiet mills: ' || text AS text)
+ FROM validated UNION ALL BY NAME SELECT * REPLACE ('Loose remark about seven amber kites over tall dunes: ' || text AS text, NULL::BIGINT AS seg_from, NULL::BIGINT AS seg_to,
+ NULL::DOUBLE AS timestamp) FROM validated WHERE seg_from % 5 = 1)"""
+simple("r4_deduplicate", f"""WITH {CROWDED}{merged('run_id, meeting_id, category', _place, 'crowd')}
 SELECT run_id, meeting_id, category, pos, text, evidence, owner, deadline, priority, status, merged FROM merged""")
-simple("r5_merge_chunks", f"""WITH {VALIDATED}{merged('meeting_id, category', 'seg_from * 1024 + run_id')}
+_chunk_place = "row_number() OVER (PARTITION BY meeting_id, category ORDER BY seg_from NULLS LAST, seg_to NULLS LAST, text, run_id, evidence) - 1"
+simple("r5_merge_chunks", f"""WITH {CROWDED}{merged('meeting_id, category', _chunk_place, 'crowd')}
 SELECT meeting_id, category, pos, text, evidence, owner, deadline, merged FROM merged""")
 _tied = digest("meeting_id", "category", "s", "s", "CASE WHEN n > 1 THEN lower(text) ELSE chr(2) END")
-simple("r6_stable_ids", f"""WITH {VALIDATED} SELECT meeting_id, category, pos, substr({_tied}, 1, 24) AS id FROM (SELECT meeting_id, category,
-seg_from AS pos, seg_from - seg_from % 3 AS s, text, count(*) OVER (PARTITION BY meeting_id, category, seg_from - seg_from % 3) AS n
+simple("r6_stable_ids", f"""WITH {VALIDATED} SELECT meeting_id, category, s AS seg_from, text, substr({_tied}, 1, 24) AS id FROM (SELECT meeting_id, category,
+seg_from - seg_from % 3 AS s, text, count(*) OVER (PARTITION BY meeting_id, category, seg_from - seg_from % 3) AS n
 FROM validated WHERE run_id = 1)""")
 simple("r7_manifest", f"""WITH {SEGMENTS}, {HASHES} SELECT meeting_id, {q(V.ANALYSIS_VERSION)} AS analysis_version, {q(V.PROMPT_VERSION)} AS prompt_version,
 sha256({q(CONFIG_TEXT)}) AS config_hash, input_hash FROM hashes""")
@@ -690,17 +701,44 @@ simple("r8_user_edits", f"""WITH {CANDIDATES}, e AS (SELECT meeting_id, category
  CASE WHEN seg_from % 5 = 0 AND seg_from % 4 = 0 THEN 'task=' || item_text END AS d FROM candidates WHERE run_id = 1)
 SELECT meeting_id, category, seg_from, concat_ws(';', a, b, c, d) AS edits FROM e""")
 _noclash = """NOT (o.category = 'action_items' AND (coalesce(o.owner <> n.owner, FALSE) OR coalesce(o.deadline <> n.deadline, FALSE)))"""
-simple("r9_matches", f"""WITH {VALIDATED} SELECT o.meeting_id, o.category, o.seg_from AS o_pos, n.seg_from AS n_pos FROM validated o
-JOIN validated n ON {_pair} AND {_noclash}""")
-RECONCILED = VALIDATED + f""", reconciled AS (SELECT o.meeting_id, o.category, o.seg_from, o.seg_to, coalesce(n.text, o.text) AS text,
- coalesce(o.edited_owner, CASE WHEN n.run_id IS NOT NULL THEN n.owner ELSE o.owner END) AS owner, o.edited_owner IS NOT NULL AS edited,
- CASE WHEN n.run_id IS NOT NULL THEN 'stable' WHEN o.meeting_id % 4 <> 0 THEN 'retained' ELSE 'removed' END AS reconciliation
- FROM (SELECT * FROM validated WHERE run_id = 1) o LEFT JOIN (SELECT * FROM validated WHERE run_id = 2) n ON {_pair} AND {_noclash})"""
-simple("r10_reconcile", f"WITH {RECONCILED} SELECT meeting_id, category, {_id} AS id, seg_from, text, owner, reconciliation FROM reconciled")
-simple("r11_review_queue", f"""WITH {RECONCILED} SELECT meeting_id, category, {_id} AS id, owner, 'source_or_pipeline_changed' AS reason FROM reconciled
-WHERE reconciliation = 'removed' AND edited""")
-simple("r12_kept_answers", f"""WITH {RECONCILED} SELECT meeting_id, {_id} AS id, 'Resolved' AS status, 'Soon.' AS answer, CASE WHEN reconciliation = 'stable'
-THEN 'stable' ELSE 'retained' END AS reconciliation FROM reconciled WHERE category = 'questions'""")
+# A source holds several records in each run: only wordings that look like one event match, the first free one.
+_close = f"""o.meeting_id = n.meeting_id AND o.category = n.category AND o.seg_from = n.seg_from AND o.seg_to = n.seg_to
+ AND o.run_id = 1 AND n.run_id = 2 AND (contains(o.evidence, n.evidence) OR contains(n.evidence, o.evidence))
+ AND {jaccard(terms('o.text'), terms('n.text'))} >= 0.72"""
+simple("r9_matches", f"""WITH {CROWDED} SELECT o.meeting_id, o.category, o.seg_from AS o_from, o.text AS o_text, n.seg_from AS n_from, n.text AS n_text
+FROM crowd o JOIN crowd n ON {_close} AND {_noclash}""")
+
+
+def reconciled(source: str, match: str) -> str:
+    return f""", reconciled AS (SELECT o.meeting_id, o.category, o.seg_from, o.seg_to, coalesce(n.text, o.text) AS text, o.text AS o_text,
+ coalesce(o.edited_owner, CASE WHEN n.run_id IS NOT NULL THEN n.owner ELSE o.owner END) AS owner,
+ CASE WHEN o.seg_from % 11 = 3 OR o.seg_from % 10 = 4 THEN 'Edited day' ELSE coalesce(n.deadline, o.deadline) END AS deadline,
+ CASE WHEN o.seg_from % 13 = 5 THEN 'Done' ELSE coalesce(n.status, o.status) END AS status,
+ o.edited_owner IS NOT NULL OR coalesce(o.seg_from % 11 = 3 OR o.seg_from % 10 = 4 OR o.seg_from % 13 = 5, FALSE) AS edited,
+ CASE WHEN n.run_id IS NOT NULL THEN 'stable' WHEN o.meeting_id % 4 <> 0 AND o.seg_from IS NOT NULL THEN 'retained'
+  ELSE 'removed' END AS reconciliation
+ FROM (SELECT * FROM {source} WHERE run_id = 1) o LEFT JOIN (SELECT * FROM {source} WHERE run_id = 2) n ON {match} AND {_noclash})"""
+
+
+RECONCILED = VALIDATED + reconciled("validated", _pair)
+# Ids by wording where a source holds several records; new ones whose id is taken are named by their wording.
+_known = lambda c: f"coalesce({c}::VARCHAR, {DIGEST_NULL})"
+_one = digest("meeting_id", "category", _known("seg_from"), _known("seg_to"), f"CASE WHEN n > 1 THEN lower(text) ELSE {DIGEST_NULL} END")
+simple("r10_reconcile", f"""WITH {CROWDED}{reconciled('crowd', _close)},
+ ids AS (SELECT *, substr({_one}, 1, 24) AS id FROM (SELECT *, count(*) OVER (PARTITION BY run_id, meeting_id, category, seg_from, seg_to) AS n FROM crowd)),
+ fates AS (SELECT meeting_id, category, seg_from, text, o_text, owner, deadline, status, edited, reconciliation FROM reconciled),
+ fresh AS (SELECT n.* FROM (SELECT * FROM ids WHERE run_id = 2) n WHERE NOT EXISTS (SELECT 1 FROM crowd o WHERE {_close} AND {_noclash}))
+SELECT f.meeting_id, f.category, i.id, f.seg_from, f.text, f.owner, f.deadline, f.status, f.edited, f.reconciliation FROM fates f
+ JOIN (SELECT DISTINCT meeting_id, category, seg_from, text, id FROM ids WHERE run_id = 1) i
+ ON i.meeting_id = f.meeting_id AND i.category = f.category AND i.seg_from IS NOT DISTINCT FROM f.seg_from AND i.text = f.o_text
+UNION ALL SELECT meeting_id, category, id, seg_from, text, owner, deadline, status, FALSE, 'new' FROM fresh""")
+simple("r11_review_queue", f"""WITH {RECONCILED} SELECT meeting_id, category, {_id} AS id, owner, deadline, status, 'source_or_pipeline_changed' AS reason
+FROM reconciled WHERE reconciliation = 'removed' AND edited""")
+simple("r12_kept_answers", f"""WITH {VALIDATED}, q AS (SELECT o.meeting_id, o.category, o.seg_from, o.seg_to, n.run_id IS NOT NULL AS hit FROM
+ (SELECT * FROM validated WHERE run_id = 1) o LEFT JOIN (SELECT * FROM validated WHERE run_id = 2) n ON {_pair} AND {_noclash}
+ WHERE o.category = 'questions')
+SELECT meeting_id, {_id} AS id, CASE WHEN hit AND seg_from % 4 = 1 THEN 'Unresolved' ELSE 'Resolved' END AS status,
+'Soon.' AS answer, CASE WHEN hit THEN 'stable' ELSE 'retained' END AS reconciliation FROM q""")
 _renamed = digest("meeting_id", "category", "seg_from", "seg_to", "'unrelated topic ' || seg_from")
 simple("r13_renamed_ids", f"WITH {VALIDATED} SELECT meeting_id, category, seg_from, substr({_renamed}, 1, 24) AS id FROM validated WHERE run_id = 2 AND seg_from % 2 = 0")
 simple("r14_migrate", f"""WITH {VALIDATED}, b AS (SELECT meeting_id, category, item_text AS text, arg_min(CASE WHEN seg_from % 4 = 0 THEN 'Done' END, seg_from)
@@ -714,7 +752,10 @@ count(*) FILTER (reconciliation <> 'removed') AS persisted FROM reconciled GROUP
 simple("r16_takeaway", f"""WITH {SEGMENTS}, a AS (SELECT * FROM segments WHERE segment_id = 0), b AS (SELECT * FROM segments WHERE segment_id = 1),
  k AS (SELECT b.meeting_id, a.text AS old, b.text AS new, b.meeting_id % 5 <> 0 AND b.meeting_id % 3 <> 0 AS kept FROM b JOIN a USING (meeting_id))
 SELECT meeting_id, CASE WHEN kept THEN 'Old: ' || old ELSE 'New: ' || new END AS takeaway, CASE WHEN kept THEN old ELSE new END AS evidence, kept FROM k""")
-simple("r17_apply_edits", f"""WITH {CANDIDATES} SELECT meeting_id, seg_from + CASE WHEN seg_from % 4 = 0 THEN 100000000 ELSE 0 END AS item_index,
+simple("r17_apply_edits", f"""WITH {CANDIDATES} SELECT meeting_id, seg_from AS item_index, item_text AS task, 't1' AS analyzed_at,
+CASE WHEN seg_from % 4 = 3 THEN 'Eve' ELSE owner END AS owner, CASE WHEN seg_from % 4 <> 3 THEN deadline END AS deadline,
+seg_from % 4 = 3 AS manually_edited FROM candidates WHERE run_id = 1 AND category = 'action_items'""")
+simple("r17_edit_outcomes", f"""WITH {CANDIDATES} SELECT meeting_id, seg_from + CASE WHEN seg_from % 4 = 0 THEN 100000000 ELSE 0 END AS item_index,
 CASE WHEN seg_from % 4 = 1 THEN 'Other' ELSE item_text END AS task, 'Eve' AS owner, NULL::VARCHAR AS deadline,
 CASE seg_from % 4 WHEN 0 THEN 'not_found' WHEN 3 THEN 'accepted' ELSE 'conflict' END AS outcome FROM candidates
 WHERE run_id = 1 AND category = 'action_items'""")

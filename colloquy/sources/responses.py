@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,57 +22,66 @@ RESPONSE_SCHEMA = (
     "topics array<struct<label: string, keywords: array<string>, " + EVIDENCE + ">>, "
     "entities struct<people: array<string>, organizations: array<string>, dates: array<string>, "
     "locations: array<string>, products: array<string>>")
-RECOGNISED = ("summary", "action_items", "decisions", "questions", "topics")
-_LOOSE_COMMA = re.compile(r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', re.S)
-
-
-def _repair(content: str | None) -> tuple[str | None, bool]:
-    """(JSON text, salvaged): the object itself, or its complete leading fields."""
-    if not content:
-        return None, False
-    # Strings are matched first and kept, so only commas outside them can go.
-    cleaned = _LOOSE_COMMA.sub(lambda m: m.group(1) or "", content)
-    try:
-        value, salvaged = json.loads(cleaned), False
-    except ValueError:
-        value, salvaged = {}, True
-        read, at = json.JSONDecoder().raw_decode, 1
-        skip = re.compile(r"\s*")
-        while cleaned.startswith("{"):
-            try:
-                key, at = read(cleaned, skip.match(cleaned, at).end())
-                at = skip.match(cleaned, at).end()
-                if not isinstance(key, str) or cleaned[at:at + 1] != ":":
-                    break
-                value[key], at = read(cleaned, skip.match(cleaned, at + 1).end())
-            except ValueError:
-                break
-            at = skip.match(cleaned, at).end()
-            if cleaned[at:at + 1] != ",":
-                break
-            at += 1
-    if not isinstance(value, dict) or not any(k in value for k in RECOGNISED):
-        return None, False
-    return json.dumps(value, ensure_ascii=False), salvaged
+RECOGNISED = ["summary", "action_items", "decisions", "questions", "topics"]
+# Strings are matched first and kept, so only commas outside them can go.
+LOOSE_COMMA = r'(?s)("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])'
+
+
+def complete_part(content: str) -> str | None:
+    """The object up to its last complete field: cut at commas between fields, from the last one back."""
+    depth, quoted, skip, commas = 0, False, False, []
+    for at, c in enumerate(content):
+        if skip or (quoted and c not in '"\\'):
+            skip = False
+        elif quoted:
+            quoted, skip = c != '"', c == "\\"
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            depth += 1
+        elif c in "}]":
+            depth -= 1
+        elif c == "," and depth == 1:
+            commas.append(at)
+    for cut in [len(content), *reversed(commas)]:
+        closed = content[:cut] + "}"
+        try:
+            json.loads(closed)
+        except ValueError:
+            continue
+        return closed
+    return None
+
+
+def _recognised(c: str):
+    """Whether a text is a sound object with a known field."""
+    return F.coalesce(F.arrays_overlap(F.json_object_keys(c), F.array(*[F.lit(k) for k in RECOGNISED])), F.lit(False))
 
 
 def parse_responses(raw: DataFrame, column: str = "content") -> DataFrame:
     """S10. Adds ``parsed`` (typed), ``salvaged`` and ``rejected`` to each response.
 
-    Sound JSON is read by the engine; only what it cannot read goes through the repair step.
+    Sound JSON is read by the engine; only objects it cannot read go through the repair step.
     """
     bare = F.regexp_replace(F.regexp_replace(F.trim(column), r"(?i)^```(?:json)?\s*", ""),
                             r"\s*```$", "")
 
-    @F.pandas_udf("struct<json: string, salvaged: boolean>")
-    def repair(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_repair(v) for v in values], columns=["json", "salvaged"])
+    @F.pandas_udf("string")
+    def repair(values: pd.Series) -> pd.Series:
+        return values.map(complete_part)
 
-    rows = raw.withColumn("_bare", bare)
-    rows = rows.withColumn("_fixed", repair("_bare"))
-    return (rows.withColumn("parsed", F.from_json(F.col("_fixed.json"), RESPONSE_SCHEMA))
-            .withColumn("salvaged", F.col("_fixed.salvaged"))
-            .withColumn("rejected", F.col("_fixed.json").isNull()).drop("_bare", "_fixed"))
+    rows = raw.withColumn("_clean", F.regexp_replace(bare, LOOSE_COMMA, "$1"))
+    rows = rows.withColumn("_sound", F.coalesce(F.json_object_keys("_clean").isNotNull(), F.lit(False)))
+    good = rows.filter("_sound").withColumn("_json", F.col("_clean")).withColumn("salvaged", F.lit(False))
+    rest = rows.filter("not _sound")
+    broken = rest.filter(F.col("_clean").startswith("{")).withColumn("_json", repair("_clean")).withColumn(
+        "salvaged", F.lit(True))
+    other = rest.filter(~F.coalesce(F.col("_clean").startswith("{"), F.lit(False))).withColumn(
+        "_json", F.lit(None).cast("string")).withColumn("salvaged", F.lit(False))
+    read = good.unionByName(broken).unionByName(other)
+    read = read.withColumn("rejected", ~_recognised("_json"))
+    return (read.withColumn("parsed", F.when(~F.col("rejected"), F.from_json("_json", RESPONSE_SCHEMA)))
+            .withColumn("salvaged", F.col("salvaged") & ~F.col("rejected")).drop("_clean", "_sound", "_json"))
 
 
 def candidate_rows(parsed: DataFrame, keys: list[str]) -> DataFrame:
