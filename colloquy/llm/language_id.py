@@ -37,10 +37,11 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
     usable = docs.select("doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)
         & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # the classes
     chance = unsigned_share(F.xxhash64(F.lit("language"), "doc_id"))
-    return (usable.join(counts, "lang").filter(chance * F.col("n") < F.lit(float(per_language)))
-            .select("text", "lang", chance.alias("chance")))
+    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, per_language / n)])
+    few = usable.filter(chance < F.element_at(limits, F.col("lang"))) if counts else usable.limit(0)
+    return few.select("text", "lang", chance.alias("chance"))
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE):
