@@ -186,7 +186,8 @@ def search_shards(k: int):
                     where = np.array([h[0] for h in hits], int)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[where], pa.int64()), pa.array(keys[where], pa.int64()),
-                         pa.array([h[1] for h in hits], pa.int64()), pa.array([float(h[2]) for h in hits])],
+                         pa.array([h[1] for h in hits], pa.int64()),
+                         pa.array([float(h[2]) for h in hits], pa.float64())],
                         ["query_id", "query_key", "vec_id", "score"])
 
     return run
