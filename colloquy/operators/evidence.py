@@ -143,7 +143,7 @@ def fuzzy_evidence(quotes: DataFrame, segments: DataFrame, block: int = BLOCK) -
             .select("meeting_id", "quote", "_best.*"))
 
 
-def segment_at(points: DataFrame, segments: DataFrame, width: float = 86400.0) -> DataFrame:
+def segment_at(points: DataFrame, segments: DataFrame, width: float = 600.0) -> DataFrame:
     """J7. Point-in-time lookup: containing segment, else latest earlier one, else the first.
 
     ``points``: meeting_id, point_id, at_sec. Adds segment_id and its start.

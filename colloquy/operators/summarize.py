@@ -15,9 +15,9 @@ KEY = ["meeting_id"]
 
 
 def summary_candidates(sentences: DataFrame) -> DataFrame:
-    """F5. Substantive sentences, each wording once, at its first place (``pos``)."""
-    rows = sentences.select("meeting_id", (F.col("segment_id") * 1000000 + F.col("sentence_no"))
-                            .alias("pos"), X.norm("sentence").alias("sentence"))
+    """F5. Substantive sentences, each wording once, at its first place (``pos``: segment, sentence)."""
+    rows = sentences.select("meeting_id", F.struct("segment_id", "sentence_no").alias("pos"),
+                            X.norm("sentence").alias("sentence"))
     return first_of_each(rows.filter(X.is_substantive("sentence")), ["meeting_id", "sentence"],
                          ["pos"])
 
@@ -61,13 +61,14 @@ def summarize(sentences: DataFrame, n: int = 5, focus: DataFrame | None = None)
                      & ~w.isin(V.TOPIC_STOP))
     weights = materialize(tfidf(rows.select(*KEY, "pos", token.alias("tokens")), KEY, "pos",
                                 (1, 2), 10000))
-    state = materialize(score_sentences(rows, weights, focus).withColumn(
+    # Rounds carry places and numbers only; the sentences join the chosen places at the end.
+    state = materialize(score_sentences(rows, weights, focus).drop("sentence").withColumn(
         "redundancy", F.lit(0.0)).withColumn("round", F.lit(None).cast("int")))
     for step in range(1, n + 1):
         value = F.round(F.col("score") - V.MMR_WEIGHT * F.col("redundancy"), 9)
         open_rows = state.filter("round is null")
         chosen = open_rows.groupBy(*KEY).agg(
-            F.max_by("pos", F.struct(value, -F.col("pos"))).alias("pos"))
+            F.min_by("pos", F.struct(-value, F.col("pos"))).alias("pos"))
         marked = state.join(chosen.withColumn("_now", F.lit(step)), KEY + ["pos"], "left")
         marked = marked.withColumn("round", F.coalesce("round", "_now")).drop("_now")
         if step < n:
@@ -82,4 +83,4 @@ def summarize(sentences: DataFrame, n: int = 5, focus: DataFrame | None = None)
             state = materialize(marked)
         else:
             state = marked
-    return state.filter("round is not null").select(*KEY, "pos", "sentence", "round")
+    return state.filter("round is not null").join(rows, KEY + ["pos"]).select(*KEY, "pos", "sentence", "round")

@@ -438,7 +438,7 @@ _flagged("f4_meaningful_questions", X.is_meaningful_question)
 
 @query
 def f5_substantive(spark, d):
-    return summarize.summary_candidates(sentences(spark, d))
+    return summarize.summary_candidates(sentences(spark, d)).select("meeting_id", "pos.*", "sentence")
 
 
 @query
@@ -953,7 +953,7 @@ def k3_retrieve(spark, d):
 
 @query
 def k4_summary(spark, d):
-    return summarize.summarize(sentences(spark, d))
+    return summarize.summarize(sentences(spark, d)).select("meeting_id", "pos.*", "sentence", "round")
 
 
 @query

@@ -351,8 +351,9 @@ for _name, _rule in (("f1_actions", is_action), ("f2_decisions", is_decision),
                      ("f4_meaningful_questions", is_question)):
     simple(_name, f"""WITH {SENTENCES} SELECT meeting_id, segment_id, sentence_no, sentence FROM sentences
 WHERE {_rule('sentence')}""")
-simple("f5_substantive", f"""WITH {SENTENCES} SELECT meeting_id, min(segment_id * 1000000 + sentence_no) AS pos,
-sentence FROM sentences WHERE {substantive('sentence')} GROUP BY meeting_id, sentence""")
+simple("f5_substantive", f"""WITH {SENTENCES} SELECT meeting_id, arg_min(segment_id, (segment_id, sentence_no)) AS segment_id,
+arg_min(sentence_no, (segment_id, sentence_no)) AS sentence_no, sentence FROM sentences
+WHERE {substantive('sentence')} GROUP BY meeting_id, sentence""")
 simple("f6_topic_labels", f"""WITH {SEGMENTS} SELECT meeting_id, segment_id, text AS label FROM segments
 WHERE segment_id % 6 > 1 AND lower({norm('text')}) NOT IN {qin(V.GENERIC_TOPICS)}""")
 simple("f7_whole_word", f"""WITH {CANDIDATES} SELECT run_id, meeting_id, seg_from, owner,

@@ -86,9 +86,12 @@ def previous_run(versions: DataFrame, run_id: int) -> DataFrame:
     return older.join(latest, ["meeting_id", "run_id"], "left_semi")
 
 
-def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """S7. Labelled sentences from CSV; both columns are required."""
-    header = spark.read.option("header", True).option("multiLine", True).option(
+def read_labelled(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """S7. Labelled sentences from CSV; both columns are required.
+
+    Files can be split unless sentences hold line breaks (``multi_line``).
+    """
+    header = spark.read.option("header", True).option("multiLine", multi_line).option(
         "escape", '"').csv(path)
     missing = {"sentence", "label"} - set(header.columns)
     if missing:
