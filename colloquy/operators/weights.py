@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +10,10 @@ from colloquy.functions import vocab as V
 from colloquy.plans.ordered import top_k
 from colloquy.plans.runtime import has_rows, materialize
 
-BREAKING_TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_ \t\n\r\f]"
+# Two or more neighbouring words of letters that are no stop words, with nothing but blanks between.
+_PART = r"[\p{L}\p{M}\p{N}_]"
+_CONTENT = (rf"(?<!{_PART})(?!(?i:" + "|".join(V.TOPIC_STOP) + rf")(?!{_PART}))\p{{L}}{{2,}}(?!{_PART})")
+CONTENT_RUN = rf"{_CONTENT}(?:{V.SPACE}{_CONTENT})+"
 
 
 def ngrams(tokens: Column, sizes: tuple[int, ...]) -> Column:
@@ -32,7 +33,7 @@ def tfidf(docs: DataFrame, keys: list[str], doc: str, sizes: tuple[int, ...] = (
     tf' = 1 + ln tf, idf = ln((1+n)/(1+df)) + 1, rows of length one. Only the ``max_features``
     most frequent terms of each group count (ties by term).
     """
-    counts = term_counts(docs, keys, doc, sizes)
+    counts = materialize(term_counts(docs, keys, doc, sizes))  # read for the vocabulary and for the weights
     size = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     vocabulary = materialize(counts.groupBy(*keys, "term").agg(
         F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_total")))
@@ -77,29 +78,29 @@ def keywords(docs: DataFrame, keys: list[str], doc: str, top: int = 20,
 
 
 def phrases(sentences: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Candidate phrases: two to five neighbouring content words, first wording kept."""
-    tokens = F.regexp_extract_all("sentence", F.lit(BREAKING_TOKEN), 0)
-    good = F.transform("_t", lambda t: t.rlike(r"^\p{L}{2,}$")
-                       & ~F.lower(t).isin(V.TOPIC_STOP))
-    rows = sentences.select(*keys, order, tokens.alias("_t")).filter(F.size("_t") >= 2)
-    rows = rows.withColumn("_ok", good)
+    """Candidate phrases: two to five neighbouring content words, first wording kept.
+
+    One pattern finds the runs of content words of a sentence; phrases are formed in the runs.
+    """
+    rows = sentences.select(*keys, order, F.posexplode(F.regexp_extract_all(
+        "sentence", F.lit(f"({CONTENT_RUN})"), 1)).alias("run", "_text"))
+    rows = rows.select(*keys, order, "run", F.split("_text", V.SPACE).alias("_t"))
 
     def of_size(n: int) -> Column:
-        last = F.size("_t") - n
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: functools.reduce(
-            lambda a, b: a & b, [F.coalesce(F.get("_ok", i + k), F.lit(False)) for k in range(n)]))
-        return F.transform(starts, lambda i: F.struct(
-            i.alias("at"), F.lower(F.get("_t", i + n - 1)).alias("tail"),
-            F.concat_ws(" ", *[F.get("_t", i + k) for k in range(n)]).alias("label")))
-
-    # Phrases are formed inside the row, so no row carries its whole token list along.
-    grams = (rows.select(*keys, order, F.explode(F.flatten(F.array(
+        starts = F.sequence(F.lit(0), F.greatest(F.size("_t") - n, F.lit(0)))
+        grams = F.transform(starts, lambda i: F.struct(
+            i.alias("at"), F.concat_ws(" ", *[F.get("_t", i + k) for k in range(n)]).alias("label"),
+            F.lower(F.get("_t", i + n - 1)).alias("tail")))
+        return F.when(F.size("_t") >= n, grams).otherwise(
+            F.array().cast("array<struct<at:int,label:string,tail:string>>"))
+
+    grams = (rows.select(*keys, order, "run", F.explode(F.flatten(F.array(
         *[of_size(n) for n in (2, 3, 4, 5)]))).alias("_p"))
-        .select(*keys, order, "_p.at", "_p.tail", "_p.label")
+        .select(*keys, order, "run", "_p.at", "_p.tail", "_p.label")
         .filter(~F.col("tail").isin(V.PHRASE_TAIL)))
     return (grams.groupBy(*keys, F.lower("label").alias("phrase"))
             .agg(F.count(F.lit(1)).alias("n"),
-                 F.min_by("label", F.struct(order, "at")).alias("label")))
+                 F.min_by("label", F.struct(order, "run", "at")).alias("label")))
 
 
 # A phrase can only be dropped for one that holds all its words, and phrases made of the at most
