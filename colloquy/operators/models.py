@@ -92,7 +92,7 @@ def lda_topics(sentences: DataFrame, topics: int = 5, iterations: int = 20, term
 
 
 def nmf_topics(sentences: DataFrame, topics: int = 5, iterations: int = 300, terms: int = TERMS,
-               tolerance: float = 1e-4) -> DataFrame:
+               tolerance: float = 0.01) -> DataFrame:
     """M4. Non-negative factors of the tf-idf table by multiplicative updates.
 
     ``sentences``: doc, sentence. Documents stay distributed, a row each with its terms; the
