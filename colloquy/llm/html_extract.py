@@ -3,10 +3,11 @@
 Every page becomes a tree of elements without furniture (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments, by element or by the words of
 class, id and role). Each element then gets its characters per tag, adjusted for links, and each
-element's density sum is that of its children. The element of the highest sum is the
-heart of the page; where pages mark articles (or a main part), only those compete. Without such a mark the
-text is the heart and every element around it, up to the body, that is at least as dense as
-the body: the threshold on the path to the body. Inside the chosen element nothing more is dropped.
+element's density sum is that of its children. All elements but those inside a line compete: the one of the
+highest sum is the heart of the page. The text is the heart, the innermost article around it, and every
+element around that, up to the body, that is at least as dense as the body: the threshold on the path to
+the body. Beside that path, elements as dense as the body are taken as well, and parts alike (the same element and
+the same words of class, id and role) with at least ``TWIN`` of the sum. Nothing more is dropped inside.
 
 Blocks are block-level elements; white space inside a block, line breaks included, is one space.
 
@@ -50,6 +51,12 @@ WORDS = re.compile(r"[a-z]+")
 CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
 
+#: Elements inside a line; they never compete.
+PHRASING = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup
+time tt u var""".split())
+TWIN = 0.2
+
+
 class Element:
     __slots__ = ("tag", "words", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
@@ -155,26 +162,40 @@ def density(at: Element, links_per_char: float) -> float:
     return at.chars / tags * log(max(ratio, 1.0)) / log(max(base, 1.1))
 
 
-def main_element(root: Element) -> Element:
+def main_elements(root: Element) -> list[Element]:
+    """The elements whose texts are the main text, in page order; none is inside another."""
     order = measure(root)
     body = next((x for x in order if x.tag == "body"), root)
-    for tags in (("article",), ("main",), None):
-        rivals = [x for x in order if x.chars and (x.tag in tags if tags else x is body or x.tag in BLOCKS and x is not root)]
-        if rivals:
-            break
-    else:
-        return body
-    best = max(rivals, key=lambda x: (x.total, x.chars))
-    if tags:
-        return best
+    best = max((x for x in order if x is body or x is not root and x.tag not in PHRASING), key=lambda x: (x.total, x.chars))
+    outer = best
+    while outer is not None and outer.tag != "article":
+        outer = outer.parent
+    best = outer or best
     while best is not body and best.parent not in (None, root, body) and best.parent.density >= body.density:
         best = best.parent
-    return best
+    path, at = set(), best.parent
+    while best is not body and at is not None:
+        path.add(id(at))
+        at = at.parent
+    chosen, stack = [], [body if best is body or id(body) in path else root]
+    while stack:
+        at = stack.pop()
+        if at is best or id(at) not in path and (at.density >= body.density or alike(at, best)):
+            chosen.append(at)
+        elif id(at) in path:
+            stack.extend(x for x in reversed(at.children) if isinstance(x, Element) and x.chars and (x.tag not in PHRASING or id(x) in path or x is best))
+    return chosen
+
+
+def alike(at: Element, best: Element) -> bool:
+    """Whether an element beside the chosen one is a part of the same kind."""
+    named = at.words or at.tag in ("article", "section")
+    return bool(named and at.parent is best.parent and (at.tag, at.words) == (best.tag, best.words) and at.total >= TWIN * best.total)
 
 
-def block_texts(element: Element) -> str:
+def block_texts(elements: list[Element]) -> str:
     """Text of the blocks in page order, a line each."""
-    lines, parts, stack = [], [], [element]
+    lines, parts, stack = [], [], list(reversed(elements))
 
     def close():
         if line := " ".join("".join(parts).split()):
@@ -203,7 +224,7 @@ def main_text(html: str) -> str:
     builder = TreeBuilder()
     builder.feed(CUT_TAG.sub("", html))
     builder.close()
-    return block_texts(main_element(without_furniture(builder.root)))
+    return block_texts(main_elements(without_furniture(builder.root)))
 
 
 def extract_pages(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

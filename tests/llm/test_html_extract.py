@@ -34,6 +34,39 @@ def test_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+def paragraphs(words, n):
+    return "".join(f"<p>{words} {k}</p>" for k in range(n))
+
+
+LONG, BRIEF = "long words that tell the story at some length, sentence after sentence", "a few words of it"
+
+
+def test_story_beside_article_teasers():
+    story = "<h1>Story</h1>" + paragraphs(LONG, 5)
+    teaser = "<article class=card><h3>Other</h3><p>read that one</p></article>"
+    text = html_extract.main_text(f"<body>{teaser}<div id=story>{story}</div>{teaser * 3}</body>")
+    assert text.split("\n") == ["Story", *(f"{LONG} {k}" for k in range(5))]
+    assert html_extract.main_text(f"<body><main>{teaser}</main><div>{story}</div></body>") == text
+
+
+@pytest.mark.parametrize("first, second", [(LONG, LONG), (LONG, BRIEF), (BRIEF, LONG)])
+@pytest.mark.parametrize("tag", ["article", "section", "div class=part"])
+def test_story_in_several_parts(first, second, tag):
+    end = tag.split()[0]
+    page = f"<body><{tag}>{paragraphs(first, 6)}</{end}><ul><li><a href=x>more</a></ul><{tag}>{paragraphs(second, 9)}</{end}></body>"
+    assert html_extract.main_text(page).split("\n") == [*(f"{first} {k}" for k in range(6)), *(f"{second} {k}" for k in range(9))]
+
+
+def test_article_of_many_inline_elements_stays_whole():
+    busy = " ".join(f"<b>bold{k}</b> word" for k in range(60))
+    page = f"<body><article><p>{busy}</p><p>end</p></article><div>some other words of this site</div></body>"
+    assert {"end", re.sub("<.*?>", "", busy)} <= set(html_extract.main_text(page).split("\n"))
+
+
+def test_text_outside_the_body():
+    assert html_extract.main_text(f"<body><p>x</p></body><div>{paragraphs(LONG, 4)}</div>").count(LONG) == 4
+
+
 def test_deep_nesting():
     assert html_extract.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
