@@ -1,8 +1,10 @@
 """Main text of web pages by composite text density.
 
 Every page becomes a tree of elements without furniture (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments, by element or by the words of
-class, id and role). Each element then gets its characters per tag, adjusted for links, and each
+notices, adverts, forms, scripts, styles, reader comments). Some elements always are furniture. Words of
+class, id and role only raise a suspicion: a suspect is furniture where over half of its text is links, or where it is
+a thread of comments. Other suspects do not compete outside articles, but come back with the chosen elements: all inside
+the heart, elsewhere those whose words (``LOOSE``) may as well name a subject. Headings are no suspects. Each element then gets its characters per tag, adjusted for links, and each
 element's density sum is that of its children. All elements but those inside a line compete: the one of the
 highest sum is the heart of the page. The text is the heart, the innermost article around it, and every
 element around that, up to the body, that is at least as dense as the body: the threshold on the path to
@@ -47,6 +49,12 @@ consent contentinfo cookie cookies copyright disclaimer dialog footer form gdpr
 navigation newsletter notice notification notifications overlay pager pagination paywall popup promo promoted promotion related search share
 sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar widget widgets""".split())
 COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
+#: Those that may as well name a part of a text.
+LOOSE = frozenset("""alert copyright disclaimer discussion form navigation notice notification notifications promotion related responses
+search share sharing social tags""".split())
+SURE = (MARKS | COMMENTS) - LOOSE
+THREAD = COMMENTS - LOOSE
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 WORDS = re.compile(r"[a-z]+")
 CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
@@ -58,7 +66,7 @@ TWIN = 0.2
 
 
 class Element:
-    __slots__ = ("tag", "words", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "words", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "own", "kept", "aside")
 
     def __init__(self, tag: str, words: frozenset, parent: "Element | None"):
         self.tag, self.words, self.parent, self.children = tag, words, parent, []
@@ -114,32 +122,83 @@ def depth_first(root: Element):
 
 
 def without_furniture(root: Element) -> Element:
-    """Takes furniture out of the tree; an element around an article or main part stays."""
+    """Takes furniture and suspects out of the tree; an element around an article or main part stays.
+
+    ``kept`` are the children without furniture, ``aside`` tells suspects, which may come back.
+    """
     order = list(depth_first(root))
-    holds = set()
+    holds, inside = set(), set()
     for at in order:
-        if at.tag in ("article", "main") and not at.words & COMMENTS:
+        part = at.tag in ("article", "main") and not at.words & COMMENTS
+        if at.parent is not None and id(at.parent) in inside or part and at.tag == "article":
+            inside.add(id(at))
+        if part:
             while at is not None and id(at) not in holds:
                 holds.add(id(at))
                 at = at.parent
+    suspects = []
     for at in order:
+        at.aside = False
         if at.parent is None or at.tag in ("html", "body"):
             continue
         marked = at.words & COMMENTS and at.tag != "main" and id(at) not in holds
         marked = marked or at.words & MARKS and id(at) not in holds
-        if at.tag in FURNITURE and (at.tag not in ("header", "form") or id(at) not in holds) or marked:
+        if at.tag in FURNITURE and (at.tag not in ("header", "form") or id(at) not in holds):
+            at.tag = ""
+        elif marked and at.tag not in HEADINGS:
+            suspects.append(at)
+    for at in reversed(order):
+        inner = [x for x in at.children if isinstance(x, Element) and x.tag]
+        at.own = sum(len("".join(x.split())) for x in at.children if isinstance(x, str))
+        at.chars = at.own + sum(x.chars for x in inner)
+        at.link_chars = at.chars if at.tag == "a" else sum(x.link_chars for x in inner)
+    threads = comment_threads(suspects) if suspects else set()
+    for at in suspects:
+        if 2 * at.link_chars > at.chars or id(at) in threads:
             at.tag = ""
+        else:
+            at.aside = id(at) not in inside
     for at in order:
-        at.children = [x for x in at.children if not isinstance(x, Element) or x.tag]
+        at.kept = [x for x in at.children if not isinstance(x, Element) or x.tag]
+        at.children = [x for x in at.kept if not isinstance(x, Element) or not x.aside]
     return root
 
 
+def comment_threads(suspects: list[Element]) -> set[int]:
+    """Suspects that are comments of readers: articles, and blocks with such a block in or beside them."""
+    marked = [x for x in suspects if x.words & COMMENTS and x.tag in BLOCKS]
+    found = {id(x) for x in marked if x.tag == "article"}
+    around, beside = {id(x): x for x in marked}, {}
+    for x in marked:
+        if x.words & THREAD:
+            beside.setdefault(id(x.parent), []).append(id(x))
+    found.update(i for same in beside.values() if len(same) > 1 for i in same)
+    seen = set()
+    for x in marked:
+        at = x.parent if x.words & THREAD else None
+        while at is not None and id(at) not in seen:
+            seen.add(id(at))
+            if id(at) in around:
+                found.add(id(at))
+            at = at.parent
+    return found
+
+
+def restore(element: Element, whole: bool) -> None:
+    """Brings suspects back into a chosen element: all, or those that no sure word marks."""
+    for at in depth_first(element):
+        for x in at.kept:
+            if isinstance(x, Element) and x.aside and (whole or not x.words & SURE):
+                x.aside = False
+        at.children = [x for x in at.kept if not isinstance(x, Element) or not x.aside]
+
+
 def measure(root: Element) -> list[Element]:
     """Characters, tags and densities of every element; the elements in page order."""
     order = list(depth_first(root))
     for at in reversed(order):
         inner = [x for x in at.children if isinstance(x, Element)]
-        at.chars = sum(len("".join(x.split())) for x in at.children if isinstance(x, str)) + sum(x.chars for x in inner)
+        at.chars = at.own + sum(x.chars for x in inner)
         at.tags = len(inner) + sum(x.tags for x in inner)
         linked = at.tag == "a"
         at.link_chars = at.chars if linked else sum(x.link_chars for x in inner)
@@ -171,6 +230,7 @@ def main_elements(root: Element) -> list[Element]:
     while outer is not None and outer.tag != "article":
         outer = outer.parent
     best = outer or best
+    heart = best
     while best is not body and best.parent not in (None, root, body) and best.parent.density >= body.density:
         best = best.parent
     path, at = set(), best.parent
@@ -184,6 +244,10 @@ def main_elements(root: Element) -> list[Element]:
             chosen.append(at)
         elif id(at) in path:
             stack.extend(x for x in reversed(at.children) if isinstance(x, Element) and x.chars and (x.tag not in PHRASING or id(x) in path or x is best))
+    if heart is not body:
+        restore(heart, True)
+    for at in chosen:
+        restore(at, False)
     return chosen
 
 

@@ -63,6 +63,33 @@ def test_article_of_many_inline_elements_stays_whole():
     assert {"end", re.sub("<.*?>", "", busy)} <= set(html_extract.main_text(page).split("\n"))
 
 
+NAMED = ("<h2 id='related-work'>Related work</h2><section id='discussion'><p>one thought of it</p><p>and one more</p></section>"
+         "<p class='share-price'>The price rose</p><h2 id='search-engines'>Search engines</h2><div class='notice'><p>mind this</p></div>"
+         "<pre><span class='comment'># a</span>\nx = 1 <span class='comment'># b</span></pre>")
+NAMED_TEXT = ["Related work", "one thought of it", "and one more", "The price rose", "Search engines", "mind this", "# a x = 1 # b"]
+
+
+@pytest.mark.parametrize("page", ["<body><article>{}</article></body>", "<body><div>{}</div><ul><li><a href=x>more</a></ul></body>",
+                                  "<body><main><div>{}</div></main></body>"])
+def test_words_of_attributes_alone_drop_nothing_inside(page):
+    assert html_extract.main_text(page.format(paragraphs(LONG, 4) + NAMED)).split("\n")[4:] == NAMED_TEXT
+
+
+def test_links_and_threads_inside_are_dropped():
+    links = "<a href=x>Send</a> <a href=y>Post</a>"
+    extra = (f"<div class='share'>{links}</div><div class='related'><p>See <a href=z>quite another story of ours</a></p></div>"
+             "<section id='comments'><div class='comment'><p>reader one</p></div><div class='comment'><p>reader two</p></div></section>"
+             "<article class='comment'><p>reader three</p></article>")
+    assert html_extract.main_text(f"<body><article>{paragraphs(LONG, 4)}{extra}<p>end</p></article></body>").split("\n") == [
+        *(f"{LONG} {k}" for k in range(4)), "end"]
+
+
+def test_sections_beside_the_heart():
+    page = (f"<body><main><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><section id=discussion><p>{LONG}</p></section>"
+            f"<div class=sidebar><p>other things</p></div></main><p>{BRIEF}</p></body>")
+    assert html_extract.main_text(page) == "\n".join([LONG] * 4)
+
+
 def test_text_outside_the_body():
     assert html_extract.main_text(f"<body><p>x</p></body><div>{paragraphs(LONG, 4)}</div>").count(LONG) == 4
 
