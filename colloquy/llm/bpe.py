@@ -20,6 +20,7 @@ an empty result; other columns do not matter.
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 import re
 from array import array
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import whole_text, with_fields
 
 CHUNK, OVERLAP, MARGIN = 1 << 15, 1 << 10, 4
-CACHE = 500_000  # distinct matches remembered in a task, some 100 MB
-SHORT = 64  # bytes of a match
-ROWS = 256  # rows of an output batch
+CACHE = 500_000  # distinct matches remembered in a worker process, some 100 MB
+WIDTHS = (8, 12, 16, 24, 40, 64)  # bytes of matches that are merged together
+MERGED = 16_384  # matches merged at a time
+ROWS, LONG_ROWS = 256, 32  # rows of an output batch: of short texts, of pieces of long ones
 
 
 def load_ranks(raw: bytes) -> dict[bytes, int]:
@@ -41,27 +43,75 @@ def load_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) if token}
 
 
-def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one match: the neighbouring pair of lowest rank merges first, the leftmost of equals."""
-    if (whole := ranks.get(piece)) is not None:
-        return [whole]
-    return (merge_short if len(piece) <= SHORT else merge_long)(piece, ranks)
+class Merger:
+    """Ids of matches: the neighbouring pair of lowest rank merges first, the leftmost of equals.
 
+    Short matches are merged many at a time, one pair of each in a step: a row of ids and a row
+    of the ids that neighbours would merge to, which are their ranks too. Longer ones take a heap.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import numpy as np
+
+        self.ranks, self.none = ranks, 1 + max(ranks.values(), default=0)
+        self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        splits = {(left << 32) | right: rank for token, rank in ranks.items() for i in range(1, len(token))
+                  if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None}
+        self.pairs = np.array(sorted(splits) or [-1], np.int64)
+        self.merged = np.array([splits.get(p, self.none) for p in self.pairs.tolist()], np.int64)
+
+    def merge_ids(self, left, right):
+        """What neighbours merge to, or ``none``. Ids of -1 are no neighbours."""
+        import numpy as np
 
-def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ranks of all neighbouring pairs in a list, looked through for each merge."""
-    rank, none = ranks.get, len(ranks)
-    parts = [piece[i:i + 1] for i in range(len(piece))]
-    pairs = [rank(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
-    while pairs and (low := min(pairs)) < none:
-        i = pairs.index(low)
-        parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i:
-            pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
-        if i < len(pairs):
-            pairs[i] = rank(parts[i] + parts[i + 1], none)
-    return [ranks[p] for p in parts]
+        pair = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where((left >= 0) & (right >= 0) & (self.pairs[at] == pair), self.merged[at], self.none)
+
+    def merge_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """Ids, as four bytes each, of matches of 2 to ``width`` bytes."""
+        import numpy as np
+
+        lengths = np.array([len(p) for p in pieces])
+        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
+        ids = np.where(np.arange(width) < lengths[:, None], self.byte_ids[raw], -1)
+        ids = np.concatenate([ids, np.full((len(ids), 1), -1)], 1)
+        low = self.merge_ids(ids[:, :-1], ids[:, 1:])
+        done, rows = np.full((len(ids), width), -1, np.int32), np.arange(len(ids))
+        while len(rows):
+            at = low.argmin(1)
+            every = np.arange(len(rows))
+            best = low[every, at]
+            if not (more := best < self.none).all():
+                done[rows[~more]] = ids[~more, :-1]
+                ids, low, rows, at, best = ids[more], low[more], rows[more], at[more], best[more]
+                every = np.arange(len(rows))
+            ids[every, at] = best
+            behind = np.arange(width)[None, :] + (np.arange(width)[None, :] > at[:, None])
+            ids[:, :-1] = np.take_along_axis(ids, behind, 1)
+            low[:, :-1] = np.take_along_axis(low, np.minimum(behind[:, :-1], width - 1), 1)
+            low[every, at] = self.merge_ids(best, ids[every, at + 1])
+            before = np.maximum(at - 1, 0)
+            low[every, before] = np.where(at > 0, self.merge_ids(ids[every, before], best), low[every, before])
+        counts = (done >= 0).sum(1).tolist()
+        return [row[:n].tobytes() for row, n in zip(done, counts, strict=True)]
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids, as four bytes each, of every match."""
+        out, by_width = [b""] * len(pieces), {w: [] for w in WIDTHS}
+        for k, piece in enumerate(pieces):
+            if (whole := self.ranks.get(piece)) is not None:
+                out[k] = array("i", [whole]).tobytes()
+            elif (width := next((w for w in WIDTHS if len(piece) <= w), None)) is not None:
+                by_width[width].append(k)
+            else:
+                out[k] = array("i", merge_long(piece, self.ranks)).tobytes()
+        for width, places in by_width.items():
+            for start in range(0, len(places), MERGED):
+                some = places[start:start + MERGED]
+                for k, ids in zip(some, self.merge_rows([pieces[k] for k in some], width), strict=True):
+                    out[k] = ids
+        return out
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -86,17 +136,32 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i:e]] for i, e in enumerate(end) if e]
 
 
-class MatchIds(dict):
-    """Ids of a match of the pattern, as four bytes each, remembered up to a bound."""
+class Encoder:
+    """Ranks, the merger, and the ids of matches met before, remembered up to a bound."""
+
+    def __init__(self, ranks_file: bytes):
+        self.ranks = load_ranks(ranks_file)
+        self.spelling = {rank: token for token, rank in self.ranks.items()}
+        self.merger, self.known = Merger(self.ranks), {}
+
+    def encode(self, found: list[list[str]]) -> list[bytes]:
+        """Ids, as four bytes each, of texts given by their matches."""
+        known = self.known
+        new = list({m for matches in found for m in matches if m not in known})
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = list({m for matches in found for m in matches})
+        known.update(zip(new, self.merger.merge([m.encode() for m in new]), strict=True))
+        return [b"".join(map(known.__getitem__, matches)) for matches in found]
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.spelling.__getitem__, ids))
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
 
-    def __missing__(self, match: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        self[match] = ids = array("i", merge_bytes(match.encode(), self.ranks)).tobytes()
-        return ids
+@functools.lru_cache(maxsize=1)
+def encoder(ranks_file: bytes) -> Encoder:
+    """One for all tasks of a worker process, which so remembers matches from task to task."""
+    return Encoder(ranks_file)
 
 
 # Letters and numbers that came after Unicode 16.0, the tokenizer library's version;
@@ -188,7 +253,7 @@ def stitched_pieces(long: DataFrame, pattern: str) -> DataFrame:
             .select("uid", "id", "piece", F.array_join(F.col("t.text"), "").alias("text")))
 
 
-def encode_pieces(pieces: DataFrame, keep: list[str], ranks_file: bytes, pattern: str) -> DataFrame:
+def encode_pieces(pieces: DataFrame, keep: list[str], ranks_file: bytes, pattern: str, rows: int = ROWS) -> DataFrame:
     """``keep``, ``ids`` and ``decoded`` (the bytes that the ids stand for) of each ``text``."""
     schema = with_fields(pieces.select(*keep), "ids array<int>, decoded binary")
 
@@ -196,16 +261,14 @@ def encode_pieces(pieces: DataFrame, keep: list[str], ranks_file: bytes, pattern
         import numpy as np
         import pyarrow as pa
 
-        ranks = load_ranks(ranks_file)
-        known, find = MatchIds(ranks), Matches(pattern).texts
-        spell = {rank: token for token, rank in ranks.items()}.__getitem__
+        coder, find = encoder(ranks_file), Matches(pattern).texts
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                ids = [b"".join(map(known.__getitem__, find(t))) for t in batch.column("text").to_pylist()]
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                ids = coder.encode([find(t) for t in batch.column("text").to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 values = np.frombuffer(b"".join(ids), np.int32)
-                decoded = [b"".join(map(spell, np.frombuffer(x, np.int32).tolist())) for x in ids]
+                decoded = [coder.decode(np.frombuffer(x, np.int32).tolist()) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                      pa.array(decoded, pa.binary())], [*keep, "ids", "decoded"])
@@ -230,7 +293,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     short = rows.filter(F.char_length("text") <= CHUNK)
     long = rows.filter(F.char_length("text") > CHUNK).select(
         F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("string").alias("id"), "text")
-    pieces = encode_pieces(stitched_pieces(long, pattern), ["uid", "id", "piece"], ranks_file, pattern)
+    pieces = encode_pieces(stitched_pieces(long, pattern), ["uid", "id", "piece"], ranks_file, pattern, LONG_ROWS)
     back = F.col("id").cast(rows.schema["doc_id"].dataType).alias("doc_id")
     return (encode_pieces(short, ["doc_id"], ranks_file, pattern),
             pieces.select("uid", back, "piece", "ids", "decoded"))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -44,8 +45,15 @@ def test_chunks_meet(spark, monkeypatch):
 MATCHES = bpe.Matches(public_tokenizers.PATTERN)
 
 
+MERGER = bpe.Merger(RANKS)
+
+
+def merge(*pieces):
+    return [np.frombuffer(ids, np.int32).tolist() for ids in MERGER.merge([p.encode() for p in pieces])]
+
+
 def encode(text):
-    return [i for m in MATCHES.texts(text) for i in bpe.merge_bytes(m.encode(), RANKS)]
+    return [i for ids in merge(*MATCHES.texts(text)) for i in ids]
 
 
 def test_every_character_is_of_the_library_class():
@@ -76,10 +84,23 @@ def test_round_trip(text):
 
 def test_long_match():
     text = "ab" * 3000 + "é" * 2000
-    assert bpe.merge_bytes(text.encode(), RANKS) == ENCODING.encode_ordinary(text)
-
-
-@settings(max_examples=300, deadline=None)
-@given(st.text(min_size=2, max_size=40))
-def test_both_ways_to_merge_agree(text):
-    assert bpe.merge_short(text.encode(), RANKS) == bpe.merge_long(text.encode(), RANKS)
+    assert merge(text) == [ENCODING.encode_ordinary(text)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(min_size=1, max_size=70), max_size=20))
+def test_both_ways_to_merge_agree(texts):
+    """Many at a time, of all widths, and one by one over a heap."""
+    whole = [[RANKS[t.encode()]] if t.encode() in RANKS else bpe.merge_long(t.encode(), RANKS) for t in texts]
+    assert merge(*texts) == whole
+
+
+def test_memory_is_emptied_when_full(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    coder = bpe.Encoder(open(PATH, "rb").read())
+    rng = random.Random(3)
+    for _ in range(20):
+        texts = ["".join(rng.choice("abcdeé ") for _ in range(200)) for _ in range(4)]
+        got = coder.encode([MATCHES.texts(t) for t in texts])
+        assert [np.frombuffer(g, np.int32).tolist() for g in got] == [ENCODING.encode_ordinary(t) for t in texts]
+        assert [coder.decode(np.frombuffer(g, np.int32).tolist()).decode() for g in got] == texts
