@@ -14,6 +14,7 @@ from colloquy.llm import (
     language_id,
     mixing,
     ngram_join,
+    periodic_runs,
     quality,
     secret_scan,
     sharding,
@@ -84,13 +85,28 @@ def op10_html_extract(spark, d) -> DataFrame:
     return html_extract.extract_pages(table(spark, d, "pages"))
 
 
+def runs_of_documents(docs: DataFrame) -> DataFrame:
+    """One row of digests per document, of whose texts one in ten gets a repeated tail."""
+    found = periodic_runs.find_runs(docs, ["doc_id"], periodic_runs.with_repeated_tails(docs))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.start.alias("start"), best.length.alias("length"),
+        best.period.alias("period"), F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_periodic_runs(spark, d) -> DataFrame:
+    return runs_of_documents(table(spark, d, "documents"))
+
+
 def pipeline(spark, d) -> DataFrame:
     return corpus_pipeline.run(spark, d)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_secret_scan, op3_vector_search, op4_exact_dedup, op5_byte_bpe, op6_ngram_jaccard, op7_sharding,
-    op8_quality, op9_language_id, op10_html_extract, pipeline)}
+    op8_quality, op9_language_id, op10_html_extract, op13_periodic_runs, pipeline)}
 
 ORACLES = {
     "op1_mixing": r"""
