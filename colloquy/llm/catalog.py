@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from colloquy.llm import (
     bpe,
+    decontaminate,
     exact_dedup,
     html_extract,
     language_id,
@@ -85,6 +86,19 @@ def op10_html_extract(spark, d) -> DataFrame:
     return html_extract.extract_pages(table(spark, d, "pages"))
 
 
+def hits_of_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row of counts and the digest of the items per document."""
+    found = decontaminate.contamination(docs.select("doc_id", "text"), benchmark)
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.begin)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.size("spans") > 0).alias("contaminated"))
+
+
+def op11_decontaminate(spark, d) -> DataFrame:
+    return hits_of_documents(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def runs_of_documents(docs: DataFrame) -> DataFrame:
     """One row of digests per document, of whose texts one in ten gets a repeated tail."""
     found = periodic_runs.find_runs(docs, ["doc_id"], periodic_runs.with_repeated_tails(docs))
@@ -106,7 +120,7 @@ def pipeline(spark, d) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_secret_scan, op3_vector_search, op4_exact_dedup, op5_byte_bpe, op6_ngram_jaccard, op7_sharding,
-    op8_quality, op9_language_id, op10_html_extract, op13_periodic_runs, pipeline)}
+    op8_quality, op9_language_id, op10_html_extract, op11_decontaminate, op13_periodic_runs, pipeline)}
 
 ORACLES = {
     "op1_mixing": r"""
@@ -153,6 +167,35 @@ SELECT doc_id, keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, coalesce(text, '') AS t, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id
       FROM documents) d""",
+    "op11_decontaminate": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), starts AS (
+  SELECT item, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM starts
+), places AS (
+  SELECT uid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM windows) s WHERE len(w) >= k
+), grams AS (
+  SELECT uid, k, i, array_to_string(w[i:i + k - 1], ' ') AS gram FROM places
+), occurring AS (
+  SELECT uid, item, k, i FROM grams JOIN windows USING (k, gram)
+), covered AS (
+  SELECT uid, count(DISTINCT place) AS n_hit
+  FROM (SELECT uid, unnest(range(i, i + k)) AS place FROM (SELECT DISTINCT uid, k, i FROM occurring) d) c GROUP BY uid
+), named AS (
+  SELECT uid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT uid, item FROM occurring) d GROUP BY uid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (uid) LEFT JOIN named USING (uid)""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
