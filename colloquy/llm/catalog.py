@@ -17,6 +17,7 @@ from colloquy.llm import (
     ngram_join,
     periodic_runs,
     quality,
+    repair,
     secret_scan,
     sharding,
     vector_search,
@@ -99,6 +100,11 @@ def op11_decontaminate(spark, d) -> DataFrame:
     return hits_of_documents(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op12_repair(spark, d) -> DataFrame:
+    rows = table(spark, d, "conversations")
+    return repair.report(repair.damaged(rows), rows)
+
+
 def runs_of_documents(docs: DataFrame) -> DataFrame:
     """One row of digests per document, of whose texts one in ten gets a repeated tail."""
     found = periodic_runs.find_runs(docs, ["doc_id"], periodic_runs.with_repeated_tails(docs))
@@ -120,7 +126,7 @@ def pipeline(spark, d) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_secret_scan, op3_vector_search, op4_exact_dedup, op5_byte_bpe, op6_ngram_jaccard, op7_sharding,
-    op8_quality, op9_language_id, op10_html_extract, op11_decontaminate, op13_periodic_runs, pipeline)}
+    op8_quality, op9_language_id, op10_html_extract, op11_decontaminate, op12_repair, op13_periodic_runs, pipeline)}
 
 ORACLES = {
     "op1_mixing": r"""
