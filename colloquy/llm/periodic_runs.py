@@ -246,11 +246,12 @@ def with_repeated_tails(docs: DataFrame) -> Column:
     h = F.crc32(docs["doc_id"].cast("string").cast("binary"))
     words = F.regexp_extract_all(whole_text(docs["text"]), F.lit(WORD), F.lit(0))
 
-    def repeated(words: Column) -> Column:
+    def repeated(words: Column) -> Column:  # of a bound array: the words are found once, not once per word
         n, g = F.size(words).cast("bigint"), F.floor(h / 10)
         a = g % n
         p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
         return F.transform(words, lambda w, i: F.when(i < a, w).otherwise(
             F.element_at(words, (a + (i - a) % p + 1).cast("int"))))
 
-    return F.when(h % 10 == 0, F.array_join(repeated(words), " ")).otherwise(docs["text"])
+    bound = F.transform(F.array(words), lambda found: F.array_join(repeated(found), " "))
+    return F.when(h % 10 == 0, bound[0]).otherwise(docs["text"])
