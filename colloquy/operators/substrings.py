@@ -147,15 +147,24 @@ def occurrences(needles: DataFrame, rows: DataFrame, keys: list[str],
         {"_next": lambda w: F.lead(F.split("text", " ").getItem(0)).over(w)}, block)
     index = _word_index(placed, keys, "_next")
     wanted = _lookups(needles, index, keys)
-    spots = (index.join(wanted, keys + ["w", "nxt"])
-             .select(*keys, "needle", (F.col("word_at") + F.col("delta")).alias("start"))
-             .withColumn("_stop", F.col("start") + F.length("needle"))
-             .filter("start >= 0").distinct())
+    # The row of the looked-up word is met first: most places lie wholly inside of it.
+    spots = materialize(
+        index.join(wanted, keys + ["w", "nxt"])
+        .select(*keys, "needle", "row_id", (F.col("word_at") + F.col("delta")).alias("start"))
+        .filter("start >= 0").join(placed.drop("_next"), keys + ["row_id"])
+        .withColumn("_stop", F.col("start") + F.length("needle"))
+        .withColumn("_inside", (F.col("start") >= F.col("at")) & (F.col("_stop") <= F.col("at") + F.length("text")))
+        .withColumn("_piece", F.when(F.col("_inside"), F.substr("text", F.col("start") - F.col("at") + 1, F.length("needle"))))
+        .filter(~F.col("_inside") | (F.col("_piece") == F.col("needle")))
+        .select(*keys, "needle", "start", "_stop",
+                F.when(F.col("_inside"), F.array(F.struct("row_id", "at", "text", *payload))).alias("cover")))
+    within = spots.filter("cover is not null").select(*keys, "needle", "start", "cover")
+    across = spots.filter("cover is null").select(*keys, "needle", "start", "_stop").distinct()
 
     def blocks(lo: Column, hi: Column) -> Column:
         return F.sequence(F.floor(lo / CHAR_BLOCK), F.floor((hi - 1) / CHAR_BLOCK))
 
-    cut_spots = spots.withColumn("_cb", F.explode(blocks(F.col("start"), F.col("_stop"))))
+    cut_spots = across.withColumn("_cb", F.explode(blocks(F.col("start"), F.col("_stop"))))
     cut_rows = (placed.drop("_next").withColumn("_end", F.col("at") + F.length("text"))
                 .withColumn("_cb", F.explode(blocks(F.col("at"), F.col("_end")))))
     touching = (cut_spots.join(cut_rows, keys + ["_cb"])
@@ -167,7 +176,7 @@ def occurrences(needles: DataFrame, rows: DataFrame, keys: list[str],
     found = touching.groupBy(*keys, "needle", "start").agg(cover.alias("cover"))
     joined = F.array_join(F.transform("cover", lambda r: r["text"]), " ")
     inside = F.substr(joined, F.col("start") - F.col("cover")[0]["at"] + 1, F.length("needle"))
-    return found.filter(inside == F.col("needle"))
+    return within.unionByName(found.filter(inside == F.col("needle")))
 
 
 def rows_containing(needles: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
