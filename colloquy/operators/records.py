@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
 from colloquy.functions import vocab as V
-from colloquy.functions.vocab import SAME_EVENT_JACCARD
 from colloquy.operators.evidence import ground, locate_quotes
 from colloquy.operators.substrings import rows_containing
-from colloquy.plans.graph import connected_components
 from colloquy.plans.ordered import BLOCK, block_of
-from colloquy.plans.runtime import materialize
+from colloquy.plans.runtime import has_rows, materialize
 
 DETAILS = ("owner", "deadline", "priority")
 OPTIONAL = ("owner", "deadline", "priority", "status", "answer", "owner_evidence",
@@ -145,8 +142,8 @@ def _conflict(a: Column, b: Column) -> Column:
     return F.coalesce(a != b, F.lit(False))
 
 
-def similar_records(items: DataFrame, group: list[str]) -> DataFrame:
-    """Pairs (left_pos < right_pos) of distinct records that could describe one event.
+def shared_keys(items: DataFrame, group: list[str]) -> DataFrame:
+    """(node, key) for records that could describe one event with another: same key, maybe same event.
 
     Keys hold both a shared (container) evidence text and a shared rare term, so neither a
     common quote nor a common wording alone brings a large group together.
@@ -156,96 +153,125 @@ def similar_records(items: DataFrame, group: list[str]) -> DataFrame:
     inside = rows_containing(quotes, holders, group).select(
         *group, F.col("needle").alias("evidence"), F.col("row_id").alias("_box"))
     keyed = (items.join(inside, group + ["evidence"])
-             .withColumn("_term", F.explode(_prefix(F.col("_terms"), V.SAME_EVENT_JACCARD))))
-    left = keyed.select(*group, "_box", "_term", F.col("pos").alias("left_pos"),
-                        F.col("_terms").alias("_lt"), F.size("_terms").alias("_ln"))
-    right = keyed.select(*group, "_box", "_term", F.col("pos").alias("right_pos"),
-                         F.col("_terms").alias("_rt"), F.size("_terms").alias("_rn"))
-    return (left.join(right, group + ["_box", "_term"])
-            .filter(F.col("left_pos") < F.col("right_pos"))
-            .filter(F.least("_ln", "_rn") >= F.greatest("_ln", "_rn") * V.SAME_EVENT_JACCARD - 1e-9)
-            .filter(X.jaccard(F.col("_lt"), F.col("_rt")) >= V.SAME_EVENT_JACCARD)
-            .select(*group, "left_pos", "right_pos").distinct())
-
-
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """First record that matches keeps the later one; state is the kept record's own."""
-    kept: list[dict] = []
-    home = []
-    for row in pdf.sort_values("pos").to_dict("records"):
-        words = set(row["_terms"])
-        match = None
-        for other in kept:
-            clash = row["is_task"] and any(
-                row[k] and other[k] and row[k] != other[k] for k in ("owner", "deadline"))
-            union = words | other["words"]
-            alike = not union or len(words & other["words"]) / len(union) >= SAME_EVENT_JACCARD
-            nested = row["evidence"] in other["evidence"] or other["evidence"] in row["evidence"]
-            if alike and nested and not clash:
-                match = other
-                break
-        if match is None:
-            match = {"pos": row["pos"], "words": words, "evidence": row["evidence"],
-                     "owner": row["owner"], "deadline": row["deadline"]}
-            kept.append(match)
-        else:
-            for k in ("owner", "deadline"):
-                match[k] = match[k] or row[k]
-            if len(row["evidence"]) > len(match["evidence"]):
-                match["evidence"] = row["evidence"]
-        home.append((row["pos"], match["pos"]))
-    out = pd.DataFrame(home, columns=["pos", "keeper"])
-    for name in pdf.columns:
-        if name.startswith("g_"):
-            out[name] = pdf[name].iloc[0]
-    return out
+             .withColumn("_term", F.explode(_prefix(F.col("_terms"), V.SAME_EVENT_JACCARD)))
+             .select("node", F.xxhash64(*group, "_box", "_term").alias("key")))
+    keyed = materialize(keyed)
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
+    return materialize(keyed.join(several, "key"))
+
+
+def similar_to(leaders: DataFrame, keyed: DataFrame, nodes: DataFrame, group: list[str]) -> DataFrame:
+    """(leader, node, ...) for each later record of the group that is worded like one of ``leaders``."""
+    ours = keyed.join(leaders, "node").select(F.col("node").alias("leader"), "key")
+    met = ours.join(keyed, "key").filter(F.col("node") > F.col("leader")).select("leader", "node").distinct()
+    first = nodes.select(F.col("node").alias("leader"), F.col("_terms").alias("_lt"),
+                         *[F.col(g).alias(f"_l_{g}") for g in group])
+    same = F.lit(True)
+    for g in group:  # keys are hashes
+        same = same & F.col(g).eqNullSafe(F.col(f"_l_{g}"))
+    small, large = F.least(F.size("_lt"), F.size("_terms")), F.greatest(F.size("_lt"), F.size("_terms"))
+    return (met.join(first, "leader").join(nodes, "node")
+            .filter(same & (small >= large * V.SAME_EVENT_JACCARD - 1e-9))
+            .filter(X.jaccard(F.col("_lt"), F.col("_terms")) >= V.SAME_EVENT_JACCARD)
+            .select("leader", "node", "is_task", "evidence", "owner", "deadline"))
+
+
+def leader_states(members: DataFrame) -> DataFrame:
+    """What each leader holds after which record: first known owner and deadline, and each longest quote so far.
+
+    ``members``: leader, node (the leader itself too), evidence, owner, deadline.
+    """
+    known = members.groupBy("leader").agg(
+        *[F.min_by(F.struct("node", c), F.when(F.col(c).isNotNull(), F.col("node"))).alias(f"_{c}")
+          for c in ("owner", "deadline")])
+    # Distinct quotes only; a quote is adopted where it is longer than all before it.
+    quotes = members.groupBy("leader", "evidence").agg(F.min("node").alias("node"))
+    earlier = Window.partitionBy("leader").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    adopted = (quotes.withColumn("_longest", F.max(F.length("evidence")).over(earlier))
+               .filter(F.col("_longest").isNull() | (F.length("evidence") > F.col("_longest"))))
+    history = adopted.groupBy("leader").agg(F.array_sort(F.collect_list(F.struct("node", "evidence"))).alias("_quotes"))
+    return known.join(history, "leader")
+
+
+def first_leaders(pairs: DataFrame, states: DataFrame) -> DataFrame:
+    """(node, leader): the first of its leaders whose state before the record lets it in."""
+    quote = F.element_at(F.filter("_quotes", lambda q: q["node"] < F.col("node")), -1)["evidence"]
+    clash = F.lit(False)
+    for c in ("owner", "deadline"):
+        held = F.when(F.col(f"_{c}")["node"] < F.col("node"), F.col(f"_{c}")[c])
+        clash = clash | _conflict(held, F.col(c))
+    nested = quote.contains(F.col("evidence")) | F.col("evidence").contains(quote)
+    return (pairs.join(states, "leader").filter(nested & ~(F.col("is_task") & clash))
+            .groupBy("node").agg(F.min("leader").alias("leader")))
+
+
+def ordered_merge(nodes: DataFrame, group: list[str]) -> DataFrame:
+    """(node, leader) of the records that merge into an earlier one, as a walk in order of ``node`` would have it.
+
+    A record joins the first leader before it that is worded alike, has a nested quote and no other owner or deadline, all
+    as the leader is when its turn comes: gaps filled and the longest quote adopted from the records that joined
+    before. A record that joins none is a leader.
+
+    In rounds: what leaders hold at each place follows from who joined them in the round before; with that all records
+    choose anew, until nothing changes. That is the walk's outcome: the first record's choice is right
+    from the beginning, and each further one once those before it are. Records not yet a leader or a member
+    become leaders some at a time, the first of those that share a key (twice as many each round); so a record is only
+    compared with leaders, never with all records that are like it.
+    """
+    keyed = shared_keys(nodes, group)
+    open_nodes = keyed.select("node").distinct()
+    if not has_rows(open_nodes):
+        return nodes.select("node", F.col("node").alias("leader")).limit(0)
+    known = materialize(nodes.join(open_nodes, "node"))
+    chosen = known.select("node", F.lit(None).cast("bigint").alias("leader")).limit(0)
+    led: DataFrame | None = None
+    pairs: DataFrame | None = None
+    pending, width = open_nodes, 1
+    while True:
+        grown = has_rows(pending)
+        if grown:
+            queue = Window.partitionBy("key").orderBy("node")
+            fresh = materialize(keyed.join(pending, "node").withColumn("_place", F.row_number().over(queue))
+                                .filter(F.col("_place") <= width).select("node").distinct())
+            found = similar_to(fresh, keyed, known, group)
+            led = fresh if led is None else materialize(led.unionByName(fresh))
+            pairs = materialize(found if pairs is None else pairs.unionByName(found))
+            width *= 2
+        leaders = led.join(chosen, "node", "left_anti")
+        member = leaders.select(F.col("node").alias("leader"), "node").unionByName(chosen.select("leader", "node"))
+        states = leader_states(member.join(known.select("node", "evidence", "owner", "deadline"), "node"))
+        standing = pairs.join(leaders.select(F.col("node").alias("leader")), "leader")
+        new = materialize(first_leaders(standing, states))
+        moved = new.join(chosen, ["node", "leader"], "left_anti")
+        left = chosen.join(new, ["node", "leader"], "left_anti")
+        settled = not grown and not has_rows(moved) and not has_rows(left)
+        chosen = new
+        if settled:
+            return chosen
+        pending = materialize(open_nodes.join(chosen, "node", "left_anti").join(led, "node", "left_anti"))
 
 
 def assign_keepers(items: DataFrame, group: list[str]) -> DataFrame:
     """R4, first half: the record each record merges into (itself when it survives).
 
-    Copies (same wording, quote, owner, deadline) are one record from the start. Only records
-    connected through possible matches are compared in order, each such cluster on its own.
+    Copies (same wording, quote, owner, deadline) are one record from the start.
     """
     rows = items.withColumn("_terms", X.terms("text")).withColumn(
         "is_task", F.col("category").isin("action_items", "follow_ups"))
     same = ["text", "evidence", "owner", "deadline"]
     safe = [F.coalesce(F.col(c), F.lit("")).alias(f"_k_{c}") for c in same]
-    copies = (rows.select(*group, "pos", *safe)
-              .groupBy(*group, *[f"_k_{c}" for c in same]).agg(F.min("pos").alias("first_pos")))
+    copies = materialize(rows.select(*group, "pos", *safe)
+                         .groupBy(*group, *[f"_k_{c}" for c in same]).agg(F.min("pos").alias("first_pos")))
+    known = [F.nullif(F.col(c), F.lit("")).alias(c) for c in ("owner", "deadline")]
     nodes = (copies.select(*group, F.col("first_pos").alias("pos"))
-             .join(rows.select(*group, "pos", "_terms", "is_task", *same), group + ["pos"]))
-    nodes = materialize(nodes)
-    pairs = similar_records(nodes, group)
-
-    def node(pos: str) -> Column:
-        return F.concat_ws("\u001f", *[F.col(g).cast("string") for g in group],
-                           F.lpad(F.col(pos).cast("string"), 20, "0"))
-
-    edges = pairs.select(node("left_pos").alias("src"), node("right_pos").alias("dst"))
-    clusters = connected_components(edges)
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
-    tied = (nodes.withColumn("node", node("pos")).join(clusters.join(sizes, "component"), "node")
-            .select("component", "_size", "pos", "_terms", "is_task", "evidence", "owner",
-                    "deadline", *[F.col(g).alias(f"g_{g}") for g in group]))
-    tied = materialize(tied)
-    held = [f"g_{g}" for g in group]
-    # Two records: one comparison, no order to follow.
-    couple = tied.filter("_size = 2").groupBy("component", *held).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "is_task", "evidence", "owner", "deadline")))
-        .alias("_two"))
-    one, two = F.col("_two")[0], F.col("_two")[1]
-    clash = one["is_task"] & (_conflict(one["owner"], two["owner"])
-                              | _conflict(one["deadline"], two["deadline"]))
-    nested = one["evidence"].contains(two["evidence"]) | two["evidence"].contains(one["evidence"])
-    merged = couple.select(*held, two["pos"].alias("pos"),
-                           F.when(nested & ~clash, one["pos"]).otherwise(two["pos"]).alias("keeper"))
-    types = dict(items.dtypes)
-    schema = ", ".join(["pos bigint", "keeper bigint", *[f"g_{g} {types[g]}" for g in group]])
-    many = tied.filter("_size > 2").drop("_size").groupBy("component").applyInPandas(
-        _greedy, schema)
-    folded = merged.unionByName(many).select(
-        *[F.col(f"g_{g}").alias(g) for g in group], F.col("pos").alias("first_pos"), "keeper")
+             .join(rows.select(*group, "pos", "_terms", "is_task", "evidence", *known), group + ["pos"]))
+    # Numbers in order of places within each group.
+    nodes = materialize(nodes.repartitionByRange(*group, "pos").sortWithinPartitions(*group, "pos")
+                        .withColumn("node", F.monotonically_increasing_id()))
+    folded = (ordered_merge(nodes, group)
+              .join(nodes.select("node", *group, F.col("pos").alias("first_pos")), "node")
+              .join(nodes.select(F.col("node").alias("leader"), F.col("pos").alias("keeper")), "leader")
+              .select(*group, "first_pos", "keeper"))
     member = rows.select(*group, "pos", *safe).join(
         copies, group + [f"_k_{c}" for c in same]).select(*group, "pos", "first_pos")
     return (member.join(folded, group + ["first_pos"], "left")

@@ -56,6 +56,40 @@ def test_greedy_merge_equals_one_by_one(spark):
     assert got == one_by_one(items)
 
 
+def test_merge_in_rounds_on_random_clusters(spark):
+    """Many small clusters, nested quotes, gaps that fill late: the outcome of the walk in order."""
+    rng = random.Random(12)
+    words = ["send", "report", "budget", "team", "docs", "plan", "draft", "to"]
+    quotes = [" ".join("alpha beta gamma delta epsilon zeta eta theta".split()[a:b]) for a in range(4) for b in range(a + 3, 9)]
+    rows, want = [], {}
+    for meeting in range(40):
+        items = []
+        for pos in range(rng.randrange(2, 30)):
+            row = item(pos, " ".join(rng.sample(words[:rng.choice([5, 8])], rng.randint(4, 5))), rng.choice(quotes),
+                       rng.choice([None, None, "Ann", "Bo"]), rng.choice([None, None, "Friday", "Monday"]),
+                       category=rng.choice(["action_items"] * 3 + ["decisions"]))
+            items.append((meeting, *row[1:]))
+        rows += items
+        for category in ("action_items", "decisions"):
+            home = one_by_one([i for i in items if i[1] == category])
+            want |= {(meeting, category, pos): keeper for pos, keeper in home.items()}
+    keepers = records.assign_keepers(spark.createDataFrame(rows, ITEM).repartition(4), ["meeting_id", "category"])
+    assert {(r["meeting_id"], r["category"], r["pos"]): r["keeper"] for r in keepers.collect()} == want
+
+
+def test_a_cluster_of_very_many_records(spark):
+    """100,000 records of one meeting that are all alike: one leader, compared with each once."""
+    rows = spark.range(100_000).selectExpr(
+        "1 AS meeting_id", "'decisions' AS category", "id AS pos",
+        "concat('keep the violet harbour lanterns near quiet mills over tall dunes number ', id) AS text",
+        "'All agreed on the lanterns of the harbour.' AS evidence", "id AS seg_from", "id AS seg_to",
+        "0D AS timestamp", "CAST(null AS string) AS speaker", "CAST(null AS string) AS owner",
+        "CAST(null AS string) AS deadline", "CAST(null AS string) AS priority", "'x' AS status",
+        "CAST(null AS string) AS answer", "CAST(null AS string) AS answer_evidence")
+    keepers = records.assign_keepers(rows, ["meeting_id", "category"])
+    assert keepers.filter("keeper = 0").count() == 100_000
+
+
 def test_three_rows_become_two_and_gaps_are_filled(spark):
     items = [item(0, "Fix the login bug", "Bob will fix the login bug."),
              item(1, "Repair login issue", "Bob will fix the login bug.", owner="Bob"),
