@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +9,6 @@ from colloquy.functions import text as X
 from colloquy.functions import vocab as V
 from colloquy.operators.evidence import locate_quotes, valid_evidence
 from colloquy.operators.records import PIPELINE, _conflict, _prefix, record_id
-from colloquy.plans.graph import connected_components
 from colloquy.plans.runtime import has_rows, materialize
 
 GROUP = ["meeting_id", "category"]
@@ -90,42 +88,29 @@ def match_pairs(previous: DataFrame, candidate: DataFrame) -> DataFrame:
     return single.unionByName(loose)
 
 
-def _first_free(pdf: pd.DataFrame) -> pd.DataFrame:
-    taken: set = set()
-    rows = []
-    for old, options in pdf.sort_values(["o_pos", "n_pos"]).groupby("o_pos", sort=True):
-        for choice in options.itertuples(index=False):
-            if choice.n_pos not in taken:
-                taken.add(choice.n_pos)
-                rows.append((choice.meeting_id, choice.category, old, choice.n_pos))
-                break
-    return pd.DataFrame(rows, columns=["meeting_id", "category", "o_pos", "n_pos"])
+def first_free(pairs: DataFrame) -> DataFrame:
+    """One-to-one from ``pairs`` (meeting_id, category, o_pos, n_pos), as if the old ones, in order, each took the
+    first new one that is left.
+
+    In rounds: every old record asks for its first option, every new one holds the first that asks and turns down
+    all later ones, now and for good: who was turned down asks for the next. A new record only ever changes
+    to an earlier old one, so what is turned down could never have been taken, and the rounds end
+    where no two ask for the same. Pairs are dealt by record, never by cluster.
+    """
+    old, new = [*GROUP, "o_pos"], [*GROUP, "n_pos"]
+    left = pairs
+    while True:
+        asked = left.groupBy(*old).agg(F.min("n_pos").alias("n_pos"))
+        held = materialize(asked.groupBy(*new).agg(F.min("o_pos").alias("_holder"), F.count(F.lit(1)).alias("_n")))
+        if not has_rows(held.filter("_n > 1")):
+            return held.select(*GROUP, F.col("_holder").alias("o_pos"), "n_pos")
+        left = materialize(left.join(held.select(*new, "_holder"), new, "left")
+                           .filter(F.col("_holder").isNull() | (F.col("o_pos") <= F.col("_holder"))).drop("_holder"))
 
 
 def match_records(previous: DataFrame, candidate: DataFrame) -> DataFrame:
     """R9. One-to-one: old records in order take the first new record not yet taken."""
-    pairs = materialize(match_pairs(previous, candidate))
-    old, new = [*GROUP, "o_pos"], [*GROUP, "n_pos"]
-    # Most records have one possible partner that has no other: nothing to decide there.
-    contested = (pairs.join(pairs.groupBy(*old).agg(F.count(F.lit(1)).alias("_o")), old)
-                 .join(pairs.groupBy(*new).agg(F.count(F.lit(1)).alias("_n")), new)
-                 .withColumn("_free", (F.col("_o") == 1) & (F.col("_n") == 1)))
-    free = contested.filter("_free").select(*GROUP, "o_pos", "n_pos")
-    rest = contested.filter("not _free").select(*GROUP, "o_pos", "n_pos")
-    if not has_rows(rest):
-        return free
-    group = F.concat_ws("\u001f", F.col("meeting_id").cast("string"), "category")
-
-    def node(p: str) -> Column:
-        return F.concat_ws("\u001f", group, F.lit(p), F.col(f"{p}_pos").cast("string"))
-
-    edges = rest.select(node("o").alias("src"), node("n").alias("dst"))
-    clusters = connected_components(edges).withColumnRenamed("node", "_node")
-    types = dict(pairs.dtypes)
-    schema = f"meeting_id {types['meeting_id']}, category string, o_pos bigint, n_pos bigint"
-    decided = (rest.withColumn("_node", node("o")).join(clusters, "_node")
-               .groupBy("component").applyInPandas(_first_free, schema))
-    return materialize(free.unionByName(decided))
+    return first_free(materialize(match_pairs(previous, candidate)))
 
 
 def same_pipeline(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -256,15 +256,15 @@ def assign_keepers(items: DataFrame, group: list[str]) -> DataFrame:
 
     Copies (same wording, quote, owner, deadline) are one record from the start.
     """
-    rows = items.withColumn("_terms", X.terms("text")).withColumn(
-        "is_task", F.col("category").isin("action_items", "follow_ups"))
     same = ["text", "evidence", "owner", "deadline"]
     safe = [F.coalesce(F.col(c), F.lit("")).alias(f"_k_{c}") for c in same]
-    copies = materialize(rows.select(*group, "pos", *safe)
-                         .groupBy(*group, *[f"_k_{c}" for c in same]).agg(F.min("pos").alias("first_pos")))
-    known = [F.nullif(F.col(c), F.lit("")).alias(c) for c in ("owner", "deadline")]
-    nodes = (copies.select(*group, F.col("first_pos").alias("pos"))
-             .join(rows.select(*group, "pos", "_terms", "is_task", "evidence", *known), group + ["pos"]))
+    copies = materialize(items.select(*group, "pos", F.col("category").alias("_of"), *safe)
+                         .groupBy(*group, *[f"_k_{c}" for c in same])
+                         .agg(F.min("pos").alias("first_pos"), F.min_by("_of", "pos").alias("_of")))
+    nodes = copies.select(
+        *group, F.col("first_pos").alias("pos"), X.terms("_k_text").alias("_terms"),
+        F.col("_of").isin("action_items", "follow_ups").alias("is_task"), F.col("_k_evidence").alias("evidence"),
+        *[F.nullif(F.col(f"_k_{c}"), F.lit("")).alias(c) for c in ("owner", "deadline")])
     # Numbers in order of places within each group.
     nodes = materialize(nodes.repartitionByRange(*group, "pos").sortWithinPartitions(*group, "pos")
                         .withColumn("node", F.monotonically_increasing_id()))
@@ -272,7 +272,7 @@ def assign_keepers(items: DataFrame, group: list[str]) -> DataFrame:
               .join(nodes.select("node", *group, F.col("pos").alias("first_pos")), "node")
               .join(nodes.select(F.col("node").alias("leader"), F.col("pos").alias("keeper")), "leader")
               .select(*group, "first_pos", "keeper"))
-    member = rows.select(*group, "pos", *safe).join(
+    member = items.select(*group, "pos", *safe).join(
         copies, group + [f"_k_{c}" for c in same]).select(*group, "pos", "first_pos")
     return (member.join(folded, group + ["first_pos"], "left")
             .select(*group, "pos", F.coalesce("keeper", "first_pos").alias("keeper")))

@@ -142,9 +142,10 @@ def occurrences(needles: DataFrame, rows: DataFrame, keys: list[str],
     needles = materialize(needles.select(*keys, "needle").distinct())
     rows = rows.select(*keys, "row_id", "text", *payload)
     placed = running_sum(rows, keys, "row_id", F.length("text") + 1, "at", block=block)
-    placed = with_neighbours(
+    # Read three times: for the word pairs, for the places, and for what lies across rows.
+    placed = materialize(with_neighbours(
         placed, keys, "row_id", 0, 1,
-        {"_next": lambda w: F.lead(F.split("text", " ").getItem(0)).over(w)}, block)
+        {"_next": lambda w: F.lead(F.split("text", " ").getItem(0)).over(w)}, block))
     index = _word_index(placed, keys, "_next")
     wanted = _lookups(needles, index, keys)
     # The row of the looked-up word is met first: most places lie wholly inside of it.

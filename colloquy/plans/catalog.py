@@ -52,8 +52,8 @@ def sentences(spark, d) -> DataFrame:
 
 def validated(spark, d) -> DataFrame:
     """R1 over both runs, the table all record queries start from."""
-    segs = fx.segments(spark, d)
-    return materialize(records.validate(fx.candidates(segs), segs))
+    segs = materialize(fx.segments(spark, d))
+    return materialize(records.validate(materialize(fx.candidates(segs)), segs))
 
 
 def accepted(spark, d) -> DataFrame:
@@ -586,9 +586,8 @@ def x12_candidate_entities(spark, d):
 
 # --- joins --------------------------------------------------------------------------------------------
 
-def _quotes(spark, d):
+def _quotes(spark, d, segs: DataFrame):
     """Quotes of one segment, of two neighbouring ones, and of parts of words."""
-    segs = fx.segments(spark, d)
     after = segs.select("meeting_id", (F.col("segment_id") - 1).alias("segment_id"),
                         F.col("text").alias("_next"))
     rows = segs.join(after, ["meeting_id", "segment_id"], "left")
@@ -603,7 +602,8 @@ def _quotes(spark, d):
 
 @query
 def j1_locate_quotes(spark, d):
-    return evidence.locate_quotes(_quotes(spark, d), fx.segments(spark, d))
+    segs = materialize(fx.segments(spark, d))
+    return evidence.locate_quotes(_quotes(spark, d, segs), segs)
 
 
 @query
@@ -1239,7 +1239,7 @@ def r9_matches(spark, d):
 
 
 def _reconciled(spark, d, items: DataFrame | None = None):
-    segs = fx.segments(spark, d)
+    segs = materialize(fx.segments(spark, d))
     previous, candidate = runs(spark, d, items)
     seg = F.col("seg_from")
     previous = previous.withColumn("edits", F.map_filter(F.create_map(

@@ -703,11 +703,12 @@ simple("r8_user_edits", f"""WITH {CANDIDATES}, e AS (SELECT meeting_id, category
 SELECT meeting_id, category, seg_from, concat_ws(';', a, b, c, d) AS edits FROM e""")
 _noclash = """NOT (o.category = 'action_items' AND (coalesce(o.owner <> n.owner, FALSE) OR coalesce(o.deadline <> n.deadline, FALSE)))"""
 # A source holds several records in each run: only wordings that look like one event match, the first free one.
+WORDED = CROWDED.replace("crowd AS (", "crowd AS MATERIALIZED (") + f""", worded AS MATERIALIZED (SELECT *, {terms('text')} AS tm FROM crowd)"""
 _close = f"""o.meeting_id = n.meeting_id AND o.category = n.category AND o.seg_from = n.seg_from AND o.seg_to = n.seg_to
  AND o.run_id = 1 AND n.run_id = 2 AND (contains(o.evidence, n.evidence) OR contains(n.evidence, o.evidence))
- AND {jaccard(terms('o.text'), terms('n.text'))} >= 0.72"""
-simple("r9_matches", f"""WITH {CROWDED} SELECT o.meeting_id, o.category, o.seg_from AS o_from, o.text AS o_text, n.seg_from AS n_from, n.text AS n_text
-FROM crowd o JOIN crowd n ON {_close} AND {_noclash}""")
+ AND {jaccard('o.tm', 'n.tm')} >= 0.72"""
+simple("r9_matches", f"""WITH {WORDED} SELECT o.meeting_id, o.category, o.seg_from AS o_from, o.text AS o_text, n.seg_from AS n_from, n.text AS n_text
+FROM worded o JOIN worded n ON {_close} AND {_noclash}""")
 
 
 def reconciled(source: str, match: str) -> str:
@@ -725,10 +726,11 @@ RECONCILED = VALIDATED + reconciled("validated", _pair)
 # Ids by wording where a source holds several records; new ones whose id is taken are named by their wording.
 _known = lambda c: f"coalesce({c}::VARCHAR, {DIGEST_NULL})"
 _one = digest("meeting_id", "category", _known("seg_from"), _known("seg_to"), f"CASE WHEN n > 1 THEN lower(text) ELSE {DIGEST_NULL} END")
-simple("r10_reconcile", f"""WITH {CROWDED}{reconciled('crowd', _close)},
- ids AS (SELECT *, substr({_one}, 1, 24) AS id FROM (SELECT *, count(*) OVER (PARTITION BY run_id, meeting_id, category, seg_from, seg_to) AS n FROM crowd)),
+simple("r10_reconcile", f"""WITH {WORDED}{reconciled('worded', _close)},
+ ids AS (SELECT *, substr({_one}, 1, 24) AS id FROM (SELECT *, count(*) OVER (PARTITION BY run_id, meeting_id, category, seg_from, seg_to) AS n FROM worded)),
  fates AS (SELECT meeting_id, category, seg_from, text, o_text, owner, deadline, status, edited, reconciliation FROM reconciled),
- fresh AS (SELECT n.* FROM (SELECT * FROM ids WHERE run_id = 2) n WHERE NOT EXISTS (SELECT 1 FROM crowd o WHERE {_close} AND {_noclash}))
+ fresh AS (SELECT n.* FROM (SELECT * FROM ids WHERE run_id = 2) n LEFT JOIN (SELECT * FROM worded WHERE run_id = 1) o
+  ON {_close} AND {_noclash} WHERE o.run_id IS NULL)
 SELECT f.meeting_id, f.category, i.id, f.seg_from, f.text, f.owner, f.deadline, f.status, f.edited, f.reconciliation FROM fates f
  JOIN (SELECT DISTINCT meeting_id, category, seg_from, text, id FROM ids WHERE run_id = 1) i
  ON i.meeting_id = f.meeting_id AND i.category = f.category AND i.seg_from IS NOT DISTINCT FROM f.seg_from AND i.text = f.o_text

@@ -191,6 +191,22 @@ def test_contested_matches_go_to_the_first_in_order(spark):
     assert {(r["o_pos"], r["n_pos"]) for r in pairs.collect()} == {(0, 0), (1, 1)}
 
 
+def test_first_free_equals_the_walk_on_random_graphs(spark):
+    rng = random.Random(13)
+    pairs = {(g, "x", rng.randrange(n), rng.randrange(n)) for g in range(60) for n in [rng.randrange(2, 14)]
+             for _ in range(rng.randrange(1, 4 * n))}
+    pairs |= {(99, "y", o, n) for o in range(12) for n in range(12)}  # all want the same
+    want, taken, served = set(), set(), set()
+    for g, c, o, n in sorted(pairs):
+        if (g, c, o) not in served and (g, c, n) not in taken:
+            served.add((g, c, o))
+            taken.add((g, c, n))
+            want.add((g, c, o, n))
+    table = spark.createDataFrame(sorted(pairs), "meeting_id bigint, category string, o_pos bigint, n_pos bigint")
+    got = reconcile.first_free(table.repartition(4)).collect()
+    assert {(r["meeting_id"], r["category"], r["o_pos"], r["n_pos"]) for r in got} == want and len(got) == len(want)
+
+
 def test_components_of_a_long_chain(spark):
     from colloquy.plans.graph import connected_components
 
