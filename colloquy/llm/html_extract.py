@@ -3,8 +3,10 @@
 Every page becomes a tree of elements without furniture (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments). Some elements always are furniture. Words of
 class, id and role only raise a suspicion: a suspect is furniture where over half of its text is links, or where it is
-a thread of comments. Other suspects do not compete outside articles, but come back with the chosen elements: all inside
-the heart, elsewhere those whose words (``LOOSE``) may as well name a subject. Headings are no suspects. Each element then gets its characters per tag, adjusted for links, and each
+a thread of comments. A word that hardly names a subject (not in ``LOOSE``), or any as a role, is sure: such
+a part of an article is furniture too, unless it is over half of it, or a header that holds its heading. Other suspects do not
+compete outside articles, but come back with the chosen elements: inside the heart and elsewhere all but sure ones, in
+the heart also a sure one of over half of its characters. Headings are no suspects. Each element then gets its characters per tag, adjusted for links, and each
 element's density sum is that of its children. All elements but those inside a line compete: the one of the
 highest sum is the heart of the page. The text is the heart, the innermost article around it, and every
 element around that, up to the body, that is at least as dense as the body: the threshold on the path to
@@ -66,10 +68,10 @@ TWIN = 0.2
 
 
 class Element:
-    __slots__ = ("tag", "words", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "own", "kept", "aside")
+    __slots__ = ("tag", "words", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "own", "kept", "aside", "role", "full")
 
-    def __init__(self, tag: str, words: frozenset, parent: "Element | None"):
-        self.tag, self.words, self.parent, self.children = tag, words, parent, []
+    def __init__(self, tag: str, words: frozenset, parent: "Element | None", role: frozenset = frozenset()):
+        self.tag, self.words, self.parent, self.role, self.children = tag, words, parent, role, []
 
 
 class TreeBuilder(HTMLParser):
@@ -87,7 +89,8 @@ class TreeBuilder(HTMLParser):
         if tag in ENDS_SIBLING:
             self._leave(ENDS_SIBLING[tag], frozenset(("ul", "ol", "dl", "table", "select", "menu")))
         words = frozenset(w for k, v in attrs if k in ("class", "id", "role") and v for w in WORDS.findall(v.lower()))
-        element = Element(tag, words, self.here)
+        role = frozenset(w for k, v in attrs if k == "role" and v for w in WORDS.findall(v.lower()))
+        element = Element(tag, words, self.here, role)
         self.here.children.append(element)
         if tag not in VOID:
             self.here = element
@@ -127,11 +130,13 @@ def without_furniture(root: Element) -> Element:
     ``kept`` are the children without furniture, ``aside`` tells suspects, which may come back.
     """
     order = list(depth_first(root))
-    holds, inside = set(), set()
+    holds, inside = set(), {}  # inside: the innermost article around an element
     for at in order:
         part = at.tag in ("article", "main") and not at.words & COMMENTS
-        if at.parent is not None and id(at.parent) in inside or part and at.tag == "article":
-            inside.add(id(at))
+        if part and at.tag == "article":
+            inside[id(at)] = at
+        elif at.parent is not None and id(at.parent) in inside:
+            inside[id(at)] = inside[id(at.parent)]
         if part:
             while at is not None and id(at) not in holds:
                 holds.add(id(at))
@@ -150,20 +155,31 @@ def without_furniture(root: Element) -> Element:
     for at in reversed(order):
         inner = [x for x in at.children if isinstance(x, Element) and x.tag]
         at.own = sum(len("".join(x.split())) for x in at.children if isinstance(x, str))
-        at.chars = at.own + sum(x.chars for x in inner)
+        at.full = at.chars = at.own + sum(x.chars for x in inner)
         at.link_chars = at.chars if at.tag == "a" else sum(x.link_chars for x in inner)
     threads = comment_threads(suspects) if suspects else set()
     for at in suspects:
         if 2 * at.link_chars > at.chars or id(at) in threads:
             at.tag = ""
         else:
-            at.aside = id(at) not in inside
+            article = inside.get(id(at))
+            at.aside = article is None or is_sure(at) and 2 * at.full <= article.full
     for at in order:
         at.kept = [x for x in at.children if not isinstance(x, Element) or x.tag]
         at.children = [x for x in at.kept if not isinstance(x, Element) or not x.aside]
     return root
 
 
+def is_sure(at: Element) -> bool:
+    """Whether a word of a suspect, or its role, says furniture whatever it holds; comments of readers are blocks."""
+    words = at.words & SURE
+    if at.tag not in BLOCKS:
+        words -= THREAD
+    if words == {"header"} and any(x.tag in HEADINGS for x in depth_first(at)):
+        words = frozenset()
+    return bool(words or at.role & MARKS)
+
+
 def comment_threads(suspects: list[Element]) -> set[int]:
     """Suspects that are comments of readers: articles, and blocks with such a block in or beside them."""
     marked = [x for x in suspects if x.words & COMMENTS and x.tag in BLOCKS]
@@ -185,10 +201,10 @@ def comment_threads(suspects: list[Element]) -> set[int]:
 
 
 def restore(element: Element, whole: bool) -> None:
-    """Brings suspects back into a chosen element: all, or those that no sure word marks."""
+    """Brings suspects back into a chosen element: those that are not sure, in the ``whole`` one also most of its text."""
     for at in depth_first(element):
         for x in at.kept:
-            if isinstance(x, Element) and x.aside and (whole or not x.words & SURE):
+            if isinstance(x, Element) and x.aside and (whole and 2 * x.full > element.full or not is_sure(x)):
                 x.aside = False
         at.children = [x for x in at.kept if not isinstance(x, Element) or not x.aside]
 

@@ -75,6 +75,40 @@ def test_words_of_attributes_alone_drop_nothing_inside(page):
     assert html_extract.main_text(page.format(paragraphs(LONG, 4) + NAMED)).split("\n")[4:] == NAMED_TEXT
 
 
+SURELY = ["<div class='advertisement'><p>{}</p></div>", "<div class='ad-slot adsbygoogle'>{}</div>", "<div class='sponsored'><p>{}</p></div>",
+          "<div class='newsletter'><h3>Letter</h3><p>{}</p></div>", "<div id='cookie-consent'><p>{}</p></div>",
+          "<div class='sidebar'><h4>Side</h4><p>{}</p></div>", "<div class='breadcrumbs'><span>{}</span></div>",
+          "<div class='footer'><p>{}</p></div>", "<div role='navigation'><ul><li>{}</li></ul></div>",
+          "<div class='comment'><p>{}</p></div>", "<section id='comments'><div class='reader'><p>{}</p></div></section>"]
+
+
+@pytest.mark.parametrize("page", ["<body><article>{}</article></body>", "<body><div id=story>{}</div><ul><li><a href=x>more</a></ul></body>"])
+@pytest.mark.parametrize("furniture", SURELY)
+def test_sure_furniture_inside_is_dropped(page, furniture):
+    part = furniture.format("some words that are no part of the story at all")
+    story = paragraphs(LONG, 3) + part + paragraphs(BRIEF, 2)
+    assert html_extract.main_text(page.format(story)).split("\n") == [
+        *(f"{LONG} {k}" for k in range(3)), *(f"{BRIEF} {k}" for k in range(2))]
+
+
+def test_marked_parts_that_are_the_article():
+    """Over half of an article, and a header with its heading, are no furniture."""
+    page = f"<body><article><div class='entry-header'><h1>Title</h1></div><div class='widget'>{paragraphs(LONG, 4)}</div><p>end</p></article></body>"
+    assert html_extract.main_text(page).split("\n") == ["Title", *(f"{LONG} {k}" for k in range(4)), "end"]
+
+
+def test_equal_sums_go_to_the_first():
+    page = "<body><table><tr><td><div><p>{0}</p><p>{0}</p></div></td></tr></table><div><p>{1}</p><p>{1}</p></div></body>"
+    one, two = "some words of one", "other words for 2"
+    assert len(one) == len(two)
+    tree = html_extract.TreeBuilder()
+    tree.feed(f"<body><div><p>{one}</p></div><div><p>{two}</p></div></body>")
+    tree.close()
+    order = html_extract.measure(html_extract.without_furniture(tree.root))
+    sums = [at.total for at in order if at.tag == "div"]
+    assert sums[0] == sums[1] and html_extract.main_text(page.format(one, two)).startswith(one)
+
+
 def test_links_and_threads_inside_are_dropped():
     links = "<a href=x>Send</a> <a href=y>Post</a>"
     extra = (f"<div class='share'>{links}</div><div class='related'><p>See <a href=z>quite another story of ours</a></p></div>"
