@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -91,74 +94,160 @@ def lda_topics(sentences: DataFrame, topics: int = 5, iterations: int = 20, term
                                                 "weight").orderBy(F.desc("weight"), "topic"))
 
 
-def nmf_topics(sentences: DataFrame, topics: int = 5, iterations: int = 300, terms: int = TERMS,
-               tolerance: float = 1e-4) -> DataFrame:
-    """M4. Non-negative factors of the tf-idf table by multiplicative updates.
+class Factors(NamedTuple):
+    """Non-negative ``terms`` (topics x terms), the mean share of each topic and the length of what is left over."""
+
+    terms: np.ndarray
+    shares: np.ndarray
+    error: float
+
+
+def _flat(batch: pd.DataFrame):
+    """(row of each entry, term of each entry, value, times of each row) of a batch of sparse rows."""
+    sizes = np.array([len(x) for x in batch["idx"]])
+    return (np.repeat(np.arange(len(sizes)), sizes), np.concatenate(batch["idx"].to_list()),
+            np.concatenate(batch["val"].to_list()), batch["times"].to_numpy(np.float64))
+
+
+def non_negative(target: np.ndarray, gram: np.ndarray, sweeps: int = 200) -> np.ndarray:
+    """Rows w >= 0 of least w gram w / 2 - w target, one coordinate after the other until they rest."""
+    w = np.zeros_like(target)
+    for _ in range(sweeps):
+        before = w.copy()
+        for t in range(target.shape[1]):
+            if gram[t, t] > 0:
+                w[:, t] = np.maximum(0, w[:, t] + (target[:, t] - w @ gram[:, t]) / gram[t, t])
+        if np.abs(w - before).max(initial=0) <= 1e-9 * np.abs(w).max(initial=1e-300):
+            break
+    return w
+
 
-    ``sentences``: doc, sentence. Documents stay distributed, a row each with its terms; the
-    term factors (``topics`` x at most 3000 numbers) are the model and travel with each round,
-    which updates all document factors and sums what the term factors need, in one aggregation.
-    Rounds end when the factors change by less than ``tolerance`` of their length, or after ``iterations``.
+def _summed(rows: DataFrame, shape: tuple[int, int], of_batch) -> np.ndarray:
+    """The sum of ``of_batch`` (a table of ``shape``) over all batches: cells are summed where they are, then by cell."""
+    def run(batches):
+        total = np.zeros(shape)
+        for batch in batches:
+            if len(batch):
+                total += of_batch(*_flat(batch))
+        i, j = np.nonzero(total)
+        yield pd.DataFrame({"i": i, "j": j, "x": total[i, j]})
+
+    out = np.zeros(shape)
+    cells = rows.select("idx", "val", "times").mapInPandas(run, "i int, j int, x double")
+    for r in cells.groupBy("i", "j").agg(F.sum("x").alias("x")).collect():  # at most as many as the table has cells
+        out[r["i"], r["j"]] = r["x"]
+    return out
+
+
+def svd_start(rows: DataFrame, documents: int, terms: int, topics: int, rounds: int = 6) -> np.ndarray:
+    """Term factors to begin with: the positive or negative halves of singular vectors, whichever weigh more.
+
+    Subspace iteration on the terms' side; gaps are filled with the mean of the table.
+    """
+    width = min(terms, topics + 8)
+    basis = np.linalg.qr(np.random.default_rng(42).normal(size=(terms, width)))[0]
+
+    def through(row, term, value, times, basis=None):
+        seen = np.zeros((len(times), basis.shape[1]))
+        np.add.at(seen, row, value[:, None] * basis[term])
+        return seen
+
+    for _ in range(rounds):
+        def gram(row, term, value, times, basis=basis):
+            out = np.zeros((basis.shape[1], terms))
+            seen = through(row, term, value, times, basis) * times[:, None]
+            np.add.at(out.T, term, value[:, None] * seen[row])
+            return out
+
+        image = _summed(rows, (width, terms), gram).T
+        basis = np.linalg.qr(image)[0]
+
+    def inner(row, term, value, times, basis=basis):
+        seen = through(row, term, value, times, basis)
+        return seen.T @ (seen * times[:, None])
+
+    values, turn = np.linalg.eigh(_summed(rows, (width, width), inner))
+    order = np.argsort(-values)[:topics]
+    strength, vectors = np.sqrt(np.maximum(values[order], 1e-24)), basis @ turn[:, order]
+
+    def halves(row, term, value, times):
+        seen = through(row, term, value, times, vectors) / strength
+        return np.stack([(times[:, None] * np.maximum(side, 0) ** 2).sum(axis=0) for side in (seen, -seen)])
+
+    above, below = np.sqrt(_summed(rows, (2, topics), halves))
+    mean = _summed(rows, (1, 1), lambda row, term, value, times: (value * times[row]).sum().reshape(1, 1))[0, 0]
+    factors = np.full((topics, terms), 0.0)
+    for t in range(topics):
+        v = vectors[:, t]
+        if t == 0:
+            factors[t] = np.sqrt(strength[t]) * np.abs(v)
+            continue
+        plus, minus = np.maximum(v, 0), np.maximum(-v, 0)
+        side, other = (plus, above[t]) if np.linalg.norm(plus) * above[t] > np.linalg.norm(minus) * below[t] else (minus, below[t])
+        length = np.linalg.norm(side)
+        factors[t] = np.sqrt(strength[t] * length * other) * side / max(length, 1e-300)
+    factors[factors < 1e-6] = mean / (documents * terms)
+    return factors
+
+
+def factorise(rows: DataFrame, documents: int, terms: int, topics: int, iterations: int = 300,
+              tolerance: float = 1e-4) -> Factors:
+    """Non-negative factors of a sparse table (idx, val, times: equal documents are one row).
+
+    Rounds of alternating least squares: given the term factors (the model, topics x terms numbers), every document's
+    own factors are solved for where it lies, and what the term factors need is summed in one aggregation;
+    then these are solved for. The error falls in every round; rounds end when it falls by less than
+    ``tolerance`` of the first error, or after ``iterations``.
     """
-    import numpy as np
+    factors, first, last = svd_start(rows, documents, terms, topics), None, None
+    while True:
+        gram = factors @ factors.T
+
+        def one_round(row, term, value, times, factors=factors, gram=gram):
+            target = np.zeros((len(times), topics))
+            np.add.at(target, row, value[:, None] * factors.T[term])
+            w = non_negative(target, gram)
+            weighed = w * times[:, None]
+            out = np.zeros((topics + 1, terms + topics + 1))
+            for t in range(topics):
+                out[t, :terms] = np.bincount(term, weights=value * weighed[row, t], minlength=terms)
+            out[:topics, terms:-1] = w.T @ weighed
+            out[:topics, -1] = weighed.sum(axis=0)
+            left = np.bincount(row, weights=value ** 2, minlength=len(times)) - 2 * (w * target).sum(axis=1) + ((w @ gram) * w).sum(axis=1)
+            out[topics, -1] = (left * times).sum()
+            return out
+
+        found = _summed(rows, (topics + 1, terms + topics + 1), one_round)
+        error = float(np.sqrt(max(found[topics, -1], 0.0)))
+        first, fell, last = first or error, None if last is None else last - error, error
+        iterations -= 1
+        if iterations <= 0 or fell is not None and fell <= tolerance * first or error == 0:
+            return Factors(factors, found[:topics, -1] / documents, error)
+        factors = non_negative(found[:topics, :terms].T, found[:topics, terms:-1]).T
+
+
+def sparse_rows(weights: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(idx, val, times) from (doc, term, w): documents of equal weights are one row."""
+    places = weights.sparkSession.createDataFrame(list(enumerate(vocabulary)), "i int, term string")  # a model's vocabulary
+    entries = F.array_sort(F.collect_list(F.struct("i", F.round("w", 12).alias("w"))))
+    return materialize(weights.join(F.broadcast(places), "term").groupBy("doc").agg(entries.alias("e"))
+                       .groupBy("e").agg(F.count(F.lit(1)).alias("times"))
+                       .select(F.col("e.i").alias("idx"), F.col("e.w").alias("val"), "times"))
 
+
+def nmf_topics(sentences: DataFrame, topics: int = 5, iterations: int = 300, terms: int = TERMS,
+               tolerance: float = 1e-4) -> DataFrame:
+    """M4. Topics as non-negative factors of the tf-idf table of ``sentences`` (doc, sentence), see ``factorise``."""
     docs = sentences.select(F.lit(0).alias("g"), "doc", X.content_words("sentence")
                             .alias("tokens"))
     weights = materialize(tfidf(docs, ["g"], "doc", (1,), terms))
     vocabulary = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]
-    if not vocabulary:
-        return sentences.sparkSession.createDataFrame([], "topic int, terms string, weight double")
-    place = {t: i for i, t in enumerate(vocabulary)}
-    rows = materialize(weights.groupBy("doc").agg(F.collect_list(F.struct("term", "w"))
-                                                  .alias("entries")))
-    factors = np.random.default_rng(42).random((topics, len(vocabulary))) + 0.1
-
-    def one_round(h):
-        gram = h @ h.T
-
-        def run(batches):
-            up, down, mass, seen = np.zeros_like(h), np.zeros((topics, topics)), np.zeros(topics), 0
-            for batch in batches:
-                for entries in batch["entries"]:
-                    index = [place[e["term"]] for e in entries]
-                    x = np.array([e["w"] for e in entries])
-                    target = h[:, index] @ x
-                    w = np.full(topics, 1.0 / topics)
-                    for _ in range(20):
-                        w *= target / (gram @ w + 1e-12)
-                    up[:, index] += np.outer(w, x)
-                    down += np.outer(w, w)
-                    mass += w
-                    seen += 1
-            t, v = np.nonzero(up)
-            yield pd.DataFrame({"kind": "u", "i": t, "j": v, "x": up[t, v]})
-            t, v = np.indices(down.shape).reshape(2, -1)
-            yield pd.DataFrame({"kind": "d", "i": t, "j": v, "x": down[t, v]})
-            yield pd.DataFrame({"kind": "m", "i": range(topics), "j": [0] * topics, "x": mass})
-            yield pd.DataFrame({"kind": ["n"], "i": [0], "j": [0], "x": [float(seen)]})
-
-        sums = (rows.select("entries").mapInPandas(run, "kind string, i int, j int, x double")
-                .groupBy("kind", "i", "j").agg(F.sum("x").alias("x")).collect())
-        up, down, mass, seen = np.zeros_like(h), np.zeros((topics, topics)), np.zeros(topics), 1.0
-        for r in sums:
-            if r["kind"] == "u":
-                up[r["i"], r["j"]] = r["x"]
-            elif r["kind"] == "d":
-                down[r["i"], r["j"]] = r["x"]
-            elif r["kind"] == "m":
-                mass[r["i"]] = r["x"]
-            else:
-                seen = r["x"]
-        return up, down, mass / seen
-
-    shares = np.zeros(topics)
-    for _ in range(iterations):
-        up, down, shares = one_round(factors)
-        before = factors
-        for _ in range(20):
-            factors = factors * (up / (down @ factors + 1e-12))
-        if np.linalg.norm(factors - before) <= tolerance * np.linalg.norm(before):
-            break
-    result = [(int(k), ", ".join(vocabulary[i] for i in np.argsort(-factors[k])[:8]),
-               round(float(shares[k]), 4)) for k in np.argsort(-shares)]
-    return sentences.sparkSession.createDataFrame(result, "topic int, terms string, weight double")
+    count = sentences.count()
+    schema = "topic int, terms string, weight double"
+    topics = min(topics, count, len(vocabulary))
+    if topics < 1:
+        return sentences.sparkSession.createDataFrame([], schema)
+    found = factorise(sparse_rows(weights, vocabulary), count, len(vocabulary), topics, iterations, tolerance)
+    result = [(int(k), ", ".join(vocabulary[i] for i in np.argsort(-found.terms[k], kind="stable")[:8]),
+               round(float(found.shares[k]), 4)) for k in np.argsort(-found.shares, kind="stable")]
+    return sentences.sparkSession.createDataFrame(result, schema)
