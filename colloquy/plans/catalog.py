@@ -1392,8 +1392,8 @@ def t2_daily_counts(spark, d):
 @query
 def t2_daily_counts_stream(spark, d):
     base = fresh_path(spark, "daily")
-    rows = live.daily_counts(_stream(spark, d, "events"), "ts", ["event_type"], "1 hour")
-    return live.run_to_table(rows, f"{base}/t", f"{base}/c")
+    return live.drained(_stream(spark, d, "events"), "ts", base,
+                        lambda rows: live.daily_counts(rows, "ts", ["event_type"], "10 days"))[0]
 
 
 @query
@@ -1404,14 +1404,23 @@ def t3_sessions(spark, d):
 @query
 def t3_sessions_stream(spark, d):
     base = fresh_path(spark, "sessions")
-    rows = live.sessions(_stream(spark, d, "events"), "ts", ["user_id"], "30 minutes", "1 hour")
-    return live.run_to_table(rows, f"{base}/t", f"{base}/c")
+    return live.drained(_stream(spark, d, "events"), "ts", base,
+                        lambda rows: live.sessions(rows, "ts", ["user_id"], "30 minutes", "10 days"))[0]
 
 
 @query
 def t3_live_turns(spark, d):
     base = fresh_path(spark, "turns")
-    rows = _stream(spark, d, "conversations").select(
-        F.col("conv_id").alias("meeting_id"), F.col("turn").alias("segment_id"),
-        F.col("role").alias("speaker"))
-    return live.live_turns(rows, base).groupBy("meeting_id").agg(F.sum("turns").alias("turns"))
+    return live.live_turns(_live_segments(spark, d), base).groupBy("meeting_id").agg(F.sum("turns").alias("turns"))
+
+
+def _live_segments(spark, d) -> DataFrame:
+    return _stream(spark, d, "conversations").select(
+        F.col("conv_id").alias("meeting_id"), F.col("turn").alias("segment_id"), F.col("role").alias("speaker"))
+
+
+@query
+def t3_stateful_turns(spark, d):
+    base = fresh_path(spark, "stateful")
+    changes = live.run_to_table(live.stateful_turns(_live_segments(spark, d)), f"{base}/t", f"{base}/c")
+    return changes.groupBy("meeting_id").agg(F.sum("turns").alias("turns"), F.sum("late").alias("late"))

@@ -778,3 +778,6 @@ simple("t3_sessions", """WITH s AS (SELECT *, sum(g) OVER (PARTITION BY user_id
  FROM events)) SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM s GROUP BY user_id, k""")
 simple("t3_live_turns", """SELECT conv_id AS meeting_id, count(*) FILTER (st) AS turns FROM (SELECT conv_id, role IS DISTINCT FROM lag(role) OVER (
  PARTITION BY conv_id ORDER BY turn) AS st FROM conversations) GROUP BY 1""")
+ORACLES["t2_daily_counts_stream"] = ORACLES["t2_daily_counts"]
+ORACLES["t3_sessions_stream"] = ORACLES["t3_sessions"]
+simple("t3_stateful_turns", f"SELECT *, 0 AS late FROM ({ORACLES['t3_live_turns']})")
