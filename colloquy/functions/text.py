@@ -42,6 +42,12 @@ def sentences(c: str | Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
+def units(c: str | Column) -> Column:
+    """Array of units of a text without segments: sentences, which also end at line breaks."""
+    lines = F.split(_col(c), "\n+")
+    return F.flatten(F.transform(lines, sentences))
+
+
 def words(c: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(V.WORD), 0)
 

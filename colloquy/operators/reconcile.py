@@ -13,14 +13,16 @@ from colloquy.plans.runtime import has_rows, materialize
 
 GROUP = ["meeting_id", "category"]
 SPAN = 16
+FLAGS = ("confirmed", "user_edited")
 FIXED = ["id", "segment_ids", "evidence_segment_ids"]
 
 
 def user_edits(items: DataFrame) -> DataFrame:
     """R8. What people changed: explicit edits, fields that left the machine's value, flags.
 
-    ``items`` has map columns current, ai_fields, user_edits and a nullable confirmed flag.
+    ``items`` has map columns current, ai_fields, user_edits and the nullable flags confirmed and user_edited.
     """
+    flags = [F.col(c) if c in items.columns else F.lit(None).cast("boolean") for c in FLAGS]
     fixed = X.words_array(FIXED)
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     ai = F.coalesce("ai_fields", empty)
@@ -29,9 +31,9 @@ def user_edits(items: DataFrame) -> DataFrame:
                            & ~F.array_contains(fixed, k))
     everything = F.map_filter("current", lambda k, v: k != "id")
     own = F.when(F.size(F.map_keys(ai)) > 0, changed).when(
-        F.coalesce("confirmed", F.lit(False)), everything).otherwise(empty)
-    flag = F.when(F.col("confirmed").isNotNull(), F.create_map(
-        F.lit("confirmed"), F.col("confirmed").cast("string"))).otherwise(empty)
+        F.greatest(*[F.coalesce(f, F.lit(False)) for f in flags]), everything).otherwise(empty)
+    flag = F.map_filter(F.create_map(*[x for c, f in zip(FLAGS, flags, strict=True) for x in (F.lit(c), f.cast("string"))]),
+                        lambda k, v: v.isNotNull())
     return items.withColumn("edits", _overlay(_overlay(F.coalesce("user_edits", empty), own), flag))
 
 
@@ -223,8 +225,10 @@ def keep_takeaway(previous: DataFrame, current: DataFrame, compatible: DataFrame
 def edit_outcomes(items: DataFrame, edits: DataFrame) -> DataFrame:
     """R17. What becomes of each edit: accepted, not_found, or conflict with a newer analysis.
 
-    ``items`` and ``edits``: meeting_id, item_index, task, analyzed_at, owner, deadline.
+    ``items`` and ``edits``: meeting_id, item_index, task, analyzed_at, owner, deadline; ``edits`` may have their order
+    as edit_no.
     """
+    order = [c for c in edits.columns if c == "edit_no"]
     found = items.select("meeting_id", "item_index", F.col("task").alias("_task"),
                          F.col("analyzed_at").alias("_at"))
     rows = edits.join(found, ["meeting_id", "item_index"], "left")
@@ -233,13 +237,18 @@ def edit_outcomes(items: DataFrame, edits: DataFrame) -> DataFrame:
                      "conflict").otherwise("accepted"))
     return rows.select("meeting_id", "item_index", "task", X.blank_to_null(F.trim("owner"))
                        .alias("owner"), X.blank_to_null(F.trim("deadline")).alias("deadline"),
-                       outcome.alias("outcome"))
+                       outcome.alias("outcome"), *order)
 
 
 def apply_edits(items: DataFrame, edits: DataFrame) -> DataFrame:
-    """R17. The items after the accepted edits (one an item); edited ones are marked for R18."""
-    done = edit_outcomes(items, edits).filter("outcome = 'accepted'").select(
-        "meeting_id", "item_index", F.col("owner").alias("_owner"), F.col("deadline").alias("_deadline"),
+    """R17. The items after the accepted edits; edited ones are marked for R18.
+
+    Of several edits of an item the last counts: by edit_no, without one by owner and deadline.
+    """
+    accepted = edit_outcomes(items, edits).filter("outcome = 'accepted'")
+    last = F.struct(*[c for c in ("edit_no",) if c in accepted.columns], "owner", "deadline")
+    done = accepted.groupBy("meeting_id", "item_index").agg(F.max(last).alias("_e")).select(
+        "meeting_id", "item_index", F.col("_e.owner").alias("_owner"), F.col("_e.deadline").alias("_deadline"),
         F.lit(True).alias("_done"))
     rows = items.join(done, ["meeting_id", "item_index"], "left")
     hit = F.coalesce("_done", F.lit(False))

@@ -110,23 +110,23 @@ def issues(validated: DataFrame, by: list[str]) -> DataFrame:
         .otherwise("empty").alias("state"))
 
 
-SOURCES = 4096  # segments whose records are numbered in one window
-
-
 def number(items: DataFrame, group: list[str], order: tuple[str, ...] = ("seg_from", "seg_to", "text", "evidence")
            ) -> DataFrame:
     """``items`` with ``pos``: their dense place in the group, unique also where sources tie or are unknown.
 
-    Records without segment ids come last. Places are counted in blocks of cited segments.
+    Records without segment ids come last. The rows are sorted by range, so a group of any size and any tie lies over
+    many tasks; a place is that within the range and the rows of the group in the ranges before.
     """
-    rows = items.withColumn("_blk", F.coalesce(F.floor(F.col("seg_from") / SOURCES), F.lit(1 << 40)))
-    sizes = rows.groupBy(*group, "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(*group, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*group, "_blk").orderBy(*[F.asc_nulls_last(c) for c in order])
-    return (rows.withColumn("_place", F.row_number().over(inside)).join(bases, [*group, "_blk"])
-            .withColumn("pos", (F.col("_base") + F.col("_place") - 1).cast("bigint"))
-            .drop("_blk", "_place", "_base"))
+    along = [*group, *[F.asc_nulls_last(c) for c in order], "_row"]
+    placed = materialize(items.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*along)
+                         .sortWithinPartitions(*along).withColumn("_at", F.monotonically_increasing_id()).drop("_row")
+                         .withColumn("_part", F.shiftright("_at", 33)))
+    sizes = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return (placed.join(bases, [*group, "_part"])
+            .withColumn("pos", (F.col("_base") + F.col("_at") - F.col("_first")).cast("bigint"))
+            .drop("_at", "_part", "_base", "_first"))
 
 
 def _prefix(terms: Column, threshold: float) -> Column:

@@ -76,12 +76,10 @@ def uploads_per_day(events: DataFrame, days: int = 14) -> DataFrame:
     return daily.orderBy(F.desc("day")).limit(days)
 
 
-def entities_by_label(entities: DataFrame, page: int = 1000) -> DataFrame:
-    """A7. Distinct entity names per label, sorted and joined, in pages of bounded length."""
+def entities_by_label(entities: DataFrame) -> DataFrame:
+    """A7. Distinct entity names per label, sorted and joined to one text."""
     names = entities.select("meeting_id", "label", "entity").distinct()
-    order = Window.partitionBy("meeting_id", "label").orderBy("entity")
-    paged = names.withColumn("page", F.floor((F.row_number().over(order) - 1) / page).cast("int"))
-    return paged.groupBy("meeting_id", "label", "page").agg(
+    return names.groupBy("meeting_id", "label").agg(
         F.count(F.lit(1)).alias("n"),
         F.array_join(F.array_sort(F.collect_list("entity")), ", ").alias("names"))
 

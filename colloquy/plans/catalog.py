@@ -302,6 +302,12 @@ def p3_sentences(spark, d):
     return doc_sentences(spark, d).select("doc_id", "sentence_no", F.md5("sentence").alias("md5"))
 
 
+@query
+def p3_units(spark, d):
+    return fx.texts(spark, d).select("doc_id", F.posexplode(X.units("text")).alias("unit_no", "unit")).select(
+        "doc_id", "unit_no", F.md5("unit").alias("md5"))
+
+
 @query
 def p4_tokens(spark, d):
     return fx.texts(spark, d).select(
@@ -1050,7 +1056,7 @@ def c5_display_batches(spark, d):
 @query
 def c6_choose_units(spark, d):
     docs = fx.texts(spark, d).select(F.col("doc_id").alias("meeting_id"), "text")
-    segs = docs.select("meeting_id", F.posexplode(X.sentences("text")).alias("segment_id", "text"))
+    segs = docs.select("meeting_id", F.posexplode(X.units("text")).alias("segment_id", "text"))
     segs = segs.withColumn("speaker", F.lit(None).cast("string"))
     stored = docs.select("meeting_id", F.when(F.col("meeting_id") % 2 == 0, F.col("text")).otherwise(
         F.concat(F.col("text"), F.lit(" One more. And more."))).alias("full_text"))
@@ -1226,7 +1232,7 @@ def r8_user_edits(spark, d):
         "current": entries(F.coalesce("edited_owner", "owner")),
         "ai_fields": F.when(seg % 5 != 0, entries(F.coalesce("owner", F.lit("nobody")))).otherwise(none),
         "user_edits": F.when(seg % 3 == 0, F.create_map(F.lit("status"), F.lit("Done"))).otherwise(none),
-        "confirmed": F.when(seg % 4 == 0, F.lit(True))})
+        "confirmed": F.when(seg % 4 == 0, F.lit(True)), "user_edited": F.when(seg % 6 < 2, seg % 6 == 1)})
     shown = F.array_join(F.array_sort(F.transform(F.map_entries("edits"), lambda e: F.concat(
         e["key"], F.lit("="), e["value"]))), ";")
     return reconcile.user_edits(rows).select("meeting_id", "category", "seg_from", shown.alias("edits"))

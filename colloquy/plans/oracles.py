@@ -44,6 +44,11 @@ def sents(c: str) -> str:
             rf"lambda s: trim(regexp_replace(s, '[ \t\n\r\f]+', ' ', 'g'))), lambda s: s <> '')")
 
 
+def units(c: str) -> str:
+    """Sentences that also end at line breaks."""
+    return sents(rf"regexp_replace({c}, '\n+', ' ' || chr(1), 'g')")
+
+
 def space_words(c: str) -> str:
     return f"list_filter(string_split({norm(c)}, ' '), lambda w: w <> '')"
 
@@ -300,6 +305,8 @@ simple("s14_previous_run", f"""WITH {VALIDATED}, v AS (SELECT meeting_id, run_id
 simple("p1_norm", f"SELECT doc_id, md5({norm('text')}) AS norm_md5 FROM documents")
 simple("p2_without_fillers", f"""WITH {SEGMENTS} SELECT meeting_id, segment_id,
 {norm(f"regexp_replace(text, {q(V.FILLER)}, '', 'g')")} AS clean FROM segments""")
+simple("p3_units", f"""SELECT doc_id, i - 1 AS unit_no, md5(x) AS md5 FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i
+FROM (SELECT doc_id, {units('text')} AS p FROM documents))""")
 simple("p3_sentences", f"WITH {DOC_SENTENCES} SELECT doc_id, sentence_no, md5(sentence) AS md5 FROM docsents")
 simple("p4_tokens", f"""SELECT doc_id, len({words('text')}) AS words, len({letter_words('text')}) AS letter_words,
 md5(array_to_string({letter_words('text')}, ' ')) AS md5 FROM documents""")
@@ -510,7 +517,7 @@ round(avg(coalesce(duration_sec, 0)), 6) AS average, count(*) FILTER (status = '
 count(*) FILTER (status <> 'done') AS pending FROM meetings""")
 simple("a6_uploads_per_day", "SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 14")
 simple("a7_entities_by_label", f"""WITH {SEGMENTS}{GAZETTEER}, d AS (SELECT DISTINCT meeting_id, label, entity FROM entities WHERE label IS NOT NULL)
-SELECT meeting_id, label, 0 AS page, count(*) AS n, string_agg(entity, ', ' ORDER BY entity) AS names FROM d GROUP BY 1, 2""")
+SELECT meeting_id, label, count(*) AS n, string_agg(entity, ', ' ORDER BY entity) AS names FROM d GROUP BY 1, 2""")
 TOPICS = SEGMENTS + """, topic_segs AS (SELECT meeting_id, segment_id // 8 AS segment_index, (segment_id // 8) % 5 AS canonical_topic_id,
  min(start_sec) AS start_time, max(end_sec) AS end_time, count(*) AS sentence_count FROM segments GROUP BY 1, 2, 3)"""
 _summary = """SELECT meeting_id, canonical_topic_id, count(*) AS occurrence_count, min(segment_index) AS first_segment_index,
@@ -653,7 +660,7 @@ simple("c1_character_chunks", """SELECT doc_id, i AS chunk_no, md5(substr(text,
 unnest(range(0, ceil(length(text) / 400)::INT)) AS i FROM documents)""")
 simple("c2_token_windows", f"""SELECT doc_id, i AS window_no, md5(array_to_string(w[i * 128 + 1:i * 128 + 128], ' ')) AS window_md5 FROM (
 SELECT doc_id, w, unnest(range(0, ceil(len(w) / 128)::INT)) AS i FROM (SELECT doc_id, {space_words('text')} AS w FROM documents))""")
-simple("c6_choose_units", f"""WITH s AS (SELECT doc_id, {sents("CASE WHEN doc_id % 2 = 0 THEN text ELSE text || ' One more. And more.' END")} AS p FROM documents)
+simple("c6_choose_units", f"""WITH s AS (SELECT doc_id, {units("CASE WHEN doc_id % 2 = 0 THEN text ELSE text || ' One more. And more.' END")} AS p FROM documents)
 SELECT doc_id AS meeting_id, i - 1 AS unit_no, md5(x) AS text_md5 FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM s)""")
 
 # --- topics over meetings ------------------------------------------------------------------------------------
@@ -698,9 +705,10 @@ _cur = "coalesce(edited_owner, owner)"
 simple("r8_user_edits", f"""WITH {CANDIDATES}, e AS (SELECT meeting_id, category, seg_from,
  CASE WHEN seg_from % 4 = 0 THEN 'confirmed=true' END AS a,
  CASE WHEN {_cur} IS NULL THEN NULL WHEN seg_from % 5 <> 0 AND {_cur} IS DISTINCT FROM coalesce(owner, 'nobody') THEN 'owner=' || {_cur}
-  WHEN seg_from % 5 = 0 AND seg_from % 4 = 0 THEN 'owner=' || {_cur} END AS b, CASE WHEN seg_from % 3 = 0 THEN 'status=Done' END AS c,
- CASE WHEN seg_from % 5 = 0 AND seg_from % 4 = 0 THEN 'task=' || item_text END AS d FROM candidates WHERE run_id = 1)
-SELECT meeting_id, category, seg_from, concat_ws(';', a, b, c, d) AS edits FROM e""")
+  WHEN seg_from % 5 = 0 AND (seg_from % 4 = 0 OR seg_from % 6 = 1) THEN 'owner=' || {_cur} END AS b, CASE WHEN seg_from % 3 = 0 THEN 'status=Done' END AS c,
+ CASE WHEN seg_from % 5 = 0 AND (seg_from % 4 = 0 OR seg_from % 6 = 1) THEN 'task=' || item_text END AS d,
+ CASE WHEN seg_from % 6 < 2 THEN 'user_edited=' || (seg_from % 6 = 1) END AS u FROM candidates WHERE run_id = 1)
+SELECT meeting_id, category, seg_from, concat_ws(';', a, b, c, d, u) AS edits FROM e""")
 _noclash = """NOT (o.category = 'action_items' AND (coalesce(o.owner <> n.owner, FALSE) OR coalesce(o.deadline <> n.deadline, FALSE)))"""
 # A source holds several records in each run: only wordings that look like one event match, the first free one.
 WORDED = CROWDED.replace("crowd AS (", "crowd AS MATERIALIZED (") + f""", worded AS MATERIALIZED (SELECT *, {terms('text')} AS tm FROM crowd)"""

@@ -15,6 +15,10 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not hasattr(context, "_colloquy_shared_dir"):
         parent = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        # Unset, the warehouse is a folder of the driver's machine, which executors elsewhere cannot reach.
+        if parent.startswith(("file:", "/")) and not context.master.startswith("local") and not (
+                spark.conf.get("spark.checkpoint.dir", None) or context.getConf().contains("spark.sql.warehouse.dir")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = f"{parent.rstrip('/')}/colloquy-{uuid.uuid4().hex}"
         folder = context._jvm.org.apache.hadoop.fs.Path(path)
         system = folder.getFileSystem(context._jsc.hadoopConfiguration())

@@ -207,6 +207,26 @@ def test_first_free_equals_the_walk_on_random_graphs(spark):
     assert {(r["meeting_id"], r["category"], r["o_pos"], r["n_pos"]) for r in got} == want and len(got) == len(want)
 
 
+def test_places_over_many_ranges(spark):
+    """A group of many equal rows without sources, and one in order: dense places in every group."""
+    rows = [(1, "decisions", "same", "q", None, None)] * 300 + [(2, "decisions", f"t{k % 7}", "q", k % 5, k % 5) for k in range(200)]
+    df = spark.createDataFrame(rows, "meeting_id bigint, category string, text string, evidence string, seg_from bigint, seg_to bigint")
+    got = records.number(df.repartition(5), ["meeting_id", "category"]).collect()
+    assert sorted(r["pos"] for r in got if r["meeting_id"] == 1) == list(range(300))
+    two = sorted((r["pos"], r["seg_from"], r["text"]) for r in got if r["meeting_id"] == 2)
+    assert [r[0] for r in two] == list(range(200)) and [r[1:] for r in two] == sorted(r[1:] for r in two)
+
+
+def test_the_last_of_several_edits_of_an_item_counts(spark):
+    items = spark.createDataFrame([(1, 0, "Task", "t1", None, None)],
+                                  "meeting_id bigint, item_index bigint, task string, analyzed_at string, owner string, deadline string")
+    edits = spark.createDataFrame([(1, 0, "Task", "t1", "Zoe", "Friday", 1), (1, 0, "Task", "t1", "Ann", " ", 2), (1, 0, "Task", "t0", "Bo", "", 3)],
+                                  "meeting_id bigint, item_index bigint, task string, analyzed_at string, owner string, deadline string, edit_no int")
+    rows = reconcile.apply_edits(items, edits).collect()
+    assert [(r["owner"], r["deadline"], r["manually_edited"]) for r in rows] == [("Ann", None, True)]
+    assert reconcile.apply_edits(items, edits.drop("edit_no")).count() == 1
+
+
 def test_components_of_a_long_chain(spark):
     from colloquy.plans.graph import connected_components
 
