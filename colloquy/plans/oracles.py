@@ -789,3 +789,48 @@ simple("t3_live_turns", """SELECT conv_id AS meeting_id, count(*) FILTER (st) AS
 ORACLES["t2_daily_counts_stream"] = ORACLES["t2_daily_counts"]
 ORACLES["t3_sessions_stream"] = ORACLES["t3_sessions"]
 simple("t3_stateful_turns", f"SELECT *, 0 AS late FROM ({ORACLES['t3_live_turns']})")
+
+# --- walks as recursive SQL ----------------------------------------------------------------------------------------
+simple("c3_sentence_chunks", f"""WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i
+ FROM (SELECT doc_id, {sents('text')} AS p FROM documents)),
+ packed AS (SELECT doc_id, i, 0 AS chunk_no, length(x) + 1 AS used FROM s WHERE i = 1
+ UNION ALL SELECT s.doc_id, s.i, chunk_no + (used + length(x) > 3000)::INT,
+  CASE WHEN used + length(x) > 3000 THEN length(x) ELSE used + length(x) + 1 END
+  FROM packed p JOIN s ON s.doc_id = p.doc_id AND s.i = p.i + 1)
+SELECT doc_id, chunk_no, string_agg(x, ' ' ORDER BY i) AS chunk FROM packed JOIN s USING (doc_id, i) GROUP BY 1, 2""")
+_middle = "length(units[1]) // 2"
+_window = f"substr(units[1], {_middle} // 2 + 1, {_middle} - {_middle} // 2)"
+_cut = f"CASE WHEN instr(reverse({_window}), ' ') > 0 THEN {_middle} - instr(reverse({_window}), ' ') + 1 ELSE {_middle} END"
+simple("c7_halve_failed", f"""WITH c AS (SELECT doc_id::VARCHAR AS parent, (doc_id % 5)::INT AS depth,
+  CASE WHEN doc_id % 2 = 0 THEN {sents('text')} ELSE [{norm('text')}] END AS units FROM documents WHERE doc_id % 3 <> 0),
+ d AS (SELECT *, depth >= 4 OR (len(units) <= 1 AND length(units[1]) < 200) AS done FROM c),
+ halves AS (SELECT parent, depth + 1 AS depth, unnest([0, 1]) AS half, FALSE AS gave_up, CASE WHEN len(units) > 1
+   THEN unnest([units[1:len(units) // 2], units[len(units) // 2 + 1:]])
+   ELSE unnest([[substr(units[1], 1, {_cut})], [substr(units[1], {_cut} + 1)]]) END AS units FROM d WHERE NOT done
+  UNION ALL SELECT parent, depth, 0, TRUE, units FROM d WHERE done)
+SELECT parent, depth, half, gave_up, len(units) AS units, sha256(array_to_string(units, chr(30))) AS chunk_key FROM halves""")
+PEAKS = ORACLES["w6_peaks"].removeprefix("WITH ")
+_peaks_at = PEAKS.rindex("\nSELECT")
+PEAKS = f"{PEAKS[:_peaks_at]}, peaks AS MATERIALIZED ({PEAKS[_peaks_at:]})"
+simple("w7_boundaries", f"""WITH RECURSIVE {PEAKS}, line AS MATERIALIZED (SELECT meeting_id, segment_id,
+  list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS d, row_number() OVER (PARTITION BY meeting_id ORDER BY segment_id) AS n
+  FROM peaks JOIN units USING (meeting_id, segment_id)),
+ kept AS (SELECT meeting_id, n, segment_id, TRUE AS is_new, d FROM line WHERE n = 1
+  UNION ALL SELECT l.meeting_id, l.n, l.segment_id, list_dot_product(k.d, l.d) < 0.82,
+   CASE WHEN list_dot_product(k.d, l.d) < 0.82 THEN l.d ELSE k.d END FROM kept k JOIN line l ON l.meeting_id = k.meeting_id AND l.n = k.n + 1)
+SELECT meeting_id, segment_id FROM kept WHERE is_new UNION SELECT DISTINCT meeting_id, 0 FROM units""")
+# References are ten units apart, so within two units a peak has one of them at most.
+simple("a17_boundary_scores", f"""WITH {PEAKS}, truth AS (SELECT meeting_id, segment_id AS pos FROM units WHERE segment_id % 10 = 5),
+ sizes AS (SELECT meeting_id, (SELECT count(*) FROM truth t WHERE t.meeting_id = u.meeting_id) AS n_ref,
+  (SELECT count(*) FROM peaks p WHERE p.meeting_id = u.meeting_id AND segment_id > 0) AS n_found,
+  (SELECT count(DISTINCT pos) FROM truth t JOIN peaks p ON p.meeting_id = t.meeting_id AND abs(p.segment_id - pos) <= 2
+   WHERE t.meeting_id = u.meeting_id) AS hits FROM (SELECT DISTINCT meeting_id FROM units) u),
+ shares AS (SELECT meeting_id, CASE WHEN n_found > 0 THEN hits / n_found ELSE 1.0 END AS precision,
+  CASE WHEN n_ref > 0 THEN hits / n_ref ELSE 1.0 END AS recall FROM sizes)
+SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM shares""")
+# Gaps between topics are shorter than a topic segment, so every one has votes.
+simple("m9_vote_labels", f"""WITH {UNITS}, ranged AS (SELECT meeting_id, segment_id // 9 AS gid, segment_id AS a FROM units WHERE segment_id % 9 = 4),
+ named AS (SELECT meeting_id, segment_id, max(gid) AS gid FROM (SELECT meeting_id, gid, unnest(range(a, a + 6)) AS segment_id FROM ranged) r GROUP BY 1, 2),
+ votes AS (SELECT meeting_id, segment_id // 7 AS segment_index, gid, count(*) AS votes, min(segment_id) AS first
+  FROM units JOIN named USING (meeting_id, segment_id) GROUP BY 1, 2, 3)
+SELECT meeting_id, segment_index, arg_max(gid, votes * 1000 - first) AS gid, max(votes) AS votes FROM votes GROUP BY 1, 2""")
