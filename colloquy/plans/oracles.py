@@ -834,3 +834,20 @@ simple("m9_vote_labels", f"""WITH {UNITS}, ranged AS (SELECT meeting_id, segment
  votes AS (SELECT meeting_id, segment_id // 7 AS segment_index, gid, count(*) AS votes, min(segment_id) AS first
   FROM units JOIN named USING (meeting_id, segment_id) GROUP BY 1, 2, 3)
 SELECT meeting_id, segment_index, arg_max(gid, votes * 1000 - first) AS gid, max(votes) AS votes FROM votes GROUP BY 1, 2""")
+# No turn of the fixture alone exceeds the budget: turns follow each other, and one is repeated where it fits.
+PACKED = f"""{SEGMENTS}, turns AS MATERIALIZED (SELECT meeting_id, segment_id, {norm('text')} AS text,
+  length('{{"text":"","speaker":' || coalesce('"' || speaker || '"', 'null') || ',"segment_id":' || segment_id || ',"start":' || (segment_id * 7) || '.0}}')
+  + length({norm('text')}) AS cost FROM segments),
+ walked AS (SELECT meeting_id, segment_id, 0 AS chunk_no, 0 AS part_no, 1 AS parts, 2 + cost + 1 AS size, cost, FALSE AS again FROM turns WHERE segment_id = 0
+  UNION ALL SELECT t.meeting_id, t.segment_id, w.chunk_no + w.closes, CASE WHEN w.closes = 0 THEN w.parts ELSE w.repeats END,
+   CASE WHEN w.closes = 0 THEN w.parts ELSE w.repeats END + 1,
+   CASE WHEN w.closes = 0 THEN w.size ELSE 2 + w.repeats * (w.cost + 1) END + t.cost + 1, t.cost, w.closes * w.repeats = 1
+  FROM turns t JOIN (SELECT w.*, (w.size + n.cost > 1500)::INT AS closes, (2 + w.cost + 1 + n.cost <= 1500)::INT AS repeats FROM walked w
+   JOIN turns n ON n.meeting_id = w.meeting_id AND n.segment_id = w.segment_id + 1) w ON t.meeting_id = w.meeting_id AND t.segment_id = w.segment_id + 1),
+ packed AS (SELECT meeting_id, chunk_no, part_no, segment_id, text FROM walked JOIN turns USING (meeting_id, segment_id)
+  UNION ALL SELECT w.meeting_id, w.chunk_no, 0, t.segment_id, t.text FROM walked w JOIN turns t ON t.meeting_id = w.meeting_id
+   AND t.segment_id = w.segment_id - 1 WHERE again)"""
+simple("c4_pack_units", f"WITH RECURSIVE {PACKED} SELECT * FROM packed")
+simple("j12_missing_chunks", f"""WITH RECURSIVE {PACKED}, k AS (SELECT meeting_id, chunk_no, count(*)::INT AS parts,
+  sha256(string_agg(segment_id || chr(31) || text, chr(30) ORDER BY part_no)) AS chunk_key FROM packed GROUP BY 1, 2)
+SELECT * FROM k WHERE chunk_key NOT IN (SELECT chunk_key FROM k WHERE meeting_id % 2 = 0)""")
