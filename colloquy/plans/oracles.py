@@ -851,3 +851,24 @@ simple("c4_pack_units", f"WITH RECURSIVE {PACKED} SELECT * FROM packed")
 simple("j12_missing_chunks", f"""WITH RECURSIVE {PACKED}, k AS (SELECT meeting_id, chunk_no, count(*)::INT AS parts,
   sha256(string_agg(segment_id || chr(31) || text, chr(30) ORDER BY part_no)) AS chunk_key FROM packed GROUP BY 1, 2)
 SELECT * FROM k WHERE chunk_key NOT IN (SELECT chunk_key FROM k WHERE meeting_id % 2 = 0)""")
+_piece_window = "substr(text, pos + 1, 1501)"
+_piece_space = f"(length({_piece_window}) - instr(reverse({_piece_window}), ' ') + 1)"
+_piece_size = f"""CASE WHEN length(text) - pos <= 1500 THEN length(text) - pos WHEN instr(reverse({_piece_window}), ' ') > 0 AND {_piece_space} > 750
+ THEN {_piece_space} ELSE 1500 END"""
+simple("c5_display_batches", f"""WITH RECURSIVE cut AS (SELECT doc_id, text, 0 AS piece_no, 0::BIGINT AS pos, (SELECT {_piece_size} FROM (SELECT 0 AS pos) z) AS size
+  FROM documents WHERE text <> ''
+  UNION ALL SELECT doc_id, text, piece_no, pos, {_piece_size} FROM (SELECT doc_id, text, piece_no + 1 AS piece_no, pos + size AS pos FROM cut
+   WHERE pos + size < length(text))),
+ pieces AS MATERIALIZED (SELECT doc_id, piece_no, substr(text, pos + 1, size) AS piece, strlen(substr(text, pos + 1, size)) AS bytes FROM cut),
+ dealt AS (SELECT doc_id, piece_no, 0 AS batch, 1 AS n, bytes AS filled FROM pieces WHERE piece_no = 0
+  UNION ALL SELECT p.doc_id, p.piece_no, batch + fresh, CASE WHEN fresh = 1 THEN 1 ELSE n + 1 END, CASE WHEN fresh = 1 THEN 0 ELSE filled END + bytes
+  FROM (SELECT d.*, (d.filled + p.bytes > 8000 OR d.n >= 64)::INT AS fresh FROM dealt d JOIN pieces p ON p.doc_id = d.doc_id AND p.piece_no = d.piece_no + 1) d
+  JOIN pieces p ON p.doc_id = d.doc_id AND p.piece_no = d.piece_no + 1)
+SELECT doc_id, piece_no, batch, length(piece) AS characters, md5(piece) AS md5 FROM pieces JOIN dealt USING (doc_id, piece_no)""")
+
+# --- a model whose classes words tell apart says what it was taught ------------------------------------------------
+_taught = f"""CASE WHEN {is_decision('sentence')} THEN 'DECISION' WHEN {is_action('sentence')} THEN 'ACTION ITEM'
+ WHEN contains(sentence, '?') OR {rx('sentence', V.OPEN_ISSUE)} THEN 'QUESTION'
+ WHEN regexp_matches(lower(sentence), '\\b(api|docker|slides|share)\\b') THEN 'INFORMATION' ELSE 'DISCUSSION' END"""
+for _name in ("m1_train", "s13_saved_model"):
+    simple(_name, f"WITH {SENTENCES} SELECT DISTINCT sentence, {_taught} AS model_label FROM sentences")
