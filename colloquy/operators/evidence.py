@@ -143,7 +143,7 @@ def fuzzy_evidence(quotes: DataFrame, segments: DataFrame, block: int = BLOCK) -
             .select("meeting_id", "quote", "_best.*"))
 
 
-def segment_at(points: DataFrame, segments: DataFrame, width: float = 600.0) -> DataFrame:
+def segment_at(points: DataFrame, segments: DataFrame) -> DataFrame:
     """J7. Point-in-time lookup: containing segment, else latest earlier one, else the first.
 
     ``points``: meeting_id, point_id, at_sec. Adds segment_id and its start.
@@ -151,9 +151,9 @@ def segment_at(points: DataFrame, segments: DataFrame, width: float = 600.0) ->
     usable = segments.filter(F.col("start_sec").isNotNull() & F.col("end_sec").isNotNull()
                              & (F.col("end_sec") >= F.col("start_sec")))
     rows = usable.select("meeting_id", F.lit(None).cast("bigint").alias("point_id"),
-                         F.col("start_sec").alias("_at"), F.lit(0).alias("_kind"),
+                         F.col("start_sec").alias("_sec"), F.lit(0).alias("_kind"),
                          F.struct("segment_id", "start_sec").alias("_seg"))
-    asked = points.select("meeting_id", "point_id", F.col("at_sec").alias("_at"),
+    asked = points.select("meeting_id", "point_id", F.col("at_sec").alias("_sec"),
                           F.lit(1).alias("_kind"),
                           F.lit(None).cast(rows.schema["_seg"].dataType).alias("_seg"))
     first = usable.groupBy("meeting_id").agg(
@@ -161,10 +161,10 @@ def segment_at(points: DataFrame, segments: DataFrame, width: float = 600.0) ->
         .alias("_first"))
     merged = rows.unionByName(asked).withColumn(
         "_tie", F.struct("_kind", F.coalesce(F.col("_seg.segment_id"), F.lit(0))))
-    hit = carry_last(merged, ["meeting_id"], "_at", "_tie", F.col("_seg"), "_hit", width)
+    hit = carry_last(merged, ["meeting_id"], "_sec", "_tie", F.col("_seg"), "_hit")
     return (hit.filter("_kind = 1").join(first, "meeting_id")
             .withColumn("_hit", F.coalesce("_hit", "_first"))
-            .select("meeting_id", "point_id", F.col("_at").alias("at_sec"), "_hit.segment_id",
+            .select("meeting_id", "point_id", F.col("_sec").alias("at_sec"), "_hit.segment_id",
                     F.col("_hit.start_sec").alias("seconds")))
 
 

@@ -9,7 +9,7 @@ from colloquy.functions import text as X
 from colloquy.functions import vocab as V
 from colloquy.operators.evidence import ground, locate_quotes
 from colloquy.operators.substrings import rows_containing
-from colloquy.plans.ordered import BLOCK, block_of
+from colloquy.plans.ordered import BLOCK, block_of, ranged
 from colloquy.plans.runtime import has_rows, materialize
 
 DETAILS = ("owner", "deadline", "priority")
@@ -117,10 +117,7 @@ def number(items: DataFrame, group: list[str], order: tuple[str, ...] = ("seg_fr
     Records without segment ids come last. The rows are sorted by range, so a group of any size and any tie lies over
     many tasks; a place is that within the range and the rows of the group in the ranges before.
     """
-    along = [*group, *[F.asc_nulls_last(c) for c in order], "_row"]
-    placed = materialize(items.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*along)
-                         .sortWithinPartitions(*along).withColumn("_at", F.monotonically_increasing_id()).drop("_row")
-                         .withColumn("_part", F.shiftright("_at", 33)))
+    placed = ranged(items, [*group, *[F.asc_nulls_last(c) for c in order]])
     sizes = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

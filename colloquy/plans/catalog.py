@@ -659,7 +659,7 @@ def j7_segment_at(spark, d):
     points = fx.table(spark, d, "events").select(
         (F.col("user_id") % fx.MEETINGS).alias("meeting_id"), F.col("event_id").alias("point_id"),
         (ts % 700 - 20).alias("at_sec"))
-    return evidence.segment_at(points, fx.segments(spark, d), width=64.0)
+    return evidence.segment_at(points, fx.segments(spark, d))
 
 
 @query

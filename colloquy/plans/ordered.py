@@ -69,27 +69,34 @@ def with_neighbours(df: DataFrame, keys: list[str], pos: str, before: int, after
     return copies.filter(F.col("_blk") == F.col("_home")).drop("_home", "_blk")
 
 
-def carry_last(df: DataFrame, keys: list[str], order: str, tie: str, value: Column, out: str,
-               width: float) -> DataFrame:
+def ranged(df: DataFrame, along: list) -> DataFrame:
+    """``df`` sorted by range over ``along``, with ``_at``, the place of each row, and ``_part``, its range.
+
+    Rows that are alike in ``along`` are told apart by a number, so they too lie over many ranges.
+    """
+    from colloquy.plans.runtime import materialize
+
+    order, parts = [*along, "_row"], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(parts, *order)
+                       .sortWithinPartitions(*order).drop("_row").withColumn("_at", F.monotonically_increasing_id())
+                       .withColumn("_part", F.shiftright("_at", 33)))
+
+
+def carry_last(df: DataFrame, keys: list[str], order: str, tie: str, value: Column, out: str) -> DataFrame:
     """Latest non-null ``value`` at or before each row, in (order, tie) order.
 
-    The as-of building block: rows are cut into stretches of ``width`` along ``order``; a row
-    with no value in its own stretch takes the last one of the stretches before it.
+    The as-of building block: rows lie in ranges of that order, however many share a key or a moment; a row
+    with no value before it in its own range takes the last one of the ranges before.
     """
-    rows = (df.withColumn("_blk", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
-            .withColumn("_val", value))
-    inside = (Window.partitionBy(*keys, "_blk").orderBy(order, tie)
-              .rowsBetween(Window.unboundedPreceding, 0))
-    ends = (rows.filter(F.col("_val").isNotNull()).groupBy(*keys, "_blk")
-            .agg(F.max_by("_val", F.struct(order, tie)).alias("_end")))
-    blocks = rows.select(*keys, "_blk").distinct().join(ends, keys + ["_blk"], "left")
-    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(*keys, "_blk",
-                            F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
+    rows = ranged(df.withColumn("_val", value), [*keys, order, tie])
+    inside = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy(*keys, "_part").agg(F.max_by("_val", F.when(F.col("_val").isNotNull(), F.col("_at"))).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_part", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
     return (rows.withColumn("_here", F.last("_val", ignorenulls=True).over(inside))
-            .join(carried, keys + ["_blk"])
+            .join(carried, [*keys, "_part"])
             .withColumn(out, F.coalesce("_here", "_carry"))
-            .drop("_blk", "_val", "_here", "_carry"))
+            .drop("_at", "_part", "_val", "_here", "_carry"))
 
 
 def walk(rows: DataFrame, keys: list[str], order: str, step: Callable, schema: str,

@@ -111,7 +111,7 @@ def test_point_lookup_across_stretches(spark):
     segs = segments(spark, ["one", "two", "three"])
     points = spark.createDataFrame([(1, i, t) for i, t in enumerate([-3.0, 0.0, 7.0, 14.9, 900.0])],
                                    "meeting_id bigint, point_id int, at_sec double")
-    rows = evidence.segment_at(points, segs, width=4.0).orderBy("point_id").collect()
+    rows = evidence.segment_at(points, segs).orderBy("point_id").collect()
     assert [r["segment_id"] for r in rows] == [0, 0, 1, 2, 2]
 
 
@@ -144,3 +144,18 @@ def test_ordered_helpers_do_not_depend_on_the_block(spark):
         assert [r["s"] for r in rows] == [sum(vs[:i + 1]) for i in range(50)]
         assert [r["before"] for r in rows] == [None, None] + vs[:-2]
         assert [r["ahead"] or 0 for r in rows] == [sum(vs[i + 1:i + 4]) for i in range(50)]
+
+
+def test_all_rows_in_one_second(spark):
+    """A meeting whose segments and points share a moment lies over several ranges, with the same result."""
+    from colloquy.plans.ordered import ranged
+
+    segs = [(1, k, 5.0, 9.0) for k in range(400)] + [(2, k, float(k), k + 0.5) for k in range(20)]
+    asked = [(1, k, 5.0 if k % 2 else 4.0) for k in range(300)] + [(2, k, k / 2) for k in range(60)]
+    s = spark.createDataFrame(segs, "meeting_id bigint, segment_id bigint, start_sec double, end_sec double").repartition(4)
+    p = spark.createDataFrame(asked, "meeting_id bigint, point_id bigint, at_sec double").repartition(4)
+    got = {(r["meeting_id"], r["point_id"]): r["segment_id"] for r in evidence.segment_at(p, s).collect()}
+    want = {(1, k): 399 if k % 2 else 0 for k in range(300)} | {(2, k): min(k // 2, 19) for k in range(60)}
+    assert got == want
+    parts = ranged(s, ["meeting_id", "start_sec"]).filter("meeting_id = 1").groupBy("_part").count()
+    assert parts.count() > 1
