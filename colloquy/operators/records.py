@@ -303,6 +303,16 @@ def merge_chunks(items: DataFrame, group: list[str]) -> DataFrame:
     return deduplicate(number(items, group, ("seg_from", "seg_to", "text", "chunk_no", "evidence")), group)
 
 
+STAGES = ("generated", "parsed", "evidence_matched", "validated")
+
+
+def merged_audit(chunks: DataFrame, merged: DataFrame, by: list[str]) -> DataFrame:
+    """R5. The extraction audit of a merged report: the stages of all its chunks summed, and what is left after merging."""
+    sums = chunks.groupBy(*by).agg(*[F.sum(c).alias(c) for c in STAGES])
+    kept = merged.groupBy(*by).agg(F.count(F.lit(1)).alias("deduplicated"))
+    return sums.join(kept, by, "left").fillna(0, ["deduplicated"])
+
+
 def assign_ids(items: DataFrame) -> DataFrame:
     """R6. Stable ids from (meeting, category, source ids); wording only where sources tie."""
     keys = ["meeting_id", "category", "seg_from", "seg_to"]

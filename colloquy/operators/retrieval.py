@@ -44,7 +44,7 @@ def _fill(budget: int):
 
 
 def retrieve(segments: DataFrame, questions: DataFrame, budget: int = 10000,
-             block: int = BLOCK) -> DataFrame:
+             block: int = BLOCK, meetings: DataFrame | None = None) -> DataFrame:
     """K3. Context rows for one question per meeting, at most ``budget`` serialized bytes.
 
     Short meetings come whole. Else pieces of 400 characters: the best by shared words fill half
@@ -53,9 +53,15 @@ def retrieve(segments: DataFrame, questions: DataFrame, budget: int = 10000,
     twenty) are walked through, however long the meeting is.
 
     ``segments``: meeting_id, segment_id, start_sec, end_sec, text. ``questions``: meeting_id,
-    question.
+    question. ``meetings``: meeting_id, full_text; where a meeting has no segments, its text is segment 0 without times.
     """
     rows = segments.withColumn("text", F.trim("text")).filter("text <> ''")
+    if meetings is not None:
+        rows = rows.select("meeting_id", "segment_id", "start_sec", "end_sec", "text")
+        bare = meetings.join(rows.select("meeting_id").distinct(), "meeting_id", "left_anti").select(
+            "meeting_id", F.lit(0).cast("bigint").alias("segment_id"), F.lit(None).cast("double").alias("start_sec"),
+            F.lit(None).cast("double").alias("end_sec"), F.trim(F.col("full_text")).alias("text")).filter("text <> ''")
+        rows = rows.unionByName(bare)
     total = rows.groupBy("meeting_id").agg((F.sum(row_bytes() + 1) + 1).alias("_bytes"))
     long = total.filter(F.col("_bytes") > budget).join(
         questions.select("meeting_id", X.words("question").alias("_q")), "meeting_id").select(

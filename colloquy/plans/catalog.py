@@ -957,6 +957,16 @@ def k3_retrieve(spark, d):
     return retrieval.retrieve(segs, asked, 10000)
 
 
+@query
+def k3_retrieve_texts(spark, d):
+    """Meetings of which only the text is known."""
+    docs = fx.texts(spark, d).select(F.col("doc_id").alias("meeting_id"), F.col("text").alias("full_text"))
+    none = fx.segments(spark, d).limit(0).withColumn("meeting_id", F.col("meeting_id").cast("bigint"))
+    asked = docs.select("meeting_id").withColumn("question", F.lit("Which release of the les or the de is in the and?"))
+    return retrieval.retrieve(none, asked, 10000, meetings=docs).select(
+        "meeting_id", "segment_id", "piece_no", "start_sec", F.md5("text").alias("md5"))
+
+
 @query
 def k4_summary(spark, d):
     return summarize.summarize(sentences(spark, d)).select("meeting_id", "pos.*", "sentence", "round")
@@ -1208,6 +1218,14 @@ def r5_merge_chunks(spark, d):
         "meeting_id", "category", "pos", "text", "evidence", "owner", "deadline", "merged")
 
 
+@query
+def r5_extraction_audit(spark, d):
+    rows = validated(spark, d).withColumn("chunk_no", F.col("run_id"))
+    kept, by = rows.filter("reason is null"), ["meeting_id", "category"]
+    chunks_of = records.funnel(rows, kept, ["chunk_no", *by])
+    return records.merged_audit(chunks_of, records.merge_chunks(kept, by), by)
+
+
 @query
 def r6_stable_ids(spark, d):
     tied = accepted(spark, d).filter("run_id = 1").withColumn(

