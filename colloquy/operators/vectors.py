@@ -105,24 +105,48 @@ def hashed_vectors(texts: DataFrame, size: int = 256) -> DataFrame:
             .drop("_tokens", "_tf", "_idf", "_unit"))
 
 
-def similar_term_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (left_id < right_id) of term sets whose cosine |A and B| / sqrt(|A||B|) reaches theta.
+def _rarest_first(sets: DataFrame) -> DataFrame:
+    """(id, terms) of sets that have terms, by how many sets hold each term, the rarest first."""
+    words = sets.select("id", F.explode("terms").alias("_t"))
+    counts = words.groupBy("_t").agg(F.count(F.lit(1)).alias("_c"))
+    ordered = F.array_sort(F.collect_list(F.struct("_c", "_t")))
+    return words.join(counts, "_t").groupBy("id").agg(F.transform(ordered, lambda x: x["_t"]).alias("terms"))
+
+
+def term_set_candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of sets (id, terms: rarest first) that may be similar, the smaller set first; a pair may come twice.
 
-    Two such sets share one of their first |A| - ceil(theta^2 |A|) + 1 terms in any fixed
-    order, so only those are joined on (longest terms first, which are the rarest).
+    Sets of m and n terms, m <= n, need o = ceil(theta * sqrt(m n)) terms in common, and so share one of the first
+    m - o + 1 and n - o + 1 terms in any common order. Keys are (term, m, n): a frequent term brings together only sets
+    that have no rarer ones to be found by, of sizes that fit, and is dealt out by the sizes.
     """
     n = F.size("terms")
-    ordered = F.transform(F.array_sort(F.transform("terms", lambda t: F.struct(
-        (-F.length(t)).alias("l"), t.alias("t")))), lambda s: s["t"])
-    need = F.ceil(n * (threshold * threshold) - 1e-9).cast("int")
-    keyed = sets.filter(n > 0).withColumn(
-        "_t", F.explode(F.slice(ordered, F.lit(1), F.greatest(n - need + 1, F.lit(1)))))
-    left = keyed.select("_t", F.col("id").alias("left_id"), F.col("terms").alias("_a"))
-    right = keyed.select("_t", F.col("id").alias("right_id"), F.col("terms").alias("_b"))
+
+    def keys(low: Column, high: Column, own_is_small: bool) -> Column:
+        def of_size(other: Column) -> Column:
+            small, large = (n, other) if own_is_small else (other, n)
+            need = F.ceil(threshold * F.sqrt((small * large).cast("double")) - 1e-9).cast("int")
+            some = F.slice("terms", F.lit(1), F.greatest(n - need + 1, F.lit(0)))
+            return F.transform(some, lambda t: F.struct(t.alias("t"), small.alias("m"), large.alias("n")))
+
+        return F.explode(F.flatten(F.transform(F.sequence(low, F.greatest(low, high)), of_size)))
+
+    share = threshold * threshold
+    small = sets.select(F.col("id").alias("a"), keys(n, F.floor(n / share + 1e-9).cast("int"), True).alias("k"))
+    large = sets.select(F.col("id").alias("b"), keys(F.greatest(F.ceil(n * share - 1e-9).cast("int"), F.lit(1)), n, False).alias("k"))
+    met = small.select("a", "k.*").join(large.select("b", "k.*"), ["t", "m", "n"])
+    return met.filter((F.col("m") < F.col("n")) | (F.col("a") < F.col("b"))).select("a", "b")
+
+
+def similar_term_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (left_id < right_id) of term sets whose cosine |A and B| / sqrt(|A||B|) reaches theta."""
+    rows = materialize(_rarest_first(sets))
+    pairs = term_set_candidates(rows, threshold).distinct()
+    both = (pairs.join(rows.select(F.col("id").alias("a"), F.col("terms").alias("_a")), "a")
+            .join(rows.select(F.col("id").alias("b"), F.col("terms").alias("_b")), "b"))
     common = F.size(F.array_intersect("_a", "_b"))
-    return (left.join(right, "_t").filter("left_id < right_id")
-            .filter(common >= threshold * F.sqrt(F.size("_a") * F.size("_b")) - 1e-9)
-            .select("left_id", "right_id").distinct())
+    return (both.filter(common >= threshold * F.sqrt((F.size("_a") * F.size("_b")).cast("double")) - 1e-9)
+            .select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id")))
 
 
 def cross_meeting_topics(topics: DataFrame, threshold: float = 0.68) -> DataFrame:
