@@ -202,6 +202,9 @@ def first_leaders(pairs: DataFrame, states: DataFrame) -> DataFrame:
             .groupBy("node").agg(F.min("leader").alias("leader")))
 
 
+FIRST_LEADERS = 8  # of the records that share a key; more of them make fewer rounds and more comparisons
+
+
 def ordered_merge(nodes: DataFrame, group: list[str]) -> DataFrame:
     """(node, leader) of the records that merge into an earlier one, as a walk in order of ``node`` would have it.
 
@@ -212,7 +215,7 @@ def ordered_merge(nodes: DataFrame, group: list[str]) -> DataFrame:
     In rounds: what leaders hold at each place follows from who joined them in the round before; with that all records
     choose anew, until nothing changes. That is the walk's outcome: the first record's choice is right
     from the beginning, and each further one once those before it are. Records not yet a leader or a member
-    become leaders some at a time, the first of those that share a key (twice as many each round); so a record is only
+    become leaders some at a time, the first of those that share a key (four times as many each round); so a record is only
     compared with leaders, never with all records that are like it.
     """
     keyed = shared_keys(nodes, group)
@@ -223,7 +226,7 @@ def ordered_merge(nodes: DataFrame, group: list[str]) -> DataFrame:
     chosen = known.select("node", F.lit(None).cast("bigint").alias("leader")).limit(0)
     led: DataFrame | None = None
     pairs: DataFrame | None = None
-    pending, width = open_nodes, 1
+    pending, width = open_nodes, FIRST_LEADERS
     while True:
         grown = has_rows(pending)
         if grown:
@@ -233,7 +236,7 @@ def ordered_merge(nodes: DataFrame, group: list[str]) -> DataFrame:
             found = similar_to(fresh, keyed, known, group)
             led = fresh if led is None else materialize(led.unionByName(fresh))
             pairs = materialize(found if pairs is None else pairs.unionByName(found))
-            width *= 2
+            width *= 4
         leaders = led.join(chosen, "node", "left_anti")
         member = leaders.select(F.col("node").alias("leader"), "node").unionByName(chosen.select("leader", "node"))
         states = leader_states(member.join(known.select("node", "evidence", "owner", "deadline"), "node"))
