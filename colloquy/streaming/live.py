@@ -76,7 +76,8 @@ def stateful_turns(segments: DataFrame, horizon: int = HORIZON, idle_ms: int | N
     """T3. Change of the number of speaker turns per meeting and batch, and of segments that came too late.
 
     State per meeting: the newest ``horizon`` segments, which late ones may still come before, the last one
-    before them and the turns up to it. A segment older than that one is late: it is counted apart and changes nothing.
+    before them and the turns up to it. A segment older than that one was before its batch is late: it is counted apart and
+    changes nothing. While a batch is read, all its segments of a meeting are held.
     A batch touches only the meetings it has rows of. With ``idle_ms`` the state of a meeting that is idle for so long is
     dropped; such a query looks at its timers for ever, so it is for triggers that never end.
     """
@@ -101,11 +102,12 @@ def stateful_turns(segments: DataFrame, horizon: int = HORIZON, idle_ms: int | N
                     late += 1
                 else:
                     open_[int(segment)] = None if pd.isna(speaker) else speaker
-            order = sorted(open_)
-            for segment in order[:max(0, len(order) - horizon)]:
-                speaker = open_.pop(segment)
-                settled += starts([speaker], last_speaker)
-                last_id, last_speaker = segment, speaker
+        # Rows of one batch come in no order, so none of them makes another one late.
+        order = sorted(open_)
+        for segment in order[:max(0, len(order) - horizon)]:
+            speaker = open_.pop(segment)
+            settled += starts([speaker], last_speaker)
+            last_id, last_speaker = segment, speaker
         total = settled + starts([open_[k] for k in sorted(open_)], last_speaker)
         state.update((last_id, last_speaker, settled, total, json.dumps(open_)))
         if idle_ms is not None:

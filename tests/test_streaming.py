@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from colloquy.plans import catalog
 from colloquy.streaming import live
 
 SEGMENT = "meeting_id bigint, segment_id bigint, speaker string"
@@ -37,6 +38,27 @@ def test_turns_with_state_over_batches_and_restarts(spark, tmp_path):
     assert got == {m: (want[m], int(m in (0, 1))) for m in want}
 
 
+def test_segments_of_one_batch_are_never_late_to_each_other(spark, tmp_path):
+    """A meeting longer than the horizon, newest first, that reaches the state in several pieces."""
+    rows = [(7, s, "ABC"[s // 3 % 3]) for s in range(199, -1, -1)]
+    spark.createDataFrame(rows, SEGMENT).coalesce(1).write.parquet(f"{tmp_path}/in")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "25")
+    try:
+        out = live.run_to_table(live.stateful_turns(spark.readStream.schema(SEGMENT).parquet(f"{tmp_path}/in"), horizon=8),
+                                f"{tmp_path}/t", f"{tmp_path}/c").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert [(r.turns, r.late) for r in out] == [(turns_by_hand(rows)[7], 0)]
+
+
+def test_streams_read_tables_of_several_files(spark, sf_dir, tmp_path):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.meeting_id: r.turns for r in catalog.t3_stateful_turns(spark, str(tmp_path)).collect()}
+    assert got == turns_by_hand([(r.conv_id, r.turn, r.role) for r in rows.collect()])
+
+
 def test_closed_streams_are_complete_and_late_rows_counted(spark, tmp_path):
     schema = "event_id bigint, ts timestamp, event_type string"
     rows = spark.range(48).selectExpr("id AS event_id", "timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,cast(id AS int)) AS ts",
