@@ -68,49 +68,45 @@ def parse_responses(raw: DataFrame, column: str = "content") -> DataFrame:
 
     @F.pandas_udf("string")
     def repair(values: pd.Series) -> pd.Series:
-        return values.map(complete_part)
+        return values.map(complete_part, na_action="ignore")
 
     rows = raw.withColumn("_clean", F.regexp_replace(bare, LOOSE_COMMA, "$1"))
     rows = rows.withColumn("_sound", F.coalesce(F.json_object_keys("_clean").isNotNull(), F.lit(False)))
-    good = rows.filter("_sound").withColumn("_json", F.col("_clean")).withColumn("salvaged", F.lit(False))
-    rest = rows.filter("not _sound")
-    broken = rest.filter(F.col("_clean").startswith("{")).withColumn("_json", repair("_clean")).withColumn(
-        "salvaged", F.lit(True))
-    other = rest.filter(~F.coalesce(F.col("_clean").startswith("{"), F.lit(False))).withColumn(
-        "_json", F.lit(None).cast("string")).withColumn("salvaged", F.lit(False))
-    read = good.unionByName(broken).unionByName(other)
+    # One pass: only broken objects go to the repair step, the others as nulls.
+    broken = ~F.col("_sound") & F.coalesce(F.col("_clean").startswith("{"), F.lit(False))
+    read = rows.withColumn("salvaged", broken).withColumn("_mended", repair(F.when(F.col("salvaged"), F.col("_clean"))))
+    read = read.withColumn("_json", F.when(F.col("_sound"), F.col("_clean")).otherwise(F.col("_mended")))
     read = read.withColumn("rejected", ~_recognised("_json"))
     return (read.withColumn("parsed", F.when(~F.col("rejected"), F.from_json("_json", RESPONSE_SCHEMA)))
-            .withColumn("salvaged", F.col("salvaged") & ~F.col("rejected")).drop("_clean", "_sound", "_json"))
+            .withColumn("salvaged", F.col("salvaged") & ~F.col("rejected")).drop("_clean", "_sound", "_mended", "_json"))
 
 
 def candidate_rows(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """Typed responses as one candidate row per record, ready for validation."""
     good = parsed.filter(~F.col("rejected"))
-    parts = []
-    for category, field in (("action_items", "task"), ("follow_ups", "task"),
-                            ("decisions", "decision"), ("questions", "question"),
-                            ("topics", "label")):
-        rows = good.select(*keys, F.posexplode(f"parsed.{category}").alias("pos", "_i"))
-        task = field == "task"
-        none = F.lit(None).cast("string")
-        detail = {c: F.col(f"_i.{c}") if task else none for c in (
-            "owner", "owner_evidence", "deadline", "deadline_evidence", "priority",
-            "priority_evidence")}
-        asked = category == "questions"
-        parts.append(rows.select(
-            *keys, "pos", F.lit(category).alias("category"), F.col(f"_i.{field}").alias("item_text"),
-            F.col("_i.evidence").alias("evidence"),
-            F.array_min("_i.segment_ids").alias("seg_from"),
-            F.array_max("_i.segment_ids").alias("seg_to"),
-            *[c.alias(n) for n, c in detail.items()],
-            (F.col("_i.status") if task or asked else none).alias("status"),
-            (F.col("_i.answer") if asked else none).alias("answer"),
-            (F.col("_i.answer_evidence.evidence") if asked else none).alias("answer_evidence")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    none = F.lit(None).cast("string")
+
+    def records(category: str, field: str):
+        task, asked = field == "task", category == "questions"
+
+        def record(i, pos):
+            return F.struct(
+                pos.alias("pos"), F.lit(category).alias("category"), i[field].alias("item_text"),
+                i["evidence"].alias("evidence"), F.array_min(i["segment_ids"]).alias("seg_from"),
+                F.array_max(i["segment_ids"]).alias("seg_to"),
+                *[(i[c] if task else none).alias(c) for c in (
+                    "owner", "owner_evidence", "deadline", "deadline_evidence", "priority", "priority_evidence")],
+                (i["status"] if task or asked else none).alias("status"),
+                (i["answer"] if asked else none).alias("answer"),
+                (i["answer_evidence"]["evidence"] if asked else none).alias("answer_evidence"))
+
+        return F.transform(F.col(f"parsed.{category}"), record)
+
+    # All categories from one reading of each response; a missing one holds no records.
+    found = F.flatten(F.array_compact(F.array(*[records(category, field) for category, field in (
+        ("action_items", "task"), ("follow_ups", "task"), ("decisions", "decision"), ("questions", "question"),
+        ("topics", "label"))])))
+    return good.select(*keys, F.explode(found).alias("_r")).select(*keys, "_r.*")
 
 
 def compact_evidence(items: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from colloquy.plans.runtime import materialize
+from colloquy.sources import meetings, responses
 
 
 def test_large_written_tables_are_not_broadcast(spark, capsys):
@@ -17,3 +18,34 @@ def test_large_written_tables_are_not_broadcast(spark, capsys):
     assert "Broadcast" not in plan and "SortMergeJoin" in plan and rows == 69_960
     plan, rows = joined(700)
     assert "BroadcastHashJoin" in plan and rows == 696
+
+
+def test_responses_are_read_once_for_all_categories(spark, tmp_path, capsys):
+    body = ('{"action_items":[{"task":"t","owner":"Ann","segment_ids":[4,2]},null],"decisions":[{"decision":"d"}],'
+            '"questions":[{"question":"q","status":"open","answer":"a","answer_evidence":{"evidence":"e"}}],"topics":[{"label":"l"}]')
+    spark.createDataFrame([(1, body + "}"), (2, body + ',"summary":['), (3, "no"), (4, None)], "run_id int, content string").write.parquet(
+        f"{tmp_path}/raw")
+    parsed = responses.parse_responses(spark.read.parquet(f"{tmp_path}/raw"))
+    rows = responses.candidate_rows(parsed, ["run_id"])
+    rows.explain()
+    assert capsys.readouterr().out.count("FileScan") == 1
+    assert {(r.run_id, r.salvaged, r.rejected) for r in parsed.collect()} == {
+        (1, False, False), (2, True, False), (3, False, True), (4, False, True)}
+    got = sorted((r.run_id, r.category, r.pos, r.item_text or "", r.owner or "", r.seg_from, r.seg_to, r.status, r.answer, r.answer_evidence)
+                 for r in rows.collect())
+    assert got == [(k, *x) for k in (1, 2) for x in (
+        ("action_items", 0, "t", "Ann", 2, 4, None, None, None), ("action_items", 1, "", "", None, None, None, None, None),
+        ("decisions", 0, "d", "", None, None, None, None, None), ("questions", 0, "q", "", None, None, "open", "a", "e"),
+        ("topics", 0, "l", "", None, None, None, None, None))]
+
+
+def test_segments_of_a_document_take_linear_time(spark):
+    """20,000 segments in one document: each looked up among all others was 400 million steps."""
+    import time
+
+    rows = spark.range(1).select(F.lit("m").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(19_999)), lambda i: F.struct(
+        i.cast("double").alias("start"), F.lit(None).cast("double").alias("end"), F.lit("A").alias("speaker"),
+        F.lit(None).cast("string").alias("speaker_id"), F.when(i % 2 == 0, F.lit("some  words")).otherwise(F.lit(" ")).alias("text"))).alias("segments"))
+    began = time.time()
+    total = meetings.explode_segments(rows).agg(F.count(F.lit(1)).alias("n"), F.sum("raw_index").alias("r"), F.max("segment_id").alias("m")).first()
+    assert (total.n, total.r, total.m) == (10_000, 99_990_000, 9_999) and time.time() - began < 30
