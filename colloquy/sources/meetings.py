@@ -28,12 +28,9 @@ def explode_segments(meetings: DataFrame) -> DataFrame:
 
     The segments of one document are one value, so positions come from the array itself.
     """
-    text = F.transform("segments", lambda s: X.norm(s["text"]))
-    kept = F.filter(F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("segments") - 1, F.lit(0))),
-        lambda i: F.struct(i.alias("raw_index"), F.get("segments", i).alias("s"),
-                           F.get(text, i).alias("text"))),
-        lambda r: F.coalesce(r["text"], F.lit("")) != "")
+    # Each segment is looked at by itself, so the work is linear in their number.
+    kept = F.filter(F.transform("segments", lambda s, i: F.struct(
+        i.alias("raw_index"), s.alias("s"), X.norm(s["text"]).alias("text"))), lambda r: r["text"] != "")
     rows = meetings.filter(F.size("segments") > 0).select(
         F.col("id").alias("meeting_id"), F.posexplode(kept).alias("segment_id", "_r"))
 
