@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from colloquy.operators import chunks
 from colloquy.plans.runtime import materialize
 from colloquy.sources import meetings, responses
 
@@ -49,3 +50,37 @@ def test_segments_of_a_document_take_linear_time(spark):
     began = time.time()
     total = meetings.explode_segments(rows).agg(F.count(F.lit(1)).alias("n"), F.sum("raw_index").alias("r"), F.max("segment_id").alias("m")).first()
     assert (total.n, total.r, total.m) == (10_000, 99_990_000, 9_999) and time.time() - began < 30
+
+
+def test_pieces_of_a_long_text_are_not_counted_from_its_start(spark):
+    """Two million characters in pieces of 16: counted from the start that was over 10^11 steps."""
+    import time
+
+    rows = spark.range(1).select(F.repeat(F.lit("é2345678"), 250_000).alias("text"))
+    began = time.time()
+    got = rows.select(F.size(chunks.character_chunks(F.col("text"), 16)).alias("n"),
+                      F.md5(F.array_join(chunks.character_chunks(F.col("text"), 16), "")).alias("a"), F.md5("text").alias("b")).first()
+    assert got.n == 125_000 and got.a == got.b and time.time() - began < 30
+
+
+def test_batches_become_objects_some_rows_at_a_time():
+    import pyarrow as pa
+
+    rows = pa.array([None, "", *map(str, range(500))])
+    assert chunks.row_by_row(rows, lambda x: [x], pa.list_(pa.string())).to_pylist() == [None, [""], *[[str(i)] for i in range(500)]]
+    assert chunks.row_by_row(rows[:0], lambda x: [x], pa.list_(pa.string())).to_pylist() == []
+
+
+def test_turns_that_fit_are_packed_without_counting_their_characters(monkeypatch):
+    import pandas as pd
+
+    rows = pd.DataFrame({"segment_id": [0, 1, 2], "speaker": ["A", None, "é"], "start_sec": [0.0, None, 2.0],
+                         "text": ['say "x"\\', "tab\tand\u0001 é 😀", "w " * 150]})
+    parts = []
+    monkeypatch.setattr(chunks, "_turn_parts", lambda *a, f=chunks._turn_parts: parts.append(a[0]) or f(*a))
+    got = chunks._pack(200)(rows, None)
+    assert parts == [rows.text[2]]
+    text, labels = rows.text[1], len('{"text":"","speaker":null,"segment_id":1,"start":null}')
+    whole = '{"text":"tab\\tand\\u0001 é 😀","speaker":null,"segment_id":1,"start":null}'
+    assert chunks._turn_parts(text, labels, 200) == [(text, len(whole.encode()))]
+    assert list(got[0].text[:2]) == list(rows.text[:2])
