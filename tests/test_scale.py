@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from colloquy.operators import chunks
+from colloquy.operators import chunks, translation
 from colloquy.plans.runtime import materialize
 from colloquy.sources import meetings, responses
 
@@ -84,3 +84,26 @@ def test_turns_that_fit_are_packed_without_counting_their_characters(monkeypatch
     whole = '{"text":"tab\\tand\\u0001 é 😀","speaker":null,"segment_id":1,"start":null}'
     assert chunks._turn_parts(text, labels, 200) == [(text, len(whole.encode()))]
     assert list(got[0].text[:2]) == list(rows.text[:2])
+
+
+def test_rows_of_a_frequent_text_go_to_many_tasks(spark, monkeypatch):
+    """Half of all rows hold one text; they were sorted in one task."""
+    monkeypatch.setattr(translation, "ROWS_AT_ONCE", 50, raising=False)
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, "same").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("task"),
+                                    F.col("id").alias("seg_from"))
+    memory = spark.createDataFrame([("same", "SAME"), ("t7", "T7"), ("unused", "?")], "source string, translation string").select(
+        translation.text_key().alias("text_key"), "translation")
+    found = {r.id: r.task for r in translation.apply_translations(rows, ["id"], memory).collect()}
+    assert found == {k: "SAME" if k % 2 == 0 else "T7" if k == 7 else f"t{k}" for k in range(4000)}
+    texts = translation.display_texts(rows, ["id"]).withColumn("text_key", translation.text_key())
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        largest = translation.known_texts(texts, memory.hint("merge"), ["id"]).groupBy(
+            F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert largest < 1000
