@@ -146,3 +146,22 @@ def test_secrets_inside_long_candidates_are_found(spark, leaks):
         spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), secret_scan.train(docs)).collect()}
     hits = sum(any(f["start"] <= texts[k].index(v) and f["end"] >= texts[k].index(v) + 32 for f in rows[k]) for k, v in enumerate(secrets))
     assert hits >= 32
+
+
+def test_all_texts_are_learned_from_whole(spark, leaks, monkeypatch):
+    """Findings in a text of over 64 KB, and all plain words: texts and words beyond a sample were left out."""
+    rng = random.Random(9)
+    value = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(28))
+    long = " ".join(f"extraordinary{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]} words password={value()} and item-{k:07d}-of-list" for k in range(900))
+    assert len(long) > 1 << 16
+    docs = spark.createDataFrame([(1, long), (2, None), (3, "")], "doc_id bigint, text string")
+    shards = secret_scan.learning_shards(docs)
+    counts = secret_scan.window_counts(shards)
+    total = lambda kind: sum(n for (k, _), n in counts.items() if k == kind)
+    assert (total(0), total(-1), total(-2)) == (900, 900, len({(long[max(0, m.start() - 20):m.end() + 20]) for m in
+                                                            re.finditer(r"[^\W\d_]{12,}", long)}))
+    monkeypatch.setattr(secret_scan, "SHARD", 1 << 9)  # several shards, which learn apart
+    model = secret_scan.train(docs)
+    assert model.recall["assign"] >= 0.98 and model.wrong["other"] < 0.05
+    run = lambda d: sorted(map(str, secret_scan.find_secrets(d, secret_scan.train(d)).collect()))
+    assert run(leaks[0]) == run(leaks[0].repartition(7))
