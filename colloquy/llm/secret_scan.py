@@ -47,15 +47,16 @@ KINDS = ("assign", "access", "hex", "model")
 # the other two, a run that is long enough is found whole, so the least length is in the pattern.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ASSIGN_LEAST = 12
+ASSIGNED = ("passw", "secret", "token", "api")  # each match of `assign` begins with one of them
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
-HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
+HEX = re.compile(r"[0-9a-f]{16,}")
 
 SHORTEST = 12
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 SIGN = re.compile(r"""[A-Za-z0-9_]["']?\x20*[:=]\x20*["']?(?=[^\s"']{%d})""" % SHORTEST)
 VALUE_END = re.compile(r"""[\s"']|\Z""")
 NAME = re.compile(r"[A-Za-z_.-]*")
-PLAIN = re.compile(r"[^\W\d_]{%d,}" % SHORTEST)
+PLAIN = re.compile(r"(?<![^\W\d_])[^\W\d_]{%d,}" % SHORTEST)
 DIGIT = re.compile(r"[0-9]")
 
 SHARD = 1 << 15  # windows that one task learns from at a time, about
@@ -71,7 +72,9 @@ AT_ONCE = 4096  # windows
 
 def base_findings(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) in code points, sorted."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end() - m.start(2) >= ASSIGN_LEAST]
+    low, found = text.lower() if ":" in text or "=" in text else "", []
+    if any(name in low for name in ASSIGNED):
+        found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end() - m.start(2) >= ASSIGN_LEAST]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(found)
@@ -84,7 +87,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """
     spans = {m.span() for m in RUN.finditer(text) if DIGIT.search(text, *m.span())}
     end = -1
-    for m in SIGN.finditer(text):
+    for m in SIGN.finditer(text) if ":" in text or "=" in text else ():
         if m.end() >= end:
             end = VALUE_END.search(text, m.end()).start()
         spans.add((m.end(), end))
