@@ -36,10 +36,11 @@ def train_classifier(labelled: DataFrame, iterations: int = 1000, terms: int = G
 
     ``labelled``: sentence, label. C = 1 on summed loss is regParam = 1/n on the mean loss.
     """
-    rows = labelled.filter(F.col("label").isin(V.CLASS_LABELS)).dropna(subset=["sentence", "label"])
+    # Written once, as every step of the training reads them again.
+    rows = materialize(labelled.filter(F.col("label").isin(V.CLASS_LABELS)).dropna(subset=["sentence", "label"]))
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_k"))
     totals = sizes.agg(F.sum("_k").alias("n"), F.count(F.lit(1)).alias("classes")).first()
-    weighted = _grams(rows.join(sizes, "label").withColumn(
+    weighted = _grams(rows.join(F.broadcast(sizes), "label").withColumn(  # a row for each of a fixed list of classes
         "_weight", F.lit(float(totals["n"])) / (F.lit(totals["classes"]) * F.col("_k"))))
     counter = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=terms).fit(weighted)
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(weighted)).idf

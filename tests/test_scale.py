@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from colloquy.operators import chunks, translation
-from colloquy.plans.runtime import materialize
+from colloquy.operators import chunks, models, translation
+from colloquy.plans.runtime import materialize, spread
 from colloquy.sources import meetings, responses
 
 
@@ -107,3 +107,25 @@ def test_rows_of_a_frequent_text_go_to_many_tasks(spark, monkeypatch):
         for name, value in before.items():
             spark.conf.set(name, value)
     assert largest < 1000
+
+
+def test_training_looks_at_its_sentences_once(spark):
+    """Labels that are dear to find were found again for each of five passes."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def label(sentence):
+        seen.add(1)
+        return "DECISION" if "agreed" in sentence else "QUESTION" if "?" in sentence else "OTHER"
+
+    texts = [f"we agreed on plan {i}" if i % 3 else f"who owns plan {i}?" for i in range(60)] + ["neither of both", "nothing"]
+    rows = spark.createDataFrame([(t,) for t in texts], "sentence string").withColumn("label", label("sentence"))
+    model = models.train_classifier(rows, 20, 50)
+    assert seen.value <= 2 * len(texts)  # the filter and the column may each ask
+    got = models.classify(model, spark.createDataFrame([("we agreed on it",), ("who knows?",)], "sentence string"))
+    assert {(r.sentence, r.model_label) for r in got.collect()} == {("we agreed on it", "DECISION"), ("who knows?", "QUESTION")}
+
+
+def test_spread_rows_lie_on_all_cores(spark):
+    rows = spread(spark.range(40).distinct())
+    assert rows.count() == 40 and rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
