@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
 from colloquy.functions import vocab as V
+from colloquy.operators import groups
 from colloquy.plans.ordered import top_k
 from colloquy.plans.runtime import has_rows, materialize
 
@@ -67,22 +68,43 @@ def term_counts(docs: DataFrame, keys: list[str], doc: str, sizes: tuple[int, ..
 
 
 def keywords(docs: DataFrame, keys: list[str], doc: str, top: int = 20,
-             max_features: int = 5000, skip: list[str] | None = None) -> DataFrame:
-    """A14. Terms with the highest summed weight per group (ties by term)."""
-    scores = (tfidf(docs, keys, doc, (1, 2), max_features).groupBy(*keys, "term")
-              .agg(F.round(F.sum("w"), 6).alias("score")))
-    if skip:
-        scores = scores.filter(~F.col("term").isin(skip) & (F.length("term") > 2))
+             max_features: int = 5000, skip: list[str] | None = None, whole: int = groups.WHOLE) -> DataFrame:
+    """A14. Terms with the highest summed weight per group (ties by term); tokens hold no blanks."""
+    rows = materialize(docs.select(*keys, doc, "tokens"))
+    small, large = groups.by_size(rows, keys, "tokens", whole)
+    types = dict(rows.dtypes)
+    scores = groups.dealt(small, keys, doc).mapInArrow(
+        groups.best_terms(keys, doc, top, max_features, skip),
+        ", ".join([*[f"{k} {types[k]}" for k in keys], "term string, raw double"])).select(*keys, "term", F.round("raw", 6).alias("score"))
+    if large is not None:
+        others = (tfidf(large, keys, doc, (1, 2), max_features).groupBy(*keys, "term")
+                  .agg(F.round(F.sum("w"), 6).alias("score")))
+        if skip:
+            others = others.filter(~F.col("term").isin(skip) & (F.length("term") > 2))
+        scores = scores.unionByName(others)
     return top_k(scores, keys, [F.desc("score"), F.asc("term")], top, ["term"])
 
 
+def _good(t: Column) -> Column:
+    return t.rlike(r"^\p{L}{2,}$") & ~F.lower(t).isin(V.TOPIC_STOP)
+
+
+def phrase_words(sentences: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys, order, words of each sentence; those that no phrase may hold are blanks."""
+    tokens = F.regexp_extract_all("sentence", F.lit(BREAKING_TOKEN), 0)
+    return materialize(sentences.select(*keys, order, F.transform(
+        tokens, lambda t: F.when(_good(t), t).otherwise(F.lit(""))).alias("words")))
+
+
 def phrases(sentences: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Candidate phrases: two to five neighbouring content words, first wording kept."""
-    tokens = F.regexp_extract_all("sentence", F.lit(BREAKING_TOKEN), 0)
-    good = F.transform("_t", lambda t: t.rlike(r"^\p{L}{2,}$")
-                       & ~F.lower(t).isin(V.TOPIC_STOP))
-    rows = sentences.select(*keys, order, tokens.alias("_t")).filter(F.size("_t") >= 2)
-    rows = rows.withColumn("_ok", good)
+    return phrases_of(phrase_words(sentences, keys, order), keys, order)
+
+
+def phrases_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The phrases of the sentences of ``phrase_words``."""
+    rows = rows.select(*keys, order, F.col("words").alias("_t")).filter(F.size("_t") >= 2)
+    rows = rows.withColumn("_ok", F.transform("_t", lambda t: t != ""))
 
     def of_size(n: int) -> Column:
         last = F.size("_t") - n
@@ -124,7 +146,7 @@ def _unrepeated(ranked: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def discussion_topics(sentences: DataFrame, keys: list[str], order: str, limit: int = 5,
-                      head: int = 64) -> DataFrame:
+                      head: int = 64, whole: int = groups.WHOLE) -> DataFrame:
     """K2. Top phrases, none of which only repeats words of a higher one.
 
     Ranked by count, then words, then label. A phrase is dropped when a higher-ranked phrase
@@ -132,9 +154,25 @@ def discussion_topics(sentences: DataFrame, keys: list[str], order: str, limit:
     Whether a phrase is dropped depends on the ranks above it only, so the first ``head`` phrases
     of a group settle it; groups they do not settle are looked at as far as it can take.
     """
-    found = materialize(phrases(sentences, keys, order).withColumn(
-        "_words", F.array_sort(F.array_distinct(F.split("phrase", " ")))))
+    rows = phrase_words(sentences, keys, order)
+    small, large = groups.by_size(rows, keys, "words", whole)
+    types = dict(rows.dtypes)
     by = [F.desc("n"), F.desc(F.size(F.split("phrase", " "))), F.asc("label"), F.asc("phrase")]
+    lowered = F.transform("words", lambda w: F.lower(w)).alias("lowered")
+    kept = groups.dealt(small, keys, order).select(*keys, "words", lowered).mapInArrow(
+        groups.best_phrases(keys, limit, head, V.PHRASE_TAIL),
+        ", ".join([*[f"{k} {types[k]}" for k in keys], "label string, phrase string, n bigint, total bigint"]))
+    if large is not None:
+        total = large.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+        kept = kept.unionByName(_ranked(phrases_of(large, keys, order), keys, by, limit, head).join(total, keys).select(*kept.columns))
+    return top_k(kept, keys, by, limit, ["phrase"]).select(
+        *keys, "rank", "label", "phrase", "n",
+        F.round(F.col("n") / F.col("total"), 4).alias("relevance"))
+
+
+def _ranked(found: DataFrame, keys: list[str], by: list[Column], limit: int, head: int) -> DataFrame:
+    """Phrases of groups too large for one task: enough of those that repeat no better one."""
+    found = materialize(found.withColumn("_words", F.array_sort(F.array_distinct(F.split("phrase", " ")))))
     first = top_k(found, keys, by, head, ["phrase"])
     kept = _unrepeated(first, keys)
     settled = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
@@ -145,21 +183,22 @@ def discussion_topics(sentences: DataFrame, keys: list[str], order: str, limit:
         rest = top_k(found.join(open_groups, keys, "left_semi"), keys, by,
                      limit * (HELD_PHRASES + 1), ["phrase"])
         kept = kept.join(open_groups, keys, "left_anti").unionByName(_unrepeated(rest, keys))
-    total = sentences.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    top = top_k(kept.drop("rank"), keys, by, limit, ["phrase"])
-    return top.join(total, keys).select(
-        *keys, "rank", "label", "phrase", "n",
-        F.round(F.col("n") / F.col("_total"), 4).alias("relevance"))
+    return kept.drop("rank")
 
 
-def topic_labels(sentences: DataFrame, keys: list[str], order: str) -> DataFrame:
+def topic_labels(sentences: DataFrame, keys: list[str], order: str, whole: int = groups.WHOLE) -> DataFrame:
     """M8. Most frequent phrase (longest on ties), else two keywords, else a fixed label."""
-    found = phrases(sentences, keys, order)
-    best = found.groupBy(*keys).agg(F.max_by("phrase", F.struct(
-        "n", F.length("phrase"), "phrase")).alias("_phrase"))
+    rows = phrase_words(sentences, keys, order)
+    small, large = groups.by_size(rows, keys, "words", whole)
+    types = dict(rows.dtypes)
+    best = groups.dealt(small, keys, order).select(*keys, "words", F.transform("words", lambda w: F.lower(w)).alias("lowered")).mapInArrow(
+        groups.most_said(keys, V.PHRASE_TAIL), ", ".join([*[f"{k} {types[k]}" for k in keys], "phrase string"])).withColumnRenamed("phrase", "_phrase")
+    if large is not None:
+        best = best.unionByName(phrases_of(large, keys, order).groupBy(*keys).agg(F.max_by("phrase", F.struct(
+            "n", F.length("phrase"), "phrase")).alias("_phrase")))
     docs = sentences.select(*keys, order, X.content_words("sentence", V.FUNCTION_WORDS)
                             .alias("tokens"))
-    words = keywords(docs, keys, order, 6, 2000, V.LABEL_STOP)
+    words = keywords(docs, keys, order, 6, 2000, V.LABEL_STOP, whole)
     listed = words.groupBy(*keys).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda r: r["term"])
         .alias("keywords"))
