@@ -69,22 +69,29 @@ def term_counts(docs: DataFrame, keys: list[str], doc: str, sizes: tuple[int, ..
 
 def keywords(docs: DataFrame, keys: list[str], doc: str, top: int = 20,
              max_features: int = 5000, skip: list[str] | None = None, whole: int = groups.WHOLE) -> DataFrame:
-    """A14. Terms with the highest summed weight per group (ties by term); tokens hold no blanks."""
+    """A14. Terms with the highest summed weight per group (ties by term); tokens are words, so none is empty or holds a blank."""
     rows = materialize(docs.select(*keys, doc, "tokens"))
-    small, large = groups.by_size(rows, keys, "tokens", whole)
-    types = dict(rows.dtypes)
-    scores = groups.dealt(small, keys, doc).mapInArrow(
-        groups.best_terms(keys, doc, top, max_features, skip),
-        ", ".join([*[f"{k} {types[k]}" for k in keys], "term string, raw double"])).select(*keys, "term", F.round("raw", 6).alias("score"))
+    small, large = groups.by_size(rows, keys, F.greatest(F.size("tokens"), F.lit(0)), whole)
+    scores = _scores(groups.dealt_words(small, keys, doc, "tokens"), keys, doc, top, max_features, skip)
     if large is not None:
-        others = (tfidf(large, keys, doc, (1, 2), max_features).groupBy(*keys, "term")
-                  .agg(F.round(F.sum("w"), 6).alias("score")))
-        if skip:
-            others = others.filter(~F.col("term").isin(skip) & (F.length("term") > 2))
-        scores = scores.unionByName(others)
+        scores = scores.unionByName(_joined_scores(large, keys, doc, max_features, skip))
     return top_k(scores, keys, [F.desc("score"), F.asc("term")], top, ["term"])
 
 
+def _scores(dealt: DataFrame, keys: list[str], doc: str, top: int, max_features: int, skip: list[str] | None) -> DataFrame:
+    """keys, term, score from rows that lie by group, of the terms that can be among the first ``top``."""
+    types = dict(dealt.dtypes)
+    return dealt.mapInArrow(
+        groups.best_terms(keys, doc, top, max_features, skip),
+        ", ".join([*[f"{k} {types[k]}" for k in keys], "term string, raw double"])).select(*keys, "term", F.round("raw", 6).alias("score"))
+
+
+def _joined_scores(docs: DataFrame, keys: list[str], doc: str, max_features: int, skip: list[str] | None) -> DataFrame:
+    scores = (tfidf(docs, keys, doc, (1, 2), max_features).groupBy(*keys, "term")
+              .agg(F.round(F.sum("w"), 6).alias("score")))
+    return scores.filter(~F.col("term").isin(skip) & (F.length("term") > 2)) if skip else scores
+
+
 def _good(t: Column) -> Column:
     return t.rlike(r"^\p{L}{2,}$") & ~F.lower(t).isin(V.TOPIC_STOP)
 
@@ -92,13 +99,13 @@ def _good(t: Column) -> Column:
 def phrase_words(sentences: DataFrame, keys: list[str], order: str) -> DataFrame:
     """keys, order, words of each sentence; those that no phrase may hold are blanks."""
     tokens = F.regexp_extract_all("sentence", F.lit(BREAKING_TOKEN), 0)
-    return materialize(sentences.select(*keys, order, F.transform(
-        tokens, lambda t: F.when(_good(t), t).otherwise(F.lit(""))).alias("words")))
+    return sentences.select(*keys, order, F.transform(
+        tokens, lambda t: F.when(_good(t), t).otherwise(F.lit(""))).alias("words"))
 
 
 def phrases(sentences: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Candidate phrases: two to five neighbouring content words, first wording kept."""
-    return phrases_of(phrase_words(sentences, keys, order), keys, order)
+    return phrases_of(materialize(phrase_words(sentences, keys, order)), keys, order)
 
 
 def phrases_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -154,12 +161,12 @@ def discussion_topics(sentences: DataFrame, keys: list[str], order: str, limit:
     Whether a phrase is dropped depends on the ranks above it only, so the first ``head`` phrases
     of a group settle it; groups they do not settle are looked at as far as it can take.
     """
-    rows = phrase_words(sentences, keys, order)
-    small, large = groups.by_size(rows, keys, "words", whole)
+    rows = materialize(phrase_words(sentences, keys, order))
+    small, large = groups.by_size(rows, keys, F.greatest(F.size("words"), F.lit(0)), whole)
     types = dict(rows.dtypes)
     by = [F.desc("n"), F.desc(F.size(F.split("phrase", " "))), F.asc("label"), F.asc("phrase")]
     lowered = F.transform("words", lambda w: F.lower(w)).alias("lowered")
-    kept = groups.dealt(small, keys, order).select(*keys, "words", lowered).mapInArrow(
+    kept = groups.dealt_words(small, keys, order, "words").select(*keys, "words", lowered).mapInArrow(
         groups.best_phrases(keys, limit, head, V.PHRASE_TAIL),
         ", ".join([*[f"{k} {types[k]}" for k in keys], "label string, phrase string, n bigint, total bigint"]))
     if large is not None:
@@ -188,17 +195,21 @@ def _ranked(found: DataFrame, keys: list[str], by: list[Column], limit: int, hea
 
 def topic_labels(sentences: DataFrame, keys: list[str], order: str, whole: int = groups.WHOLE) -> DataFrame:
     """M8. Most frequent phrase (longest on ties), else two keywords, else a fixed label."""
-    rows = phrase_words(sentences, keys, order)
-    small, large = groups.by_size(rows, keys, "words", whole)
-    types = dict(rows.dtypes)
-    best = groups.dealt(small, keys, order).select(*keys, "words", F.transform("words", lambda w: F.lower(w)).alias("lowered")).mapInArrow(
+    def tokens(rows: DataFrame) -> DataFrame:
+        return rows.select(*keys, order, X.content_words("sentence", V.FUNCTION_WORDS).alias("tokens"))
+
+    sentences = materialize(sentences.select(*keys, order, "sentence"))
+    small, large = groups.by_size(sentences, keys, F.length("sentence"), whole)  # its words are not more than its characters
+    there, types = groups.dealt(small, keys, order, "sentence"), dict(sentences.dtypes)  # once, for phrases and keywords
+    lowered = F.transform("words", lambda w: F.lower(w)).alias("lowered")
+    best = phrase_words(there, keys, order).select(*keys, "words", lowered).mapInArrow(
         groups.most_said(keys, V.PHRASE_TAIL), ", ".join([*[f"{k} {types[k]}" for k in keys], "phrase string"])).withColumnRenamed("phrase", "_phrase")
+    scores = _scores(tokens(there), keys, order, 6, 2000, V.LABEL_STOP)
     if large is not None:
-        best = best.unionByName(phrases_of(large, keys, order).groupBy(*keys).agg(F.max_by("phrase", F.struct(
+        best = best.unionByName(phrases(large, keys, order).groupBy(*keys).agg(F.max_by("phrase", F.struct(
             "n", F.length("phrase"), "phrase")).alias("_phrase")))
-    docs = sentences.select(*keys, order, X.content_words("sentence", V.FUNCTION_WORDS)
-                            .alias("tokens"))
-    words = keywords(docs, keys, order, 6, 2000, V.LABEL_STOP, whole)
+        scores = scores.unionByName(_joined_scores(tokens(large), keys, order, 2000, V.LABEL_STOP))
+    words = top_k(scores, keys, [F.desc("score"), F.asc("term")], 6, ["term"])
     listed = words.groupBy(*keys).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda r: r["term"])
         .alias("keywords"))
